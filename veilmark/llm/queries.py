@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .common import documents, session_defaults
+from pyspark.sql import functions as F
+
+from . import language, quality
+from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
 
@@ -12,5 +15,19 @@ def op3_secret_scan(spark, sf_dir):
     return secret_digest(find_secrets(documents(spark, sf_dir), ["doc_id"]))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan}
+def op8_quality(spark, sf_dir):
+    session_defaults(spark)
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language(spark, sf_dir):
+    session_defaults(spark)
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language.train(docs), ["doc_id"])
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_quality, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
