@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import bpe, language, minhash, quality
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -29,5 +29,23 @@ def op9_language(spark, sf_dir):
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_quality, op9_language)}
+def tokenizer_source() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_bpe(spark, sf_dir):
+    session_defaults(spark)
+    source = tokenizer_source()
+    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), source), source))
+
+
+def op7_near_duplicates(spark, sf_dir):
+    session_defaults(spark)
+    return minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_secret_scan, op7_near_duplicates, op8_quality, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
