@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, quality
+from . import bpe, decontaminate, language, minhash, quality, sharding
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -47,5 +47,15 @@ def op7_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_secret_scan, op7_near_duplicates, op8_quality, op9_language)}
+def op4_decontaminate(spark, sf_dir):
+    session_defaults(spark)
+    found = decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op6_hilbert_shards(spark, sf_dir):
+    return sharding.assign(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_secret_scan, op4_decontaminate, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
