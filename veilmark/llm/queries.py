@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, minhash, quality, sharding
+from . import bpe, decontaminate, language, minhash, neighbours, quality, sharding, training_order
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -57,5 +57,15 @@ def op6_hilbert_shards(spark, sf_dir):
     return sharding.assign(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_secret_scan, op4_decontaminate, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language)}
+def op10_neighbours(spark, sf_dir):
+    session_defaults(spark)
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op1_training_order(spark, sf_dir):
+    session_defaults(spark)
+    return training_order.order(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
