@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, minhash, neighbours, quality, sharding, training_order
+from . import bpe, decontaminate, language, minhash, neighbours, private, quality, sharding, training_order
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -67,5 +67,10 @@ def op1_training_order(spark, sf_dir):
     return training_order.order(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours)}
+def op5_private(spark, sf_dir):
+    session_defaults(spark)
+    return private.digest(private.find_private(documents(spark, sf_dir), ["doc_id"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
