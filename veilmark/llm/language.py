@@ -11,8 +11,7 @@ language that sorts first; equal texts give equal results; texts are read whole;
 
 from __future__ import annotations
 
-import re
-import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,40 +20,55 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_texts
 
 BUCKETS, SWITCH = 1 << 15, 25.0
-LETTERS = re.compile(r"[^\W\d_]+")
 #: First and last code points of scripts; letters outside count as "other".
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 
 
-def script_of(word: str) -> str:
-    c = ord(word[0])
-    return next((name for name, a, b in SCRIPTS if a <= c <= b), "other")
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def trigrams(word: str) -> list[int]:
-    w = f"^{word.lower()}$"
-    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(w) - 2)]
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Number of each letter's script."""
+    out = np.full(len(points), len(SCRIPTS))
+    for i, (_, low, high) in enumerate(SCRIPTS):
+        out[(points >= low) & (points <= high)] = i
+    return out
+
+
+def analysed(text: str | None):
+    """(trigram bucket of each letter, where words begin among the letters, letters' places, words' scripts); None without letters."""
+    low = (text or "").lower()
+    if len(low) != len(text or ""):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    alpha = letters()[c]
+    at = np.flatnonzero(alpha)
+    if not len(at):
+        return None
+    a = np.zeros(len(c) + 2, np.uint64)
+    a[1:-1] = np.where(alpha, c, 0)
+    h = (a[at] * np.uint64(1000003) + a[at + 1]) * np.uint64(1000003) + a[at + 2]
+    h = (h ^ h >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), starts, at, scripts_of(c[at[starts]])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Counts over all training rows: words are counted a task at a time, then trigrams of distinct words.
+    """Trigram and script counts over all training rows, summed a batch at a time before the shuffle.
 
     Only buckets x languages numbers reach the driver.
     """
     def setup():
-        from collections import Counter
-
         def batch(texts):
-            n = Counter()
+            made = np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64)
             for t in texts:
-                n.update(LETTERS.findall(t or ""))
-            out: dict = {}
-            for w, c in n.items():
-                for g in trigrams(w):
-                    out[g] = out.get(g, 0) + c
-                key = BUCKETS + [s[0] for s in SCRIPTS].index(s) if (s := script_of(w)) != "other" else BUCKETS + len(SCRIPTS)
-                out[key] = out.get(key, 0) + c
-            first = [{"bucket": k, "n": v} for k, v in out.items()]
+                if (found := analysed(t)) is not None:
+                    made[:BUCKETS] += np.bincount(found[0], minlength=BUCKETS)
+                    made[BUCKETS:] += np.bincount(found[3], minlength=len(SCRIPTS) + 1)
+            first = [{"bucket": int(k), "n": int(made[k])} for k in np.flatnonzero(made)]
             return {"counts": [first] + [[]] * (len(texts) - 1)}
 
         return batch
@@ -99,40 +113,22 @@ def best_path(scores: np.ndarray) -> np.ndarray:
 
 
 def labeller(model: dict):
-    memo: dict[str, int] = {}
-    names = [s[0] for s in SCRIPTS] + ["other"]
     langs, table, seen = model["langs"], model["table"], model["seen"]
-    held = np.zeros((1 << 16, len(langs)), np.float32)
-
-    def number(word):
-        k = memo.get(word)
-        if k is None:
-            if len(memo) == len(held):
-                memo.clear()
-            k = memo[word] = len(memo)
-            s = table[trigrams(word)].sum(axis=0)
-            fits = seen[names.index(script_of(word))]
-            held[k] = np.where(fits, s, s.min() - 10.0) if fits.any() else s
-        return k
-
-    def score(words):
-        """Rows of held; numbered in stretches that hold fewer distinct words than it has rows."""
-        out = []
-        for at in range(0, len(words), 1 << 15):
-            part = [w.group() for w in words[at : at + (1 << 15)]]
-            if len(memo) + len(part) > len(held):
-                memo.clear()
-            out.append(held[[number(w) for w in part]])
-        return np.concatenate(out)
 
     def label(text):
-        words = list(LETTERS.finditer(text or ""))
-        if not words or not langs:
+        found = analysed(text) if langs else None
+        if found is None:
             return "und", 0.0, []
-        path = best_path(score(words))
-        weight = np.bincount(path, weights=[m.end() - m.start() for m in words], minlength=len(langs))
+        buckets, starts, at, scripts = found
+        scores = np.add.reduceat(table[buckets], starts, axis=0)
+        fits = seen[scripts]
+        narrow = fits.any(axis=1, keepdims=True) & ~fits
+        scores = np.where(narrow, scores.min(axis=1, keepdims=True) - 10, scores)
+        path = best_path(scores)
+        weight = np.bincount(path, weights=np.diff(starts, append=len(at)), minlength=len(langs))
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        spans = [{"start": words[i].start(), "end": words[j - 1].end(), "lang": langs[path[i]]} for i, j in zip(cuts, cuts[1:])]
+        ends = [*starts[1:].tolist(), len(at)]
+        spans = [{"start": int(at[starts[i]]), "end": int(at[ends[j - 1] - 1]) + 1, "lang": langs[path[i]]} for i, j in zip(cuts, cuts[1:])]
         return langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans
 
     return label
