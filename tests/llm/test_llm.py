@@ -49,6 +49,52 @@ def test_near_duplicates(docs):
     assert rows[4].component_id == 3 and not rows[4].kept and rows[0].kept and rows[0].n_shingles == 0
 
 
+def linked(rows, k, percent):
+    """Brute force: id -> least id reachable, all pairs compared."""
+    sets = {}
+    for i, t in rows:
+        w = minhash.WORD.findall((t or "").translate(minhash.UPPER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    comp = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def test_near_duplicates_that_chain_and_resemble(spark):
+    """Chains whose ends are unlike, texts of one template that are nearly alike, and copies: no link is lost."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    chain = [word() for _ in range(120)]
+    for _ in range(30):
+        texts.append(" ".join(chain))
+        chain[rnd.randrange(120)] = word()
+    frame = [word() for _ in range(150)]
+    for _ in range(40):
+        own = list(frame)
+        for at in rnd.sample(range(150), rnd.choice((1, 4, 5, 6, 7))):
+            own[at] = word()
+        texts.append(" ".join(own))
+    texts += [texts[3]] * 3 + [None, "", "one", "one", "one two"]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    for k, percent in ((3, 85), (5, 80)):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+        assert {r.doc_id: r.component_id for r in got} == linked(rows, k, percent)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_nothing_and_repeated_rows(spark):
+    kind = "doc_id long, text string, ident string, bands string, comp long"
+    assert minhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "a b c", "x", "y", 7), (1, "a b c", "x", "y", 7), (2, "a b c", None, None, None), (None, "a b c", "", "", 0)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1)]
+
+
 def test_permutation_and_curve():
     for n in (1, 2, 7, 1000):
         assert sorted(training_order.permute(np.arange(n), n, 5)) == list(range(n))

@@ -4,9 +4,12 @@ Sketch: in round r every shingle is hashed to a bin; a bin keeps the least (roun
 empty; from round T on, round T+i fills bin i directly, so 2T rounds always fill all.  BANDS bands of ROWS coordinates
 miss a pair at 0.85 with a chance of (1-0.85^5)^25 = 4e-7.
 
-Equal shingle sets are one class with one representative.  In a bucket every class is verified against the bucket's
-first class; then, between classes not yet joined, against the others of a small random cell of the bucket, dealt anew in
-every band.  So a bucket of any size makes rows in proportion to its size.  Links are confirmed on full shingle sets.
+Equal shingle sets are one class with one representative.  Buckets are worked off in rounds.  In a round each bucket that
+still holds two components names a few hubs, taken from its smallest components, which are verified against all members
+of other components; then they leave the bucket, since all their links are known.  A bucket ends when one component is
+left in it.  So no link inside a bucket is lost, and pairs already joined by others are never made: a group of copies of
+any size takes one round or two.  Links are confirmed on full shingle sets.  Only a bucket of many texts that stay
+unlinked needs as many verifications as it has such pairs.
 
 Results by case: null or wordless texts have no shingles and no links; fewer than k words make one shingle; repeated
 rows share a class; ties go to the smaller doc_id.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, keep, map_texts
 
-T, BANDS, ROWS, CELL = 125, 25, 5, 6
+T, BANDS, ROWS = 125, 25, 5
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -113,22 +116,51 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(now, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """id, comp after more links: components of the old components that the links touch, then one lookup."""
+    end = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    over = keep(links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
+    if over.isEmpty():
+        return comp
+    root = components(over.select(F.col("a").alias("id")).union(over.select("b")).distinct(), over).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    return keep(comp.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "comp")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """id_col, n_shingles, component_id, kept."""
     base = keep(sketched(docs, k, id_col), "sketch")
-    reps = keep(base.filter("ident is not null").groupBy("ident").agg(F.min(F.struct(F.col(id_col).alias("id"), "bands")).alias("r")).select("ident", "r.id", "r.bands"), "reps")
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    rows = keep(rows.join(sizes, ["band", "key"]), "buckets")
-    star = rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), "text").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    first = keep(verify(star, texts, k, percent), "verified")
-    comp = keep(components(reps.select("id"), first), "comp1")
-    cells = rows.join(comp, "id").withColumn("cell", F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / CELL)))
-    cells = cells.groupBy("band", "key", "cell").agg(F.collect_list(F.struct("id", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    pairs = cells.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter("x.id < y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = verify(pairs.join(star, ["a", "b"], "left_anti"), texts, k, percent)
-    comp = components(reps.select("id"), first.union(second))
-    full = base.join(reps.select("ident", "id"), "ident", "left").join(comp, "id", "left")
+    least = F.min(F.struct(F.col(id_col).alias("id"), "n_shingles", "bands"))
+    reps = keep(base.filter(F.col("ident").isNotNull() & F.col(id_col).isNotNull()).groupBy("ident").agg(least.alias("r")).select("ident", "r.*"), "reps")
+    rows = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    rows = keep(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"], "left_semi"), "buckets")
+    texts = keep(docs.select(F.col(id_col).alias("id"), "text").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    comp, live, seen, hubs_each = keep(reps.select("id", F.col("id").alias("comp")), "comp"), rows, None, 1
+    while True:
+        # Buckets that still hold two components.
+        held = live.join(comp, "id")
+        mixed = held.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
+        held = keep(held.join(mixed, ["band", "key"], "left_semi"), "mixed")
+        if held.isEmpty():
+            break
+        # A hub of each cell of components: a member of the component with the fewest members in the bucket.
+        sides = held.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("h"))
+        cells = sides.groupBy("band", "key", F.pmod(F.xxhash64("comp"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("n", "h.hub", "h.hub_n", "comp")).alias("h"))
+        hubs = keep(cells.select("band", "key", "h.hub", "h.hub_n", F.col("h.comp").alias("hub_comp")), "hubs")
+        # Sets whose sizes differ too much cannot be linked.
+        fits = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
+        pairs = held.join(hubs, ["band", "key"]).filter((F.col("comp") != F.col("hub_comp")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        pairs = pairs.distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        # A hub has now met every other component of its bucket, in both directions, and leaves it.
+        comp = contracted(comp, keep(verify(pairs, texts, k, percent), "verified"))
+        both = pairs.union(pairs.select("b", "a"))
+        seen = both if seen is None else seen.union(both)
+        live = held.drop("comp").join(hubs.select("band", "key", F.col("hub").alias("id")), ["band", "key", "id"], "left_anti")
+        hubs_each *= 4
+    # Wordless rows get a key of their own, so they do not meet in one task.
+    lone = F.coalesce(F.col("ident"), F.col(id_col).cast("string"))
+    full = base.withColumn("ident", lone).join(reps.select("ident", "id").join(comp, "id").select("ident", "comp"), "ident", "left")
     out = full.select(F.col(id_col), "n_shingles", F.coalesce("comp", F.col(id_col)).alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
