@@ -63,8 +63,9 @@ def linked(rows, k, percent):
     return comp
 
 
-def test_near_duplicates_that_chain_and_resemble(spark):
+def test_near_duplicates_that_chain_and_resemble(spark, monkeypatch):
     """Chains whose ends are unlike, texts of one template that are nearly alike, and copies: no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
     rnd = random.Random(4)
     word = lambda: f"w{rnd.randrange(10**6)}"
     texts = []

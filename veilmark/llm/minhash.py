@@ -4,12 +4,13 @@ Sketch: in round r every shingle is hashed to a bin; a bin keeps the least (roun
 empty; from round T on, round T+i fills bin i directly, so 2T rounds always fill all.  BANDS bands of ROWS coordinates
 miss a pair at 0.85 with a chance of (1-0.85^5)^25 = 4e-7.
 
-Equal shingle sets are one class with one representative.  Buckets are worked off in rounds.  In a round each bucket that
-still holds two components names a few hubs, taken from its smallest components, which are verified against all members
-of other components; then they leave the bucket, since all their links are known.  A bucket ends when one component is
-left in it.  So no link inside a bucket is lost, and pairs already joined by others are never made: a group of copies of
-any size takes one round or two.  Links are confirmed on full shingle sets.  Only a bucket of many texts that stay
-unlinked needs as many verifications as it has such pairs.
+Equal shingle sets are one class with one representative.  Two rounds of hubs come first: each bucket that holds two
+components names one hub, then up to HUBS, from its smallest components.  Hubs are verified against all members of other
+components and leave the bucket, since all their links are known; one round joins most of a group of copies.  Buckets
+still mixed are dealt into blocks of about BLOCK members, and each pair of blocks is one bounded task group that bounds
+all similarities from above by bit maps of the sets, in matrix products; only pairs in different components whose bound
+reaches the threshold become rows.  So no link inside a bucket is lost.  Links are confirmed on full shingle sets.  A
+bucket of n texts that stay unlinked moves n * n / BLOCK rows.
 
 Results by case: null or wordless texts have no shingles and no links; fewer than k words make one shingle; repeated
 rows share a class; ties go to the smaller doc_id.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, keep, map_texts
 
 T, BANDS, ROWS = 125, 25, 5
+HUBS, BLOCK, SLOTS = 4, 256, 2048
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -57,21 +59,71 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """A bit for each of SLOTS slots that holds a shingle."""
+    on = np.zeros(SLOTS, np.uint8)
+    on[(items >> np.uint64(20)) % np.uint64(SLOTS)] = 1
+    return np.packbits(on).tobytes()
+
+
+def near_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket, in different components, that their bit maps do not rule out.
+
+    A shingle of one set whose slot is empty in the other is not common: sets of n and m shingles have at most
+    min(n - own slots, m - own slots) in common.
+    """
+    parts = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(parts, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "n_shingles", "bits")
+    keys = ["band", "key", "lo", "hi"]
+
+    def within(g):
+        n, own, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "own", "comp", "id"))
+        on = np.unpackbits(np.frombuffer(b"".join(g["bits"]), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32)
+        both, held = on @ on.T, on.sum(1)
+        most = np.minimum(n[:, None] - (held[:, None] - both), n[None] - (held[None] - both))
+        near = (100 * most >= percent * (n[:, None] + n[None] - most)) & (comp[:, None] != comp[None]) & (ids[:, None] < ids[None])
+        if g["lo"].iat[0] != g["hi"].iat[0]:
+            near &= own[:, None] != own[None]
+        x, y = np.nonzero(near)
+        return ids[x], ids[y]
+
+    def scan(batches):
+        import pandas as pd
+
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            marks = rest[keys].to_numpy()
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+            for i, j in zip([0, *cuts[:-1]], cuts):
+                a, b = within(rest.iloc[i:j])
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
+            rest = rest.iloc[cuts[-1] :] if len(cuts) else rest
+        if rest is not None and len(rest):
+            a, b = within(rest)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, "a bigint, b bigint").distinct()
+
+
 def sketched(docs: DataFrame, k: int, id_col: str) -> DataFrame:
     def setup():
         def batch(texts):
-            n, ident, bands = [], [], []
+            n, ident, bands, bits = [], [], [], []
             for t in texts:
                 s = shingles(t, k)
                 n.append(len(s))
                 ident.append(hashlib.sha256(s.tobytes()).hexdigest()[:32] if len(s) else None)
+                bits.append(bitmap(s) if len(s) else None)
                 bands.append(sketch(s).reshape(BANDS, ROWS).astype(np.int64) if len(s) else None)
             keys = [[int.from_bytes(hashlib.blake2b(b.tobytes(), digest_size=8).digest(), "little", signed=True) for b in x] if x is not None else [] for x in bands]
-            return {"n_shingles": n, "ident": ident, "bands": keys}
+            return {"n_shingles": n, "ident": ident, "bits": bits, "bands": keys}
 
         return batch
 
-    return map_texts(docs, [id_col], "n_shingles bigint, ident string, bands array<bigint>", setup)
+    return map_texts(docs, [id_col], "n_shingles bigint, ident string, bits binary, bands array<bigint>", setup)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -129,19 +181,23 @@ def contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """id_col, n_shingles, component_id, kept."""
     base = keep(sketched(docs, k, id_col), "sketch")
-    least = F.min(F.struct(F.col(id_col).alias("id"), "n_shingles", "bands"))
+    least = F.min(F.struct(F.col(id_col).alias("id"), "n_shingles", "bits", "bands"))
     reps = keep(base.filter(F.col("ident").isNotNull() & F.col(id_col).isNotNull()).groupBy("ident").agg(least.alias("r")).select("ident", "r.*"), "reps")
     rows = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     rows = keep(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"], "left_semi"), "buckets")
     texts = keep(docs.select(F.col(id_col).alias("id"), "text").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    comp, live, seen, hubs_each = keep(reps.select("id", F.col("id").alias("comp")), "comp"), rows, None, 1
-    while True:
+    comp, live, seen = keep(reps.select("id", F.col("id").alias("comp")), "comp"), rows, None
+    for hubs_each in (1, HUBS, 0):
         # Buckets that still hold two components.
         held = live.join(comp, "id")
         mixed = held.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
         held = keep(held.join(mixed, ["band", "key"], "left_semi"), "mixed")
         if held.isEmpty():
             break
+        if not hubs_each:
+            left = near_in_blocks(held.join(reps.select("id", "bits"), "id"), percent).join(seen, ["a", "b"], "left_anti")
+            comp = contracted(comp, keep(verify(keep(left, "pairs"), texts, k, percent), "verified"))
+            break
         # A hub of each cell of components: a member of the component with the fewest members in the bucket.
         sides = held.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("h"))
         cells = sides.groupBy("band", "key", F.pmod(F.xxhash64("comp"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("n", "h.hub", "h.hub_n", "comp")).alias("h"))
@@ -158,7 +214,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         both = pairs.union(pairs.select("b", "a"))
         seen = both if seen is None else seen.union(both)
         live = held.drop("comp").join(hubs.select("band", "key", F.col("hub").alias("id")), ["band", "key", "id"], "left_anti")
-        hubs_each *= 4
     # Wordless rows get a key of their own, so they do not meet in one task.
     lone = F.coalesce(F.col("ident"), F.col(id_col).cast("string"))
     full = base.withColumn("ident", lone).join(reps.select("ident", "id").join(comp, "id").select("ident", "comp"), "ident", "left")
