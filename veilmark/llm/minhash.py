@@ -4,9 +4,8 @@ Sketch: in round r every shingle is hashed to a bin; a bin keeps the least (roun
 empty; from round T on, round T+i fills bin i directly, so 2T rounds always fill all.  BANDS bands of ROWS coordinates
 miss a pair at 0.85 with a chance of (1-0.85^5)^25 = 4e-7.
 
-Equal shingle sets are one class with one representative.  Two rounds of hubs come first: each bucket that holds two
-components names one hub, then up to HUBS, from its smallest components.  Hubs are verified against all members of other
-components and leave the bucket, since all their links are known; one round joins most of a group of copies.  Buckets
+Equal shingle sets are one class with one representative.  A round of hubs comes first: each bucket's first class is
+verified against all others and leaves the bucket, since all its links are known; that joins most of a group of copies.  Buckets
 still mixed are dealt into blocks of about BLOCK members, and each pair of blocks is one bounded task group that bounds
 all similarities from above by bit maps of the sets, in matrix products; only pairs in different components whose bound
 reaches the threshold become rows.  So no link inside a bucket is lost.  Links are confirmed on full shingle sets.  A
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, keep, map_texts
 
 T, BANDS, ROWS = 125, 25, 5
-HUBS, BLOCK, SLOTS = 4, 256, 2048
+BLOCK, SLOTS = 256, 2048
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -186,34 +185,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     rows = keep(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"], "left_semi"), "buckets")
     texts = keep(docs.select(F.col(id_col).alias("id"), "text").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    comp, live, seen = keep(reps.select("id", F.col("id").alias("comp")), "comp"), rows, None
-    for hubs_each in (1, HUBS, 0):
-        # Buckets that still hold two components.
-        held = live.join(comp, "id")
-        mixed = held.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
-        held = keep(held.join(mixed, ["band", "key"], "left_semi"), "mixed")
-        if held.isEmpty():
-            break
-        if not hubs_each:
-            left = near_in_blocks(held.join(reps.select("id", "bits"), "id"), percent).join(seen, ["a", "b"], "left_anti")
-            comp = contracted(comp, keep(verify(keep(left, "pairs"), texts, k, percent), "verified"))
-            break
-        # A hub of each cell of components: a member of the component with the fewest members in the bucket.
-        sides = held.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("h"))
-        cells = sides.groupBy("band", "key", F.pmod(F.xxhash64("comp"), F.lit(hubs_each)).alias("cell")).agg(F.min(F.struct("n", "h.hub", "h.hub_n", "comp")).alias("h"))
-        hubs = keep(cells.select("band", "key", "h.hub", "h.hub_n", F.col("h.comp").alias("hub_comp")), "hubs")
-        # Sets whose sizes differ too much cannot be linked.
-        fits = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
-        pairs = held.join(hubs, ["band", "key"]).filter((F.col("comp") != F.col("hub_comp")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        # A hub has now met every other component of its bucket, in both directions, and leaves it.
-        comp = contracted(comp, keep(verify(pairs, texts, k, percent), "verified"))
-        both = pairs.union(pairs.select("b", "a"))
-        seen = both if seen is None else seen.union(both)
-        live = held.drop("comp").join(hubs.select("band", "key", F.col("hub").alias("id")), ["band", "key", "id"], "left_anti")
+    # Sets whose sizes differ too much cannot be linked.
+    fits = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
+    hubs = rows.groupBy("band", "key").agg(F.min(F.struct("id", "n_shingles")).alias("h")).select("band", "key", F.col("h.id").alias("hub"), F.col("h.n_shingles").alias("hub_n"))
+    met = rows.join(hubs, ["band", "key"]).filter("id <> hub")
+    star = keep(met.filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    comp = contracted(reps.select("id", F.col("id").alias("comp")), keep(verify(star, texts, k, percent), "verified"))
+    # Buckets that still hold two components, without their hubs.
+    live = met.select("band", "key", "id").join(comp, "id")
+    mixed = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key")
+    live = keep(live.join(mixed, ["band", "key"], "left_semi"), "mixed").join(reps.select("id", "n_shingles", "bits"), "id")
+    left = keep(near_in_blocks(live, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    comp = contracted(comp, keep(verify(left, texts, k, percent), "verified"))
     # Wordless rows get a key of their own, so they do not meet in one task.
     lone = F.coalesce(F.col("ident"), F.col(id_col).cast("string"))
     full = base.withColumn("ident", lone).join(reps.select("ident", "id").join(comp, "id").select("ident", "comp"), "ident", "left")
