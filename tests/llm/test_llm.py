@@ -39,7 +39,7 @@ def test_base_private_spans():
 def test_bpe_equals_the_library(docs):
     source = queries.tokenizer_source()
     t = bpe.tokenizer(source)
-    for r in bpe.decode(bpe.encode(docs, source, head=3), source).collect():
+    for r in bpe.decode(bpe.encode(docs.union(docs), source, head=3), source).collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
 

@@ -1,22 +1,34 @@
 """BPE by a distinct-word table.
 
-Words are runs between ASCII white space, at which the tokenizer always splits.  Each distinct word is encoded once.
-The HEAD most frequent words (a fixed bound) travel to every task; any other word reaches its texts through a join on
-the word, then on the text's hash.  Ids are joined back by word position.  Decoding looks ids up in the vocabulary's
-piece table, whose size is fixed.
-
-Results by case: null counts as empty, and empty texts have no ids; copies share one join; texts are encoded whole.
+Units are runs between ASCII white space, at which the tokenizer always splits; signs at a unit's end part from a letter
+or digit before them, and ASCII units are lower-cased, as the tokenizer does both.  Each distinct unit is encoded once:
+the HEAD most frequent ones (a fixed bound, merged from each task's most frequent) on the driver, whence they travel to
+every task; any other unit is sorted to its equals, encoded once there, and its ids return to their texts by position.
+Texts travel once, compressed, with their row's other columns.  Which units are in the head changes no result.
+Decoding looks ids up in the vocabulary's piece table, whose size is fixed.
+
+Results by case: null counts as empty and stays null, and empty texts have no ids; a row's key is a hash of all its
+columns, so copies do not meet in one task; repeated rows are all returned; texts are encoded whole; extra columns pass
+through.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import keep, map_texts
-
-HEAD = 1 << 18
-SPACE = "[ \\t\\n\\u000B\\f\\r]+"
+HEAD, LOCAL_HEAD = 1 << 18, 1 << 16
+SPACE = re.compile("[ \t\n\x0b\f\r]+")
+SIGNS = ".,;:!?%*"
+#: Characters that are letters or digits in every version of Unicode.
+FIRM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
 
 
 def tokenizer(source: str):
@@ -28,54 +40,114 @@ def tokenizer(source: str):
     return t
 
 
-def word_table(docs: DataFrame, source: str, text_col: str = "text") -> DataFrame:
-    """word, n, ids: counted with a map-side combine, each distinct word encoded once."""
-    words = docs.select(F.explode(F.split(text_col, SPACE)).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    held = docs.sparkSession.sparkContext.broadcast(source)
+def units(text: str | None) -> list[str]:
+    out = []
+    for w in SPACE.split(text or ""):
+        core = w.rstrip(SIGNS)
+        tail = w[len(core) :] if core and core[-1] in FIRM else ""
+        core = core if tail else w
+        if core:
+            out.append(core.lower() if core.isascii() and "<|" not in core else core)
+        if tail:
+            out.append(tail)
+    return out
+
 
-    def setup():
-        t = tokenizer(held.value)
-        return lambda texts: {"ids": [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]}
+def head_units(docs: DataFrame, text_col: str, head: int) -> list[str]:
+    """At most head frequent units: every task counts its units, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
 
-    return keep(map_texts(words.withColumn("text", F.col("word")), ["word", "n"], "ids array<int>", setup), "words")
+    def count(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(units(t))
+                if len(seen) > 16 * LOCAL_HEAD:
+                    seen = Counter(dict(seen.most_common(LOCAL_HEAD)))
+        top = seen.most_common(LOCAL_HEAD)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
+    return [r[0] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word").collect()]
 
 
 def encode(docs: DataFrame, source: str, text_col: str = "text", head: int = HEAD) -> DataFrame:
     """docs plus ids array<int>."""
-    spark = docs.sparkSession
-    table = word_table(docs, source, text_col)
-    top = {r[0]: list(r[1]) for r in table.orderBy(F.desc("n"), "word").limit(head).select("word", "ids").collect()}
-    held = spark.sparkContext.broadcast(top)
-
-    def rare():
+    spark, t = docs.sparkSession, tokenizer(source)
+    kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
+    top = head_units(docs, text_col, head)
+    known = {w: np.array(e.ids, kind).tobytes() for i in range(0, len(top), 4096) for w, e in zip(top[i : i + 4096], t.encode_batch(top[i : i + 4096], add_special_tokens=False), strict=True)}
+    held, held_source = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(source)
+    rest = [c for c in docs.columns if c != text_col]
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
+
+    def rare_of(text, known):
+        return dict.fromkeys(u for u in units(text) if u not in known)
+
+    def rare(batches):
         known = held.value
-        return lambda texts: {"words": [sorted({w for w in words_of(t) if w not in known}) for t in texts]}
-
-    plain = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__key", F.sha2("__text", 256))
-    need = map_texts(plain, ["__key"], "words array<string>", rare, "__text").select("__key", F.explode("words").alias("word")).distinct()
-    found = need.join(table.select("word", "ids"), "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__rare"))
-    ready = plain.join(found, "__key", "left")
-
-    @F.pandas_udf("array<int>")
-    def ids(texts, rares):
-        import pandas as pd
-
-        known, out = held.value, []
-        for t, own in zip(texts, rares, strict=True):
-            own = dict(own) if own is not None else {}
-            line: list[int] = []
-            for w in words_of(t):
-                line.extend(known[w] if w in known else own[w])
-            out.append(line)
-        return pd.Series(out)
-
-    return ready.withColumn("ids", ids("__text", "__rare")).drop("__text", "__key", "__rare")
-
-
-def words_of(text: str | None) -> list[str]:
-    import re
-
-    return [w for w in re.split("[ \t\n\x0b\f\r]+", text or "") if w]
+        for b in batches:
+            keys, places, words = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = rare_of(text, known)
+                keys += [key] * len(own)
+                places += range(len(own))
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(words, pa.string())], names=["key", "place", "word"])
+
+    def encoded(batches):
+        t, last, ids = tokenizer(held_source.value), None, b""
+        for b in batches:
+            words = b.column(2).to_pylist()
+            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
+            codes = iter([np.array(e.ids, kind).tobytes() for e in t.encode_batch(fresh, add_special_tokens=False)])
+            marks, out = [], []
+            for place, w in zip(b.column(1).to_pylist(), words, strict=True):
+                if w != last:
+                    last, ids = w, next(codes)
+                marks.append(place << 32 | zlib.crc32(w.encode("utf-8")))
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64()), pa.array(out, pa.binary())], names=["key", "mark", "data"])
+
+    def packed(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = [None if x is None else squeeze.compress(x.encode("utf-8")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(2)], names=["key", "data", "row"])
+
+    found = keyed.select("key", "text").mapInArrow(rare, "key bigint, place bigint, word string")
+    found = found.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "key bigint, mark bigint, data binary")
+    row = keyed.schema["row"].dataType
+    texts = keyed.mapInArrow(packed, StructType.fromDDL("key bigint, data binary").add("row", row)).select("key", F.lit(None).cast("bigint").alias("mark"), "data", "row")
+    both = found.select("key", "mark", "data", F.lit(None).cast(row).alias("row")).union(texts)
+
+    def joined(batches):
+        import zstandard
+
+        known, widen = held.value, zstandard.ZstdDecompressor()
+        last, own = None, {}
+        for b in batches:
+            rows, texts, ids = [], [], []
+            for i, (key, mark, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if key != last:
+                    last, own = key, {}
+                if mark is not None:
+                    own[mark] = data
+                    continue
+                text = None if data is None else widen.decompress(data).decode("utf-8")
+                line = units(text)
+                local = {u: own[n << 32 | zlib.crc32(u.encode("utf-8"))] for n, u in enumerate(dict.fromkeys(u for u in line if u not in known))}
+                rows.append(i)
+                texts.append(text)
+                ids.append(b"".join([known[u] if u in known else local[u] for u in line]))
+            flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
+            ends = np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["text", "row", "ids"])
+
+    out = both.repartition("key").sortWithinPartitions("key", F.col("mark").asc_nulls_last()).mapInArrow(joined, StructType().add("text", "string").add("row", row).add("ids", ArrayType(IntegerType())))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns], "ids")
 
 
 def decode(df: DataFrame, source: str, ids_col: str = "ids") -> DataFrame:
