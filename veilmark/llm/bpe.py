@@ -1,8 +1,8 @@
 """BPE by a distinct-word table.
 
-Units are runs between ASCII white space, at which the tokenizer always splits; signs at a unit's end part from a letter
-or digit before them, and ASCII units are lower-cased, as the tokenizer does both.  Each distinct unit is encoded once:
-the HEAD most frequent ones (a fixed bound, merged from each task's most frequent) on the driver, whence they travel to
+Words are runs between ASCII white space, at which the tokenizer always splits; units are words whose signs at the end
+part from a letter or digit before them, in lower case if ASCII, as the tokenizer does both.  Frequent words and their
+units (at most 3 x HEAD, merged from each task's most frequent words) are encoded on the driver, whence they travel to
 every task; any other unit is sorted to its equals, encoded once there, and its ids return to their texts by position.
 Texts travel once, compressed, with their row's other columns.  Which units are in the head changes no result.
 Decoding looks ids up in the vocabulary's piece table, whose size is fixed.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-HEAD, LOCAL_HEAD = 1 << 18, 1 << 16
+HEAD, LOCAL_HEAD = 1 << 17, 1 << 16
 SPACE = re.compile("[ \t\n\x0b\f\r]+")
 SIGNS = ".,;:!?%*"
 #: Characters that are letters or digits in every version of Unicode.
@@ -40,56 +40,58 @@ def tokenizer(source: str):
     return t
 
 
-def units(text: str | None) -> list[str]:
-    out = []
-    for w in SPACE.split(text or ""):
-        core = w.rstrip(SIGNS)
-        tail = w[len(core) :] if core and core[-1] in FIRM else ""
-        core = core if tail else w
-        if core:
-            out.append(core.lower() if core.isascii() and "<|" not in core else core)
-        if tail:
-            out.append(tail)
-    return out
+def words_of(text: str | None) -> list[str]:
+    return [w for w in SPACE.split(text or "") if w]
 
 
-def head_units(docs: DataFrame, text_col: str, head: int) -> list[str]:
-    """At most head frequent units: every task counts its units, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
+def units(word: str) -> list[str]:
+    core = word.rstrip(SIGNS)
+    tail = word[len(core) :] if core and core[-1] in FIRM else ""
+    core = core if tail else word
+    core = core.lower() if core.isascii() and "<|" not in core else core
+    return [core, tail] if tail else [core]
+
+
+def unknown(words: list[str], known: dict) -> list[str]:
+    """The distinct units that known lacks, in the order of the text: a unit's place here is its position."""
+    return list(dict.fromkeys(u for w in dict.fromkeys(words) if w not in known for u in units(w) if u not in known))
+
+
+def head_words(docs: DataFrame, text_col: str, head: int) -> list[str]:
+    """At most head frequent words and their units: every task counts its words, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(units(t))
-                if len(seen) > 16 * LOCAL_HEAD:
+                seen.update(words_of(t))
+                if len(seen) > 4 * LOCAL_HEAD:
                     seen = Counter(dict(seen.most_common(LOCAL_HEAD)))
         top = seen.most_common(LOCAL_HEAD)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
-    return [r[0] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word").collect()]
+    top = [r[0] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word").collect()]
+    return list(dict.fromkeys([*top, *(u for w in top for u in units(w))]))
 
 
 def encode(docs: DataFrame, source: str, text_col: str = "text", head: int = HEAD) -> DataFrame:
     """docs plus ids array<int>."""
     spark, t = docs.sparkSession, tokenizer(source)
     kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-    top = head_units(docs, text_col, head)
+    top = head_words(docs, text_col, head)
     known = {w: np.array(e.ids, kind).tobytes() for i in range(0, len(top), 4096) for w, e in zip(top[i : i + 4096], t.encode_batch(top[i : i + 4096], add_special_tokens=False), strict=True)}
     held, held_source = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(source)
     rest = [c for c in docs.columns if c != text_col]
     hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
 
-    def rare_of(text, known):
-        return dict.fromkeys(u for u in units(text) if u not in known)
-
     def rare(batches):
         known = held.value
         for b in batches:
             keys, places, words = [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = rare_of(text, known)
+                own = unknown(words_of(text), known)
                 keys += [key] * len(own)
                 places += range(len(own))
                 words += own
@@ -112,7 +114,7 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", head: int = HEA
     def packed(batches):
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=9)
         for b in batches:
             data = [None if x is None else squeeze.compress(x.encode("utf-8")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(2)], names=["key", "data", "row"])
@@ -137,11 +139,11 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", head: int = HEA
                     own[mark] = data
                     continue
                 text = None if data is None else widen.decompress(data).decode("utf-8")
-                line = units(text)
-                local = {u: own[n << 32 | zlib.crc32(u.encode("utf-8"))] for n, u in enumerate(dict.fromkeys(u for u in line if u not in known))}
+                line = words_of(text)
+                local = {u: own[n << 32 | zlib.crc32(u.encode("utf-8"))] for n, u in enumerate(unknown(line, known))}
                 rows.append(i)
                 texts.append(text)
-                ids.append(b"".join([known[u] if u in known else local[u] for u in line]))
+                ids.append(b"".join([known[w] if w in known else b"".join([known[u] if u in known else local[u] for u in units(w)]) for w in line]))
             flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
             ends = np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["text", "row", "ids"])
