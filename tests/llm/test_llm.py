@@ -136,3 +136,35 @@ def test_decontamination(spark):
 def test_neighbours_skip_bad_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0, 0.0]), (2, [0.0] * 4), (3, None), (4, [1.0, float("nan"), 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in neighbours.search(d).collect()] == [(0, 1)]
+
+
+def test_training_order_writes_every_payload_at_its_place(spark, tmp_path):
+    """Null and repeated ids keep their payloads, and record r is found by seeking."""
+    texts = ["\n\x02\x03é" * 900, "short", "short", None, "", "b" * 2048, "c" * 2049, "other"]
+    rows = [(i, t) for i, t in zip([1, 1, 1, 2, 3, None, None, 1], texts)] + [(n, f"text {n}") for n in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training_order.write(docs, str(tmp_path / "o"), shard_records=5002)
+    want = sorted((-1 if i is None else i, n, (t or "").encode()[n * 2048 : n * 2048 + 2048]) for i, t in rows for n in range(-(-len((t or "").encode()) // 2048)))
+    got = training_order.read(spark, str(tmp_path / "o")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.part, bytes(r.payload)) for r in got) == want
+    assert sorted(r.slot for r in got) == list(range(len(want)))
+    for r in got[::97] + got[-1:]:
+        record = r.slot % 5002
+        assert (r.shard, r.piece) == (r.slot // 5002, record // training_order.PIECE)
+        (file,) = (tmp_path / "o" / f"shard={r.shard}" / f"piece={r.piece}").glob("*.txt")
+        with file.open("rb") as f:
+            f.seek(record % training_order.PIECE * training_order.RECORD)
+            ids = np.frombuffer(f.read(2 * training_order.STRIDE), "<u2")
+        assert ids[: r.n_ids].astype(np.uint8).tobytes() == bytes(r.payload) and (ids[r.n_ids :] == training_order.PAD).all()
+
+
+def test_training_order_query_reads_back(spark, docs):
+    rows = training_order.written(docs).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and {(r.doc_id, r.n_ids) for r in rows} == {(i, len(t.encode())) for i, t in enumerate(TEXTS) if t}
+
+
+def test_sharding_writes_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (1, "d")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    sharding.write(docs, str(tmp_path / "s"), 2)
+    assert sorted((r.doc_id or 0, r.text) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == sorted((i or 0, t) for i, t in rows)

@@ -64,7 +64,7 @@ def op10_neighbours(spark, sf_dir):
 
 def op1_training_order(spark, sf_dir):
     session_defaults(spark)
-    return training_order.order(documents(spark, sf_dir))
+    return training_order.written(documents(spark, sf_dir))
 
 
 def op5_private(spark, sf_dir):

@@ -52,8 +52,10 @@ def leading(col):
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(col, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint"), F.lit(0))
 
 
-def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    raw = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), leading(F.col("lang")).alias("k_lang"), leading(F.col("source")).alias("k_source"))
+def ranked(docs: DataFrame, shards: int, carry: bool) -> DataFrame:
+    """The columns of assign(), after the whole document as the struct row if carry."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    raw = docs.select(*row, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), leading(F.col("lang")).alias("k_lang"), leading(F.col("source")).alias("k_source"))
     cells = quantised(raw, {"lang": F.col("k_lang"), "source": F.col("k_source"), "size": F.col("size")})
     side = 1 << LEVEL
     # The curve's table has 4096 numbers whatever the input: it is part of the plan.
@@ -67,15 +69,20 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     upper = upper.select("cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
     offsets = inside.join(F.broadcast(upper), "cell").select("cell", "salt", (F.col("before") + F.col("base")).alias("offset"), "total")
     at = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("text_crc32", "doc_id", "size"))
-    ranked = rows.withColumn("own", at - 1).join(offsets, ["cell", "salt"]).withColumn("rank", F.col("own") + F.col("offset"))
+    numbered = rows.withColumn("own", at - 1).join(offsets, ["cell", "salt"]).withColumn("rank", F.col("own") + F.col("offset"))
     # The first (total mod shards) shards take one row more.
     least, more = F.floor(F.col("total") / shards), F.col("total") % shards
     big = more * (least + 1)
     shard = F.when(F.col("rank") < big, F.floor(F.col("rank") / (least + 1))).otherwise(more + F.floor((F.col("rank") - big) / F.greatest(least, F.lit(1))))
     first = F.when(shard <= more, shard * (least + 1)).otherwise(big + (shard - more) * least)
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("rank") - first).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("hilbert"))
+    return numbered.select(*(["row"] if carry else []), "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("rank") - first).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("hilbert"))
+
+
+def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
+    return ranked(docs, shards, False)
 
 
 def write(docs: DataFrame, path: str, shards: int = 40) -> None:
     """Documents in files by shard, sorted along the curve inside."""
-    docs.join(assign(docs, shards).select("doc_id", "shard", "slot"), "doc_id").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = ranked(docs, shards, True).select("row.*", "shard", "slot")
+    placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -1,19 +1,31 @@
 """Training order: a keyed Feistel permutation with cycle-walking gives each sequence one global slot.
 
 Texts become UTF-8 byte ids, cut into sequences of STRIDE and padded by PAD, two bytes an id.  Sequences are numbered
-exactly (bounded groups, offset by running counts), the number is permuted within [0, n), and range partitions of the
-slot write shards of fixed-stride records, so record i of the run lies at a known place and reading can resume there.
-
-Results by case: null and empty texts have no sequence; repeated rows have a sequence each; an empty table gives none.
+exactly (bounded groups, offset by running counts), the number is permuted within [0, n), and the payload travels with
+its slot to files of fixed-stride records: shard=S/piece=P holds records P * PIECE to P * PIECE + PIECE - 1 of shard S
+(the last file of a shard may be shorter), so record r of a shard begins at byte (r - P * PIECE) * RECORD of its piece
+and reading can resume there.  A record is STRIDE ids, then slot, doc_id, part and n_ids as text of fixed width, then
+END, which no two neighbouring bytes inside a record can be.
+
+Results by case: null and empty texts have no sequence; repeated rows and rows with equal or null doc_id have their own
+sequences; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch_root
+
 STRIDE, PAD, GROUPS, ROUNDS = 2048, 256, 4096, 4
+PIECE, END = 4096, "\x02\x03"
+#: Width of each text field after the ids.
+FIELDS = {"slot": 19, "doc_id": 20, "part": 10, "n_ids": 4}
+RECORD = 2 * STRIDE + sum(FIELDS.values()) + len(END)
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -42,13 +54,13 @@ def sequences(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "part", F.expr(f"substring(data, part * {STRIDE} + 1, {STRIDE})").alias("payload"))
 
 
-def order(docs: DataFrame, key: int = 20_240_601, shard_records: int = 65_536) -> DataFrame:
-    """doc_id, part, n_ids, payload_crc32, slot, shard, record."""
-    rows = sequences(docs).select("doc_id", "part", F.octet_length("payload").alias("n_ids"), F.crc32("payload").alias("payload_crc32")).withColumn("g", F.pmod(F.xxhash64("doc_id", "part"), F.lit(GROUPS)))
+def placed(docs: DataFrame, key: int = 20_240_601, shard_records: int = 65_536) -> DataFrame:
+    """doc_id, part, n_ids, payload_crc32, slot, shard, record, payload."""
+    rows = sequences(docs).select("doc_id", "part", F.octet_length("payload").alias("n_ids"), F.crc32("payload").alias("payload_crc32"), "payload").withColumn("g", F.pmod(F.xxhash64("doc_id", "part", "payload_crc32"), F.lit(GROUPS)))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
     w = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("g", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    at = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "part", "payload_crc32"))
+    at = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "part", "payload_crc32", "payload"))
     numbered = rows.withColumn("own", at - 1).join(F.broadcast(base), "g").withColumn("number", F.col("own") + F.col("base"))
 
     @F.pandas_udf("bigint")
@@ -58,17 +70,43 @@ def order(docs: DataFrame, key: int = 20_240_601, shard_records: int = 65_536) -
         return pd.Series(permute(number.to_numpy(), int(total.iloc[0]), key) if len(number) else [])
 
     out = numbered.withColumn("slot", slot("number", "total"))
-    return out.select("doc_id", "part", "n_ids", "payload_crc32", "slot", F.floor(F.col("slot") / shard_records).cast("int").alias("shard"), (F.col("slot") % shard_records).cast("int").alias("record"))
+    return out.select("doc_id", "part", "n_ids", "payload_crc32", "slot", F.floor(F.col("slot") / shard_records).cast("int").alias("shard"), (F.col("slot") % shard_records).cast("int").alias("record"), "payload")
 
 
-def write(docs: DataFrame, path: str, key: int = 20_240_601, shard_records: int = 65_536) -> None:
-    """Shards of records of 2 * STRIDE bytes (little-endian ids, padded), in slot order, by range partitions of the slot."""
-    placed = sequences(docs).join(order(docs, key, shard_records).select("doc_id", "part", "slot", "shard"), ["doc_id", "part"])
-
-    @F.pandas_udf("binary")
-    def record(payloads):
-        import pandas as pd
+def order(docs: DataFrame, key: int = 20_240_601, shard_records: int = 65_536) -> DataFrame:
+    """The places alone, without the payload."""
+    return placed(docs, key, shard_records).drop("payload")
 
-        return pd.Series([np.pad(np.frombuffer(p, np.uint8).astype("<u2"), (0, STRIDE - len(p)), constant_values=PAD).tobytes() for p in payloads])
 
-    placed.withColumn("record", record("payload")).select("slot", "shard", "record").repartitionByRange("slot").sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, key: int = 20_240_601, shard_records: int = 65_536) -> None:
+    """Files of records of RECORD bytes (little-endian ids, padded, then the fields), in slot order."""
+    # Bytes as Latin-1 characters, written as UTF-16, are two-byte ids.
+    ids = F.encode(F.rpad(F.decode("payload", "ISO-8859-1"), STRIDE, chr(PAD)), "UTF-16LE")
+    fields = [F.lpad(F.coalesce(F.col(c).cast("bigint").cast("string"), F.lit("")), n, " ").cast("binary") for c, n in FIELDS.items()]
+    pieces = F.floor(F.col("record") / PIECE).cast("int").alias("piece")
+    rows = placed(docs, key, shard_records).select("shard", pieces, "record", "doc_id", "part", "n_ids", "slot", "payload")
+    count = docs.agg(F.sum(F.ceil(F.octet_length("text") / STRIDE))).first()[0] or 0
+    # The payload moves as bytes; a record is made where it is written.
+    dealt = rows.repartition(max(1, -(-count // PIECE)), "shard", "piece").sortWithinPartitions("shard", "piece", "record")
+    dealt.select("shard", "piece", F.concat(ids, *fields).cast("string").alias("value")).write.partitionBy("shard", "piece").option("lineSep", END).option("compression", "none").text(path)
+
+
+def read(spark, path: str) -> DataFrame:
+    """slot, doc_id, part, n_ids, payload, and shard and piece by the file, of every record that write() made."""
+    raw = spark.read.schema("value string, shard int, piece int").option("lineSep", END).text(path).withColumn("data", F.col("value").cast("binary"))
+    at, out = 2 * STRIDE + 1, {}
+    for c, n in FIELDS.items():
+        text = F.trim(F.expr(f"substring(data, {at}, {n})").cast("string"))
+        out[c] = F.when(text != "", text).cast("bigint" if c in ("slot", "doc_id") else "int")
+        at += n
+    found = raw.select(*[v.alias(c) for c, v in out.items()], "data", "shard", "piece")
+    payload = F.encode(F.decode(F.expr("substring(data, 1, 2 * n_ids)"), "UTF-16LE"), "ISO-8859-1")
+    return found.select(*FIELDS, payload.alias("payload"), "shard", "piece")
+
+
+def written(docs: DataFrame, key: int = 20_240_601, shard_records: int = 65_536) -> DataFrame:
+    """doc_id, part, n_ids, payload_crc32, slot, shard, record, all taken from records written and read back."""
+    spark = docs.sparkSession
+    path = f"{scratch_root(spark)}/order-{uuid.uuid4().hex}"
+    write(docs, path, key, shard_records)
+    return read(spark, path).select("doc_id", "part", "n_ids", F.crc32("payload").alias("payload_crc32"), "slot", "shard", (F.col("slot") % shard_records).cast("int").alias("record"))
