@@ -168,3 +168,38 @@ def test_sharding_writes_rows_with_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
     sharding.write(docs, str(tmp_path / "s"), 2)
     assert sorted((r.doc_id or 0, r.text) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == sorted((i or 0, t) for i, t in rows)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ring 06 12 34 56 78 today", [("06 12 34 56 78", "phone")]),
+        ("so 555 123456 now", [("555 123456", "phone")]),
+        ("pay 4532-0151\n1283-0366 now", [("4532-0151\n1283-0366", "card")]),
+        ("pay 4532/0151/1283/0366 ok", [("4532/0151/1283/0366", "card")]),
+        ("host 192 . 168 . 1 . 7 up", [("192 . 168 . 1 . 7", "ip")]),
+        ("bob (arobase) x (point) fr", [("bob (arobase) x (point) fr", "email")]),
+        ("write bob At mail Dot com now", [("bob At mail Dot com", "email")]),
+        ("to john.doe [at] mail [dot] co [dot] uk please", [("john.doe [at] mail [dot] co [dot] uk", "email")]),
+        ("on 2023-04-05 12:34:56 it", []),
+        ("look at it. Then go", []),
+        ("pay 4532/0151/1283/0367 ok", []),
+        ("id 2321bac4d15ec8f90433955bf9d3cf61da5bdd", []),
+    ],
+)
+def test_field_decides_on_all_kinds(text, want):
+    assert [(text[s:e], k) for s, e, k in private.added_spans(text, private.base_spans(text), private.fitted())] == want
+
+
+def test_field_on_sentences_it_was_not_fitted_on():
+    made, caught, total, false = private.sentences(np.random.default_rng(99)), {}, {}, 0
+    for _ in range(1500):
+        gold, kind = next(made)
+        text = f"lorem ipsum {gold} dolor amet"
+        base = private.base_spans(text)
+        got = base + private.added_spans(text, base, private.fitted())
+        total[kind] = total.get(kind, 0) + 1
+        caught[kind] = caught.get(kind, 0) + ((12, 12 + len(gold), kind) in got)
+        false += not kind and any(x not in base for x in got)
+    print({k: round(caught[k] / total[k], 3) for k in total if k}, false / total[""])
+    assert all(caught[k] >= 0.9 * total[k] for k in private.KINDS) and false <= 0.05 * total[""]
