@@ -68,3 +68,50 @@ def test_files(spark, tmp_path):
     assert files.load(spark, str(tmp_path / "b.txt")).first()._source == "b.txt"
     with pytest.raises(ValueError):
         files.load(spark, "a.exe")
+
+
+@pytest.mark.parametrize(
+    "name, text, value",
+    [
+        ("NUM_FISCAL", "fiscal 1234567890123 fin", "1234567890123"),
+        ("NIR", "x 1 - 85 . 01 -- 2A 123  456 78 y", "1 - 85 . 01 -- 2A 123  456 78"),
+        ("IBAN", "iban pl61-1090-1014-0000-0712-1981-2874.", "pl61-1090-1014-0000-0712-1981-2874"),
+        ("CB", "cb 4532\n0151  1283--0366 fin", "4532\n0151  1283--0366"),
+        ("CVV", "cryptogramme: 123", "cryptogramme: 123"),
+        ("SIRET", "siret 732.829.320 00074", "732.829.320 00074"),
+        ("MAILTO", "MAILTO:bob@x.fr", "MAILTO:bob@x.fr"),
+        ("EMAIL_OBFUSCATED", "voir bob @ mail . co.uk fin", "bob @ mail . co.uk"),
+        ("EMAIL_OBFUSCATED", "a" * 100 + " [at] mail [dot] fr.eu", "a" * 100 + " [at] mail [dot] fr.eu"),
+        ("EMAIL_OBFUSCATED", "-.bob[arobase]mail point fr", "bob[arobase]mail point fr"),
+        ("EMAIL_AVEC", "De : Jean Marie " + "Dupont " * 40 + "<j@x.fr>", "De : Jean Marie " + "Dupont " * 40 + "<j@x.fr>"),
+        ("EMAIL_ESPACE", "bob@mail . co.uk", "bob@mail . co.uk"),
+        ("EMAIL_ESPACE", "bob@mail fr", "bob@mail fr"),
+        ("EMAIL", "bob@x.fr", "bob@x.fr"),
+        ("TEL_FUZZY", "tel 06 123 456 78 fin", "06 123 456 78"),
+        ("TEL_PREFIXE", "Tel : " + "12 " * 20 + "fin", "Tel : " + "12 " * 20),
+        ("TEL", "au +336--12.34 56 78", "+336--12.34 56 78"),
+        ("URL", "sur https://x.fr/a?b", "https://x.fr/a?b"),
+        ("ORGA", "la Un Deux Trois Quatre Cinq Six Sept SARL", "Un Deux Trois Quatre Cinq Six Sept SARL"),
+        ("ORGA", "Les Amis ASSOCIATION et", "Les Amis ASSOCIATION"),
+        ("VOIE_NUM", "12345 rue de la paix, Paris", "12345 rue de la paix"),
+        ("VOIE_SANS", "vers route Nationale.", "route Nationale"),
+        ("CP", "code 94110 France", "94110"),
+        ("DATE_NAISS", "naissance du : 1.2.85", "naissance du : 1.2.85"),
+        ("GPS", "ici 48.85, 2.35 fin", "48.85, 2.35"),
+        ("PLAQUE", "auto AB 123 CD", "AB 123 CD"),
+        ("VILLE_COMPOSEE", "VILLENEUVE SUR LOT", "VILLENEUVE SUR LOT"),
+        ("IPV4", "ip 010.0.0.1", "010.0.0.1"),
+        ("IPV6", "ip ::ffff:abcd", "::ffff:abcd"),
+        ("IPV6", "ip fe80:1:: fin", "fe80:1::"),
+        ("MAC", "00:1A-2b:3c:4d:5e", "00:1A-2b:3c:4d:5e"),
+        ("JWT", "eyJabcdefghij.eyJabcdefghij.abcdefghij", "eyJabcdefghij.eyJabcdefghij.abcdefghij"),
+        ("API_KEY", "api_abcdefghij0123456789", "api_abcdefghij0123456789"),
+    ],
+)
+def test_each_detector(name, text, value):
+    assert [s.value for s in D.detect_regex(text, fort=True, tech=True, only=frozenset({name}))] == [value]
+
+
+def test_number_contexts_and_long_runs():
+    assert all(D.negative_context(f"{w} 12345", len(w) + 1, 5) for w in ("décret", "dossier", "lot", "ref.", "fig.", "p.", "kg", "degrés"))
+    assert D.detect_regex("ABC " * 20000 + "a.b-" * 20000) == []

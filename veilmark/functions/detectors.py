@@ -48,15 +48,15 @@ def nir_check(s: str) -> bool:
 
 
 def iban_check(s: str) -> bool:
-    d = re.sub(r"\s", "", s).upper()
+    d = re.sub(r"[\s\-]", "", s).upper()
     if len(d) < 15 or not (d.isascii() and d.isalnum()):
         return False
     return int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1
 
 
 # Words that make a number near them something else than personal data.
-_BEFORE = re.compile(r"(?:\bn°|\bnum(?:éro)?|\bpages?|\barticles?|\bart\.|€|\bkg|\bcm|\bkm|\bmm)\s*$", re.I)
-_AFTER = re.compile(r"\s*(?:€|euros?|eur|%|kg|km|cm|mm|g|m|pages?|exemplaires?|degr|°)", re.I)
+_BEFORE = re.compile(r"\b(?:n°|n\.|numéro|décret|article|art\.|référence|ref\.|dossier|commande|lot|page|p\.|chapitre|volume|tome|fig\.|figure|tableau|tab\.|kg|g|m|cm|mm|km|€|eur|euros|%|degrés?)\s*$", re.I)
+_AFTER = re.compile(r"\s*(?:kg|g|m|cm|mm|km|€|eur|euros|%|degrés?|°|exemplaires?|pages?)", re.I)
 
 
 def negative_context(text: str, at: int, length: int) -> bool:
@@ -80,38 +80,42 @@ class Detector:
 
 
 I = re.I  # noqa: E741
-_WORDS = r"[A-Za-zÀ-ÿ'\-\s]{3,}"
-_VOIE = r"(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|allée|allees|place|route|quai|square|cours)"
-#: In order of emission, which breaks ties.
+_UP, _ANY = "A-ZÀ-ÖØ-Ý", "A-Za-zÀ-ÖØ-öø-ÿ"
+_LOCAL = "[a-zA-Z0-9_.+-]"
+_ADDRESS = _LOCAL + r"+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+_NAMES = rf"[{_UP}][{_ANY}&'\-]+(?:\s+[{_UP}][{_ANY}&'\-]+)*"
+_VOIE = r"(?:rue|avenue|boulevard|chemin|impasse|allée|route"
+#: In order of emission, which breaks ties.  A match of the group skip is none: it passes over a run in which no later
+#: start can match either, so long runs are not tried again from each word.
 DETECTORS = (
     Detector("NUM_FISCAL", "fiscal_txt", "finance", r"\b[0-3]\d{12}\b", "context"),
-    Detector("NIR", "nir_txt", "finance", r"(?<!\d)[12][\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?(?:\d{2}|2[AB])[\s.\-]?\d{3}[\s.\-]?\d{3}(?:[\s.\-]?\d{2})?(?!\d)", "nir", I),
-    Detector("IBAN", "iban_txt", "finance", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){6,7}(?:\s?[A-Z0-9]{1,3})?\b", "iban"),
-    Detector("CB", "cb_txt", "finance", r"\b(?:\d[ \-]*?){13,19}\b", "luhn"),
-    Detector("CVV", "cvv_txt", "finance", r"\b(?:CVV|CVC|CVV2|CVC2)\s*:?\s*\d{3,4}\b", "", I),
+    Detector("NIR", "nir_txt", "finance", r"(?<!\d)[12][\s.\-]*\d{2}[\s.\-]*\d{2}[\s.\-]*(?:\d{2}|2[AB])[\s.\-]*\d{3}[\s.\-]*\d{3}(?:[\s.\-]*\d{2})?(?!\d)", "nir", I),
+    Detector("IBAN", "iban_txt", "finance", r"\b[A-Z]{2}\d{2}(?:[\s\-]?[0-9A-Z]{4}){6}[\s\-]?[0-9A-Z]{0,4}[\s\-]?[0-9A-Z]{0,3}\b", "iban", I),
+    Detector("CB", "cb_txt", "finance", r"\b(?:\d[\s\-]*?){13,19}\b", "luhn"),
+    Detector("CVV", "cvv_txt", "finance", r"\b(?:cvv|cvc|cryptogramme|cv2)\W+\d{3,4}\b", "", I),
     Detector("SIRET", "siret_txt", "indirect", r"\b\d{3}[\s.]?\d{3}[\s.]?\d{3}(?:[\s.]?\d{5})?\b", "siret"),
-    Detector("MAILTO", "email_txt", "direct", r"mailto:[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+", "", I, "@"),
-    Detector("EMAIL_OBFUSCATED", "email_txt", "direct", r"[A-Za-z0-9_.+\-]{1,64}\s*[\[(](?:at|arobase)[\])]\s*[A-Za-z0-9\-]+\s*(?:[\[(](?:dot|point)[\])]|\.|\bpoint\b)\s*[A-Za-z]{2,}", "", I),
-    Detector("EMAIL_AVEC", "email_txt", "direct", r"\b(?:De|From|À|A|To|Cc|Bcc)\s*:\s*[^<>\n]{0,200}<[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+>", "", I, "@"),
-    Detector("EMAIL_ESPACE", "email_txt", "direct", r"\b[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\s*\.\s*[A-Za-z]{2,}\b", "", 0, "@"),
-    Detector("EMAIL", "email_txt", "direct", r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+", "", 0, "@"),
-    Detector("TEL_FUZZY", "tel_txt", "direct", r"(?<!\d)(?:\+33|0033|0)[\s._\-]?[1-9](?:[\s._\-]?\d{2}){4}(?!\d)"),
-    Detector("TEL_PREFIXE", "tel_txt", "direct", r"(?:TEL|TÉL|PORT|MOBILE|FAX)\s*[.:]\s*[\d\s._\-+()]{1,30}", "", I),
-    Detector("TEL", "tel_txt", "direct", r"(?<!\d)0[1-9](?:[\s.\-]?\d{2}){4}(?!\d)"),
-    Detector("URL", "url_txt", "indirect", r"(?:https?://|www\.)\S+", "", I),
-    Detector("ORGA", "orga_txt", "indirect", r"\b(?:[A-ZÀ-Ý][\w&'\-]*\s+){1,5}(?:SA|SAS|SASU|SARL|EURL|SCI|SNC|GIE)\b"),
-    Detector("VOIE_NUM", "voie_txt", "indirect", r"\b\d{1,4}\s*(?:bis|ter|quater)?,?\s*" + _VOIE + r"\s+" + _WORDS, "", I),
-    Detector("VOIE_SANS", "voie_txt", "indirect", r"\b" + _VOIE + r"\s+(?:de|du|des|la|le|les|d')\s*" + _WORDS, "", I),
+    Detector("MAILTO", "email_txt", "direct", r"\bmailto:" + _ADDRESS, "", I, "@"),
+    Detector("EMAIL_OBFUSCATED", "email_txt", "direct", rf"\b{_LOCAL}++\s*+(?:@|\[at\]|\(at\)|\[arobase\])\s*[a-zA-Z0-9-]+\s*(?:\.|\[dot\]|\(dot\)|point)\s*[a-zA-Z0-9-.]+\b|\b(?P<skip>{_LOCAL}++)", "", I),
+    Detector("EMAIL_AVEC", "email_txt", "direct", rf"\b(?:De|From|À|A|To|Cc|Bcc)\s*:\s*[{_UP}][{_ANY}'\-]+(?:\s+[{_UP}][{_ANY}'\-]+)*\s*<{_ADDRESS}>", "", I, "@"),
+    Detector("EMAIL_ESPACE", "email_txt", "direct", _LOCAL + r"+@[a-zA-Z0-9-]+(?:\s*\.\s*|\s+|\.)[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-.]+)*", "", 0, "@"),
+    Detector("EMAIL", "email_txt", "direct", _ADDRESS, "", 0, "@"),
+    Detector("TEL_FUZZY", "tel_txt", "direct", r"(?<!\d)(?:(?:\+|00)33|0)\s*[1-9](?:[\s._\-]*\d){8}(?!\d)"),
+    Detector("TEL_PREFIXE", "tel_txt", "direct", r"TEL\s*:\s*[\d\s.\-]+", "", I),
+    Detector("TEL", "tel_txt", "direct", r"(?<!\d)(?:\+33|0)[1-9](?:[\s.\-]*\d{2}){4}(?!\d)"),
+    Detector("URL", "url_txt", "indirect", r"\bhttps?://\S+|\bwww\.\S+"),
+    Detector("ORGA", "orga_txt", "indirect", rf"\b{_NAMES}\s+(?:SA|SAS|SARL|SNC|EURL|SASU|SCI|SCM|SCOP|SEM|GIE|ASSOCIATION|FONDATION)\b|\b(?P<skip>{_NAMES})"),
+    Detector("VOIE_NUM", "voie_txt", "indirect", rf"\b\d+\s+{_VOIE}|bis|ter)\s+[{_ANY}'\-\s]{{3,}}", "", I),
+    Detector("VOIE_SANS", "voie_txt", "indirect", rf"\b{_VOIE})\s+[{_ANY}'\-\s]{{3,}}", "", I),
     Detector("CP", "cp_txt", "indirect", r"\b\d{5}\b", "context"),
-    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(?:née?|naissance)\s*(?:le|:)?\s*\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b", "", I, "", "fort"),
-    Detector("GPS", "gps_txt", "indirect", r"[\-+]?\d{1,2}\.\d{4,},\s*[\-+]?\d{1,3}\.\d{4,}", "", 0, ".", "fort"),
-    Detector("PLAQUE", "plaque_txt", "indirect", r"\b(?:[A-Z]{2}-\d{3}-[A-Z]{2}|\d{1,4}\s?[A-Z]{2,3}\s?\d{2})\b", "", 0, "", "fort"),
-    Detector("VILLE_COMPOSEE", "ville_txt", "indirect", r"\b[A-ZÀ-Ý]{2,}(?:-[A-ZÀ-Ý]{2,}){1,5}\b", "", 0, "-", "fort"),
-    Detector("IPV4", "ipv4_txt", "tech", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", "", 0, ".", "tech"),
-    Detector("IPV6", "ipv6_txt", "tech", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}|::1", "", 0, ":", "tech"),
-    Detector("MAC", "mac_txt", "tech", r"\b(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}\b", "", 0, "", "tech"),
-    Detector("JWT", "jwt_txt", "tech", r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "", 0, "eyJ", "tech"),
-    Detector("API_KEY", "api_key_txt", "tech", r"\b(?:sk_|pk_|api_)[A-Za-z0-9]{20,}\b", "", 0, "_", "tech"),
+    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(?:né|née|naissance)(?:e|s)?\s+(?:le|du|au)?\s*:?\s*\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", "", I, "", "fort"),
+    Detector("GPS", "gps_txt", "indirect", r"\b-?(?:[1-8]?\d\.\d+|90\.0+)[,\s]+-?(?:1(?:[0-7]\d)|[1-9]?\d)\.\d+\b", "", 0, ".", "fort"),
+    Detector("PLAQUE", "plaque_txt", "indirect", r"\b(?:[A-Z]{2}[-\s]?\d{3}[-\s]?[A-Z]{2}|\d{1,4}[-\s]?[A-Z]{2,3}[-\s]?\d{2})\b", "", 0, "", "fort"),
+    Detector("VILLE_COMPOSEE", "ville_txt", "indirect", rf"\b[{_UP}]{{3,}}(?:[\s-](?:SUR|SOUS|LES|AUX|LEZ|LÈZ|DE|DU|D')[\s-][{_UP}]{{3,}})+\b", "", 0, "", "fort"),
+    Detector("IPV4", "ipv4_txt", "tech", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "", 0, ".", "tech"),
+    Detector("IPV6", "ipv6_txt", "tech", r"(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,7}:|::(?:[a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}", "", 0, ":", "tech"),
+    Detector("MAC", "mac_txt", "tech", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "", 0, "", "tech"),
+    Detector("JWT", "jwt_txt", "tech", r"\beyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b", "", 0, "eyJ", "tech"),
+    Detector("API_KEY", "api_key_txt", "tech", r"\b(?:sk|pk|api)_[a-zA-Z0-9]{20,}\b", "", 0, "_", "tech"),
 )
 _CHECKS = {"luhn": luhn_check, "siret": siret_check, "nir": nir_check, "iban": iban_check}
 _READY = [(d, d.compiled()) for d in DETECTORS]
@@ -126,7 +130,7 @@ def detect_regex(text: str | None, fort: bool = False, tech: bool = False, only:
             continue
         for m in shape.finditer(text):
             v = m.group()
-            if not v or d.check in _CHECKS and not _CHECKS[d.check](v) or d.check == "context" and negative_context(text, m.start(), len(v)):
+            if m.lastgroup == "skip" or d.check in _CHECKS and not _CHECKS[d.check](v) or d.check == "context" and negative_context(text, m.start(), len(v)):
                 continue
             found.append((m.start(), -m.end(), n, Span(m.start(), m.end(), d.entity_type, v, 1.0, "regex", d.risk)))
     kept: list[Span] = []
