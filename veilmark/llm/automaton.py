@@ -95,10 +95,10 @@ def folded(tree):
 
 
 def shortest(tree):
-    """The tree with a closing open-ended repeat cut to its least count: it ends where the full rule first ends."""
+    """The tree with a closing repeat cut to its least count: it ends where the full rule first ends."""
     if tree[0] == "cat" and tree[1]:
         return ("cat", [*tree[1][:-1], shortest(tree[1][-1])])
-    if tree[0] == "rep" and tree[3] is None:
+    if tree[0] == "rep":
         return ("rep", tree[1], tree[2], tree[2])
     return tree
 

@@ -45,6 +45,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
+#: A private key: the header line, header fields of an encrypted key, and its base64 text up to the END line.  Where there
+#: is none, pieces of 16 signs or more and the piece after them, so that words after a lone header stay.  Line ends may be
+#: written as backslash and letter.
+_GAP, _B64, _HEAD = r"([\x20\x09\x0d\x0a]|\\[nrt])", "[A-Za-z0-9+/=]", "[A-Z ]*PRIVATE KEY-----"
+_FIELDS = rf"({_GAP}+[A-Za-z][A-Za-z0-9-]*:[\x20-\x7e]*)*"
+PEM = rf"-----BEGIN {_HEAD}({_FIELDS}(({_GAP}|{_B64})*-----END {_HEAD}|{_GAP}*{_B64}{{16,}}({_GAP}+{_B64}{{16,}})*({_GAP}+{_B64}+)?))?"
 #: Added rules: well-known credential formats with a fixed prefix.  Lengths are bounds on matches rather than counts in
 #: the pattern where a prefix may recur inside its own tail: there, counting would multiply the automaton's states.
 ADDED = (
@@ -53,7 +59,7 @@ ADDED = (
     Rule("payment", r"[rs]k_(live|test)_[A-Za-z0-9]+", 24),
     Rule("maps", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 36),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
 )
 RULES = BASE + ADDED
 
