@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, minhash
-from .common import session_defaults
+from .common import keep, session_defaults
 from .secrets import redact_secrets
 
 
@@ -17,10 +18,24 @@ def language_stage(spark, docs, sf_dir):
 
 
 def dedup_stage(spark, docs, sf_dir):
-    """One document of each group of near copies (five words, 0.8) stays; repeated rows of the kept id stay once."""
+    """One document of each group of near copies (five words, 0.8) stays, that of the least doc_id (null last, then the first row by number).
+
+    Rows are told apart by a number of their own, so rows with null or shared doc_id are judged by their own text.  Rows
+    equal in all columns stay once.
+    """
     session_defaults(spark)
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = keep(numbered(docs), "rows")
+    groups = minhash.near_duplicates(rows, id_col="number").select("number", "component_id").join(rows.select("number", "doc_id"), "number")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
+    return rows.join(first.select("first.number"), "number", "left_semi").select(*docs.columns)
+
+
+def numbered(docs):
+    """Each distinct row once, with a number that depends on the rows alone: its group and its place in the group's order."""
+    rows = docs.withColumn("__g", F.pmod(F.xxhash64(*docs.columns), F.lit(4096)))
+    order = Window.partitionBy("__g").orderBy(*docs.columns)
+    placed = rows.withColumns({"__at": F.row_number().over(order), "__first": F.rank().over(order)}).filter("__at = __first")
+    return placed.select(*docs.columns, (F.col("__g") * F.lit(1 << 40) + F.col("__at")).alias("number"))
 
 
 def decontaminate_stage(spark, docs, sf_dir):
