@@ -224,3 +224,16 @@ def test_dedup_stage_keeps_texts_with_null_and_shared_ids(spark):
     want = [(None, a), (None, b), (1, c), (1, d), (3, None), (4, None), (None, None)]
     key = lambda r: (r[0] or 0, r[1] or "")
     assert sorted(map(tuple, stages.dedup_stage(spark, docs, "").collect()), key=key) == sorted(want, key=key)
+
+
+def test_decontamination_of_shared_ids_and_every_copy(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcd"]
+    bench = spark.createDataFrame([(9, texts[0]), (9, texts[1]), (None, texts[2]), (None, texts[3]), (7, "one two three four five")], "item_id long, text string")
+    short = "one two three four five"
+    long_text = f"x {texts[0]} " + "filler word " * 40 + f"{texts[0]} {texts[0]}"
+    d = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, long_text), (5, f"{short} {short} and {short}")], "doc_id long, text string")
+    got = {r.doc_id: [(m.item_id, m.score, m.start) for m in r.matches] for r in decontaminate.find(d, bench, ["doc_id"]).collect()}
+    assert got[0] == got[1] == [(9, 1.0, 0)] and got[2] == got[3] == [(None, 1.0, 0)]
+    n = len(texts[0])
+    assert got[4] == [(9, 1.0, 2), (9, 1.0, len(long_text) - 2 * n - 1), (9, 1.0, len(long_text) - n)]
+    assert got[5] == [(7, 1.0, 0), (7, 1.0, len(short) + 1), (7, 1.0, 2 * len(short) + 6)]

@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare word n-gram seeds join texts to test items, then local alignment scores the copy.
 
 Each stretch of STRIDE words of an item keeps its rarest SEED-gram (by the share of items that hold it, then by hash), so
-every stretch of an item can be found.  Seeds of all items are a table of at most items x words / STRIDE rows; its size
-is checked: up to SEED_BOUND rows it travels to every task, beyond that the texts' n-grams join it by a shuffle.
-A seed hit opens a window of the text around the item's place, which Smith-Waterman aligns word by word.
+every stretch of an item can be found.  Seeds of all items are a table of at most items x words / STRIDE rows that travels
+to every task; its size is checked, and beyond SEED_BOUND rows find() raises, so a larger benchmark is passed in blocks.
+A seed hit opens a window of the text around the item's place, which Smith-Waterman aligns word by word; what is left of
+the window beside a match is aligned again.
 
 Results by case: null and empty texts or items match nothing; an item shorter than SEED words is its own seed; repeated
-rows give repeated matches; the best window of each item and text is reported; texts are scanned whole.
+rows give repeated matches; rows of the benchmark that share an item_id or have none are items of their own; every copy of
+an item in a text is reported, the better of two that overlap; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -66,16 +68,33 @@ def seeds_of(items: list[tuple[int, list[str]]]) -> dict:
     return out
 
 
+def copies(target: list[str], plain: list[str], low: int, high: int) -> list[tuple[float, int, int]]:
+    """(score, first, end) of alignments of LEAST or more in plain[low:high] that do not overlap: the best, then beside it."""
+    out, todo = [], [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        # Fewer words cannot score LEAST.
+        if high - low < LEAST * len(target):
+            continue
+        s, a, b = align(target, plain[low:high])
+        score = s / (MATCH * len(target))
+        if s and score >= LEAST:
+            out.append((score, low + a, low + b))
+            todo += [(low, low + a), (low + b, high)]
+    return out
+
+
 def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys plus matches: item, score (alignment over the most it could be) and span, for scores of LEAST or more."""
     size = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     if size / STRIDE > SEED_BOUND:
         raise ValueError("the benchmark exceeds SEED_BOUND: pass it in blocks and union the matches")
-    items = [(r[0], [w for w, _, _ in tokens(r[1])]) for r in benchmark.select("item_id", "text").orderBy("item_id").collect()]
-    held = docs.sparkSession.sparkContext.broadcast((dict(items), seeds_of(items)))
+    rows = benchmark.select("item_id", "text").orderBy("item_id", "text").collect()
+    items = [(n, [w for w, _, _ in tokens(r[1])]) for n, r in enumerate(rows)]
+    held = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], dict(items), seeds_of(items)))
 
     def setup():
-        known, seeds = held.value
+        names, known, seeds = held.value
         short = {len(g) for g in seeds}
 
         def matches(text):
@@ -88,20 +107,20 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str =
                         near.setdefault(item, {}).setdefault((i - place) // 16, i - place)
             out = []
             for item, starts in near.items():
-                target, best = known[item], None
+                target, found = known[item], []
                 done = -1
                 for at in sorted(starts.values()):
                     low, high = max(0, at - 16), min(len(plain), at + len(target) + 16)
                     if high <= done:
                         continue
                     done = high
-                    s, a, b = align(target, plain[low:high])
-                    if best is None or s > best[0]:
-                        best = (s, low + a, low + b)
-                score = best[0] / (MATCH * len(target))
-                if score >= LEAST:
-                    out.append({"item_id": item, "score": score, "start": words[best[1]][1], "end": words[best[2] - 1][2]})
-            return sorted(out, key=lambda m: m["item_id"])
+                    found += copies(target, plain, low, high)
+                taken: list = []
+                for s, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                    if all(b <= c or d <= a for _, c, d in taken):
+                        taken.append((s, a, b))
+                out += [{"item_id": names[item], "score": s, "start": words[a][1], "end": words[b - 1][2]} for s, a, b in taken]
+            return sorted(out, key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["start"], m["end"]))
 
         return lambda texts: {"matches": [matches(t) for t in texts]}
 
