@@ -237,3 +237,14 @@ def test_decontamination_of_shared_ids_and_every_copy(spark):
     n = len(texts[0])
     assert got[4] == [(9, 1.0, 2), (9, 1.0, len(long_text) - 2 * n - 1), (9, 1.0, len(long_text) - n)]
     assert got[5] == [(7, 1.0, 0), (7, 1.0, len(short) + 1), (7, 1.0, 2 * len(short) + 6)]
+
+
+def test_language_stage_judges_by_script_and_spans(spark):
+    known = ["the children went to school and the weather was fine today", "le chien est dans la maison avec les enfants"]
+    rows = [(i, known[i % 2] + f" number {i}", ["en", "fr"][i % 2]) for i in range(2000)]
+    other = ["Все люди рождаются свободными и равными", "人人生而自由 在尊严和权利上一律平等", "Zażółć gęślą jaźń i wszystko będzie dobrze w naszym kraju", "12 34", None]
+    mixed = [known[0] + " Все люди", known[1] + " 12 34"]
+    docs = spark.createDataFrame(rows + [(2000 + i, t, None) for i, t in enumerate(other + mixed)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in stages.language_stage(spark, docs, "").collect()} == {*range(2000), 2005, 2006}
+    none = docs.withColumn("lang", queries.F.lit(None).cast("string"))
+    assert {r.doc_id for r in stages.language_stage(spark, none, "").collect()} == {*range(2003), 2005, 2006}

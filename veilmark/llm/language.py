@@ -5,7 +5,10 @@ and the scripts each language was seen in.  A word's score for a language is the
 pays SWITCH for each change of language.  If, for the best single language a and every other b, no stretch of words
 favours b over a by more than SWITCH, then a alone is the best path, so the dynamic program runs on mixed texts only.
 
-Results by case: null text, empty text and text without a letter give `und` with score 0 and no spans; ties go to the
+fit is the share of letters that some learned language accounts for: in words of a script that one was seen in, and in
+spans whose trigrams are on average no less likely than chance (FLOOR).  Without a learned language every letter fits.
+
+Results by case: null text, empty text and text without a letter give `und` with score 0, fit 0 and no spans; ties go to the
 language that sorts first; equal texts give equal results; texts are read whole; other columns are not looked at.
 """
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_texts
 
 BUCKETS, SWITCH = 1 << 15, 25.0
+#: Mean log probability of a trigram by chance, less what smoothing takes from small training tables.
+FLOOR = -float(np.log(BUCKETS)) - 0.25
 #: First and last code points of scripts; letters outside count as "other".
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 
@@ -116,26 +121,30 @@ def labeller(model: dict):
     langs, table, seen = model["langs"], model["table"], model["seen"]
 
     def label(text):
-        found = analysed(text) if langs else None
-        if found is None:
-            return "und", 0.0, []
+        found = analysed(text)
+        if found is None or not langs:
+            return "und", 0.0, [], float(found is not None)
         buckets, starts, at, scripts = found
-        scores = np.add.reduceat(table[buckets], starts, axis=0)
+        scores = plain = np.add.reduceat(table[buckets], starts, axis=0)
         fits = seen[scripts]
         narrow = fits.any(axis=1, keepdims=True) & ~fits
         scores = np.where(narrow, scores.min(axis=1, keepdims=True) - 10, scores)
         path = best_path(scores)
-        weight = np.bincount(path, weights=np.diff(starts, append=len(at)), minlength=len(langs))
+        sizes = np.diff(starts, append=len(at))
+        weight = np.bincount(path, weights=sizes, minlength=len(langs))
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         ends = [*starts[1:].tolist(), len(at)]
         spans = [{"start": int(at[starts[i]]), "end": int(at[ends[j - 1] - 1]) + 1, "lang": langs[path[i]]} for i, j in zip(cuts, cuts[1:])]
-        return langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans
+        # By span: letters, those in a known script, and how likely the span's trigrams are in its language.
+        known, total, likely = (np.add.reduceat(x, cuts[:-1]) for x in (sizes * fits.any(axis=1), sizes, plain[np.arange(len(path)), path].astype(np.float64)))
+        fit = known[likely >= FLOOR * total].sum() / len(at)
+        return langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans, float(fit)
 
     return label
 
 
 def identify(docs: DataFrame, model: dict, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, lang_pred, score (share of letters in that language's spans) and the spans of mixed-language text."""
+    """keys, lang_pred, score (share of letters in that language's spans), the spans of mixed-language text, and fit."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def setup():
@@ -143,11 +152,11 @@ def identify(docs: DataFrame, model: dict, keys: list[str], text_col: str = "tex
 
         def batch(texts):
             out = [label(t) for t in texts]
-            return {"lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "lang_spans": [o[2] for o in out]}
+            return {"lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "lang_spans": [o[2] for o in out], "fit": [o[3] for o in out]}
 
         return batch
 
-    return map_texts(docs, keys, "lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>", setup, text_col)
+    return map_texts(docs, keys, "lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>, fit double", setup, text_col)
 
 
 __all__ = ["best_path", "identify", "labeller", "train"]
