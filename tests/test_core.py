@@ -115,3 +115,10 @@ def test_each_detector(name, text, value):
 def test_number_contexts_and_long_runs():
     assert all(D.negative_context(f"{w} 12345", len(w) + 1, 5) for w in ("décret", "dossier", "lot", "ref.", "fig.", "p.", "kg", "degrés"))
     assert D.detect_regex("ABC " * 20000 + "a.b-" * 20000) == []
+
+
+def test_persons_share_a_token_whatever_the_order(spark):
+    df = spark.createDataFrame([(1, "Jean Dupont"), (2, "dupont jean"), (3, "Marie Dupont")], "id long, text string")
+    found = T.detect_spans(df, blacklist=("Jean Dupont", "Dupont Jean", "Marie Dupont"))
+    out, words = T.pseudonymise(found, "id")
+    assert {r.id: r.result for r in out.collect()} == {1: "[PERSONNE_1]", 2: "[PERSONNE_1]", 3: "[PERSONNE_2]"}

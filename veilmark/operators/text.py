@@ -35,12 +35,17 @@ def prefix_of(kind):
     return F.coalesce(F.element_at(F.create_map(*pairs), kind), F.upper(kind))
 
 
+def norm_of():
+    """What values of one token have in common."""
+    return F.when(F.col("entity_type") == "personne", person_key(F.col("value"))).otherwise(F.lower(F.trim("value")))
+
+
 def token_dictionary(spans: DataFrame, key: str, numbering: str = "type") -> DataFrame:
     """One row per distinct value: numbered by first appearance within its type (or its printed prefix: lossless).
 
     Occurrences are combined before the shuffle.  Numbers count ranges of a distributed sort, so no task gets a whole type.
     """
-    occ = spans.withColumn("norm", F.lower(F.trim("value"))).withColumn("prefix", prefix_of(F.col("entity_type")))
+    occ = spans.withColumn("norm", norm_of()).withColumn("prefix", prefix_of(F.col("entity_type")))
     group = "entity_type" if numbering == "type" else "prefix"
     first = occ.groupBy(F.col(group).alias("grp"), "prefix", "norm").agg(F.min(F.struct(key, "span_ord")).alias("pos"), F.min_by("value", F.struct(key, "span_ord")).alias("original"))
     # Two levels: bounded blocks of the key are numbered apart, then offset by what earlier blocks hold.
@@ -69,7 +74,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", numbering: str
     spans = explode_spans(df, key)
     words = token_dictionary(spans, key, numbering)
     grp = F.col("entity_type") if numbering == "type" else prefix_of(F.col("entity_type"))
-    hit = spans.withColumn("grp", grp).withColumn("norm", F.lower(F.trim("value"))).join(words.select("grp", "norm", "token"), ["grp", "norm"])
+    hit = spans.withColumn("grp", grp).withColumn("norm", norm_of()).join(words.select("grp", "norm", "token"), ["grp", "norm"])
     pieces = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("token").alias("repl")))).alias("pieces"))
     out = df.join(pieces, key, "left").withColumn("result", F.when(F.col("pieces").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("pieces")))).drop("pieces")
     return out, words
