@@ -1,66 +1,69 @@
-"""Span detection, token numbering, rewriting, scoring and restoring as DataFrame stages."""
+"""Span detection, rewriting, scoring and validating of free text as DataFrame stages."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.detectors import detect
+from veilmark.operators.tokens import occurrences, person_key, prefix_of, splice, token_dictionary, with_tokens
+from veilmark.operators.tokens import restore as _restore
+from veilmark.scratch import keep
 
-SPANS = "array<struct<start:int,end:int,entity_type:string,value:string,score:double,source:string,risk_type:string>>"
+SPAN = "struct<start:int,end:int,entity_type:string,value:string,score:double,source:string,risk_type:string>"
+SPANS = f"array<{SPAN}>"
 POINTS = {"finance": 5, "direct": 3, "tech": 2, "indirect": 1}
-#: Printed prefixes of entity types; any other type prints its own name in capitals.
-PREFIXES = {"email_txt": "EMAIL", "tel_txt": "TEL", "personne": "PERSONNE", "ipv4_txt": "IPV4", "cb_txt": "CB", "url_txt": "URL", "siret_txt": "SIRET", "nir_txt": "NIR", "iban_txt": "IBAN", "fiscal_txt": "FISCAL", "cvv_txt": "CVV", "orga_txt": "ORGA", "voie_txt": "VOIE"}
 
 
-def detect_spans(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """Adds spans: narrow, Arrow-batched; options as functions.detectors.detect.  Null text has no spans."""
+def detect_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", **options) -> DataFrame:
+    """Adds spans: narrow, Arrow-batched; options as functions.detectors.detect.  Null and empty text have no spans.
+
+    Options `names` may be a DataFrame of kind ("first" or "family") and word: then the words of doubtful persons are
+    joined to it, so a list of any size works; a frozenset goes to every task and is for small lists.
+    """
+    names = options.get("names")
+    if isinstance(names, DataFrame):
+        early = {**options, "names": None, "whitelist": (), "blacklist": ()}
+        found = _checked(_spans(df, text_col, out_col, early), names, out_col)
+        return _listed(found, text_col, out_col, options.get("whitelist", ()), options.get("blacklist", ()))
+    return _spans(df, text_col, out_col, options)
+
 
+def _spans(df: DataFrame, text_col: str, out_col: str, options: dict) -> DataFrame:
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[s._asdict() for s in detect(t, **options)] for t in texts])
 
-    return df.withColumn("spans", spans(F.col(text_col)))
-
-
-def explode_spans(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.posexplode("spans").alias("span_ord", "s")).select(key, "span_ord", "s.*")
-
+    return df.withColumn(out_col, spans(F.col(text_col)))
 
-def prefix_of(kind):
-    pairs = [x for k, v in PREFIXES.items() for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), kind), F.upper(kind))
 
+def _checked(df: DataFrame, names: DataFrame, out_col: str) -> DataFrame:
+    """Drops doubtful persons none of whose words is in names: a join of their words, each once a row."""
+    rows = keep(df.withColumn("__row", F.monotonically_increasing_id()), "doubtful")
+    doubtful = lambda s: (s["source"] == "ner") & (s["entity_type"] == "personne") & (s["score"] < 0.7)
+    values = F.transform(F.filter(out_col, doubtful), lambda s: F.upper(s["value"]))
+    words = rows.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(values, lambda v: F.split(v, r"\s+"))))).alias("word")).filter(F.length("word") >= 2)
+    plain = F.translate("word", "ÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ", "AAAAAACEEEEIIIINOOOOOUUUUYY")
+    asked = words.withColumn("spelt", F.array_distinct(F.array(F.concat(F.lit("family "), "word"), F.concat(F.lit("first "), "word"), F.concat(F.lit("first "), plain))))
+    known = names.select(F.concat("kind", F.lit(" "), F.upper(F.trim("word"))).alias("spelt")).distinct()
+    good = asked.select("__row", "word", F.explode("spelt").alias("spelt")).join(known, "spelt", "left_semi").groupBy("__row").agg(F.collect_set("word").alias("__good"))
+    kept = F.filter(out_col, lambda s: ~doubtful(s) | F.arrays_overlap(F.split(F.upper(s["value"]), r"\s+"), F.coalesce("__good", F.array().cast("array<string>"))))
+    return rows.join(good, "__row", "left").withColumn(out_col, kept).select(*df.columns)
 
-def norm_of():
-    """What values of one token have in common."""
-    return F.when(F.col("entity_type") == "personne", person_key(F.col("value"))).otherwise(F.lower(F.trim("value")))
 
+def _listed(df: DataFrame, text_col: str, out_col: str, whitelist, blacklist) -> DataFrame:
+    from veilmark.functions.detectors import Span, apply_lists
 
-def token_dictionary(spans: DataFrame, key: str, numbering: str = "type") -> DataFrame:
-    """One row per distinct value: numbered by first appearance within its type (or its printed prefix: lossless).
+    @F.pandas_udf(SPANS)
+    def listed(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([[s._asdict() for s in apply_lists(t or "", [Span(**x) for x in own], whitelist, blacklist)] for t, own in zip(texts, spans, strict=True)])
 
-    Occurrences are combined before the shuffle.  Numbers count ranges of a distributed sort, so no task gets a whole type.
-    """
-    occ = spans.withColumn("norm", norm_of()).withColumn("prefix", prefix_of(F.col("entity_type")))
-    group = "entity_type" if numbering == "type" else "prefix"
-    first = occ.groupBy(F.col(group).alias("grp"), "prefix", "norm").agg(F.min(F.struct(key, "span_ord")).alias("pos"), F.min_by("value", F.struct(key, "span_ord")).alias("original"))
-    # Two levels: bounded blocks of the key are numbered apart, then offset by what earlier blocks hold.
-    block = first.withColumn("block", F.floor(F.col(f"pos.{key}") / 4096))
-    sizes = block.groupBy("grp", "block").count()
-    w = Window.partitionBy("grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("grp", "block", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
-    num = F.row_number().over(Window.partitionBy("grp", "block").orderBy("pos", "norm"))
-    return block.withColumn("n", num).join(offsets, ["grp", "block"]).select("grp", "norm", "original", (F.col("n") + F.col("before")).cast("bigint").alias("num"), F.concat(F.lit("["), "prefix", F.lit("_"), (F.col("n") + F.col("before")).cast("string"), F.lit("]")).alias("token"))
+    return df.withColumn(out_col, listed(F.col(text_col), F.col(out_col)))
 
 
-def splice(text, pieces):
-    """Text with pieces (struct start, end, repl; by start) put in, by one fold; JVM only."""
-    done = F.aggregate(pieces, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, p: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, p["start"] - a["at"]), p["repl"]).alias("out"), p["end"].alias("at")))
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+def explode_spans(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.posexplode("spans").alias("span_ord", "s")).select(key, "span_ord", "s.*")
 
 
 def anonymise(df: DataFrame, text_col: str = "text", mark: str = "***") -> DataFrame:
@@ -69,47 +72,58 @@ def anonymise(df: DataFrame, text_col: str = "text", mark: str = "***") -> DataF
     return df.withColumn("result", splice(F.col(text_col), pieces))
 
 
+def redact(df: DataFrame, text_col: str = "text", how: str = "redact") -> DataFrame:
+    """Extension, documented for the reference but not built there: "redact" prints a block of the span's length, "hash" its MD5."""
+    repl = (lambda s: F.repeat(F.lit("█"), s["end"] - s["start"])) if how == "redact" else (lambda s: F.md5(s["value"].cast("binary")))
+    return df.withColumn("result", splice(F.col(text_col), F.transform("spans", lambda s: F.struct(s["start"], s["end"], repl(s).alias("repl")))))
+
+
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text", numbering: str = "type") -> tuple[DataFrame, DataFrame]:
-    """(rows with result, dictionary).  Only spans travel to the dictionary; rows without spans never shuffle by value."""
-    spans = explode_spans(df, key)
-    words = token_dictionary(spans, key, numbering)
-    grp = F.col("entity_type") if numbering == "type" else prefix_of(F.col("entity_type"))
-    hit = spans.withColumn("grp", grp).withColumn("norm", norm_of()).join(words.select("grp", "norm", "token"), ["grp", "norm"])
-    pieces = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("token").alias("repl")))).alias("pieces"))
-    out = df.join(pieces, key, "left").withColumn("result", F.when(F.col("pieces").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("pieces")))).drop("pieces")
-    return out, words
+    """(rows with result, dictionary) of rows with spans.
+
+    Rows and their spans are kept once, so nothing is detected again; only rows that have spans meet their tokens.  Numbers
+    follow key, then the row's place; rows with null or equal keys are told apart.  Null text stays null.
+    """
+    rows = keep(df.withColumn("__row", F.monotonically_increasing_id()), "spans")
+    spans = occurrences(rows.filter(F.size("spans") > 0).select(F.col(key).alias("__key"), "__row", "spans"), "__key")
+    words = keep(token_dictionary(spans, "__key", "__row", numbering=numbering), "dictionary")
+    pieces = with_tokens(spans, words, numbering).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("token").alias("repl")))).alias("__pieces"))
+    changed = rows.filter(F.size("spans") > 0).join(pieces, "__row").withColumn("result", splice(F.col(text_col), F.col("__pieces")))
+    same = rows.filter((F.size("spans") == 0) | F.col("spans").isNull()).withColumn("result", F.col(text_col))
+    return changed.select(*df.columns, "result").unionByName(same.select(*df.columns, "result")), words
 
 
-def restore(df: DataFrame, words: DataFrame, key: str, text_col: str = "result") -> DataFrame:
-    """Tokens back to their originals through a join on the token, longest match by construction."""
-    parts = df.select(key, F.posexplode(F.split(text_col, r"(?=\[[A-Z0-9_]+\])|(?<=\])")).alias("n", "part"))
-    back = parts.join(words.select(F.col("token").alias("part"), "original"), "part", "left")
-    return back.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("original", "part").alias("v")))), lambda x: x["v"]), "").alias("restored"))
+def restore(df: DataFrame, words: DataFrame, key: str | None = None, text_col: str = "result") -> DataFrame:
+    """df plus restored and n_restored; see operators.tokens.restore.  No key is needed."""
+    return _restore(df, words, text_col)
 
 
 def risk_level(score):
     return F.when(score == 0, "NUL").when(score < 10, "FAIBLE").when(score < 50, "MODÉRÉ").when(score < 100, "ÉLEVÉ").otherwise("CRITIQUE")
 
 
+def points(risk):
+    """Points of a category; an unknown one counts one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv]), risk), F.lit(1))
+
+
 def with_risk(df: DataFrame) -> DataFrame:
-    """score, level and counts by category of each row; an unknown category counts one point."""
+    """score, level and counts by category of each row."""
     of = lambda k: F.size(F.filter("spans", lambda s: s["risk_type"] == k))
-    score = F.aggregate("spans", F.lit(0), lambda a, s: a + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv]), s["risk_type"]), F.lit(1)))
-    out = df.withColumn("score", score.cast("bigint"))
+    out = df.withColumn("score", F.aggregate("spans", F.lit(0), lambda a, s: a + points(s["risk_type"])).cast("bigint"))
     return out.withColumn("level", risk_level(F.col("score"))).withColumns({f"n_{k}": of(k).cast("bigint") for k in POINTS})
 
 
-def person_key(col):
-    """Persons match whatever the order of two names: letters only, lower case, titles off, two words sorted."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(col), r"\b(m|mme|mlle|dr|me)\.?\s", " "), r"[^\p{L}'\- ]+", " "))
-    words = F.split(plain, r"\s+")
-    return F.when((F.size(words) == 2) & ~plain.contains("'"), F.array_join(F.array_sort(words), " ")).otherwise(plain)
-
-
 def validate(df: DataFrame, key: str, text_col: str = "result") -> DataFrame:
     """Spans left after masking; tokens themselves are no leaks."""
     left = explode_spans(detect_spans(df, text_col, fort=True, tech=True), key)
     return left.filter(~(F.col("value").startswith("[") & F.col("value").endswith("]")))
 
 
-TOKEN = re.compile(r"\[[A-Z0-9_]+\]")
+def clean(df: DataFrame, key: str, text_col: str = "result") -> DataFrame:
+    """key, clean, n_leaks of every row."""
+    found = F.filter("spans", lambda s: ~(s["value"].startswith("[") & s["value"].endswith("]")))
+    return detect_spans(df, text_col, fort=True, tech=True).select(key, (F.size(found) == 0).alias("clean"), F.size(found).cast("bigint").alias("n_leaks"))
+
+
+__all__ = ["POINTS", "SPANS", "anonymise", "clean", "detect_spans", "explode_spans", "person_key", "points", "prefix_of", "pseudonymise", "redact", "restore", "risk_level", "splice", "token_dictionary", "validate", "with_risk"]

@@ -1,17 +1,31 @@
-"""Queries over the driver's tables, with their SQL where SQL can express them."""
+"""Queries over the driver's tables and over literal texts, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilmark.functions import detectors as D
+from veilmark.functions.schema_tools import analyze, generate, validate_mapping
+from veilmark.operators import diagnose, report
 from veilmark.operators import text as T
+from veilmark.operators.model import Model
+from veilmark.operators.structure import Mapping, process
+from veilmark.operators.tokens import person_key, restore
+from veilmark.plans import literals as L
+from veilmark.sources.files import dictionary_list, first_rows
 
-EMAIL = r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+#: Fixed values, in the dialect of the oracle.
+EMAIL = r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9\-.]+"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+URL = r"\bhttps?://\S+|\bwww\.\S+"
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def some(spark, sf_dir, *names, **more):
@@ -25,7 +39,7 @@ def flagship(spark, sf_dir):
 
 
 def email_spans(spark, sf_dir):
-    return T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id").select("doc_id", F.col("start").cast("bigint").alias("start"), "value")
+    return T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id").select("doc_id", "span_ord", "value")
 
 
 def email_jvm(spark, sf_dir):
@@ -36,34 +50,70 @@ def ipv4_counts(spark, sf_dir):
     return some(spark, sf_dir, "IPV4", tech=True).select("doc_id", F.size("spans").cast("bigint").alias("n")).filter("n > 0")
 
 
+def url_pages(spark, sf_dir):
+    """Addresses in raw pages."""
+    found = diagnose.extract(table(spark, sf_dir, "pages"), "page_id", "html", only=frozenset({"URL"}))
+    return found.select("page_id", "text", "type", "risk_type")
+
+
 def anon_email(spark, sf_dir):
     return T.anonymise(some(spark, sf_dir, "EMAIL")).select("doc_id", "result")
 
 
+def redact_email(spark, sf_dir):
+    return T.redact(some(spark, sf_dir, "EMAIL")).select("doc_id", "result")
+
+
 def risk_score(spark, sf_dir):
     return T.with_risk(some(spark, sf_dir, "EMAIL")).select("doc_id", "score", "level", "n_direct")
 
 
 def risk_levels(spark, sf_dir):
-    return T.with_risk(some(spark, sf_dir, "EMAIL")).groupBy("level").agg(F.count("*").alias("n"))
+    return report.level_distribution(T.with_risk(some(spark, sf_dir, "EMAIL")))
+
+
+def file_score(spark, sf_dir):
+    return report.file_score(T.with_risk(some(spark, sf_dir, "EMAIL", "IPV4", tech=True))).select("records", "errors", "score", F.round("mean", 6).alias("mean"), "level")
+
+
+def risk_details(spark, sf_dir):
+    return report.details(T.explode_spans(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id"))
 
 
 def type_counts(spark, sf_dir):
-    return T.explode_spans(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id").groupBy("entity_type").agg(F.count("*").alias("n"))
+    return report.type_counts(T.explode_spans(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id"))
+
+
+def distinct_values(spark, sf_dir):
+    return report.distinct_values(T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id"))
 
 
 def email_dictionary(spark, sf_dir):
     return T.token_dictionary(T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id"), "doc_id").select("norm", "original", "num", "token")
 
 
+def pseudo_email(spark, sf_dir):
+    return T.pseudonymise(some(spark, sf_dir, "EMAIL"), "doc_id")[0].select("doc_id", "result")
+
+
+def dictionary_export(spark, sf_dir):
+    return dictionary_list(T.token_dictionary(T.explode_spans(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id"), "doc_id"))
+
+
 def restore_roundtrip(spark, sf_dir):
-    out, words = T.pseudonymise(some(spark, sf_dir, "EMAIL"), "doc_id", numbering="prefix")
-    # Values that differ in case share a token, so the round trip is held in lower case.
-    return T.restore(out, words, "doc_id").select("doc_id", F.lower("restored").alias("restored"))
+    out, words = T.pseudonymise(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id", numbering="exact")
+    return T.restore(out, words).select("doc_id", "restored", "n_restored")
+
+
+def restore_shared(spark, sf_dir):
+    """Of several rows of one token the last counts; unknown tokens and null stay."""
+    words = spark.createDataFrame([("email", 1, "[EMAIL_1]", "a@x.fr"), ("email_txt", 1, "[EMAIL_1]", "b@x.fr"), ("personne", 1, "[PERSONNE_1]", "A"), ("personne", 10, "[PERSONNE_10]", "B")], "grp string, num long, token string, original string")
+    rows = spark.createDataFrame([(1, "x [EMAIL_1] y"), (2, "[PERSONNE_1] et [PERSONNE_10], [PERSONNE_1]"), (3, None), (4, "[AUTRE_1] [x]"), (5, "")], "id long, result string")
+    return restore(rows, words).select("id", "restored", "n_restored")
 
 
 def whitelist(spark, sf_dir):
-    return T.explode_spans(some(spark, sf_dir, "EMAIL", whitelist=("nobody@example.com",)), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return T.explode_spans(some(spark, sf_dir, "IPV4", tech=True, whitelist=("10.0.0.1", "THWHHE.68@mail2.example.com")).unionByName(some(spark, sf_dir, "EMAIL", whitelist=("THWHHE.68@mail2.example.com",))), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def blacklist(spark, sf_dir):
@@ -71,53 +121,233 @@ def blacklist(spark, sf_dir):
 
 
 def samples(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("entity_type").orderBy("doc_id", "start")
-    s = T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id").withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
-    return s.select("entity_type", "rank", F.substring("value", 1, 60).alias("sample"))
+    return report.samples(T.explode_spans(some(spark, sf_dir, "EMAIL"), "doc_id"), "doc_id", "start")
 
 
 def leaks(spark, sf_dir):
     return T.validate(T.anonymise(T.detect_spans(docs(spark, sf_dir).select("doc_id", "text"), fort=True, tech=True)), "doc_id").groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-def unwrap_props(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+def score_by_quality(spark, sf_dir):
+    scored = T.with_risk(some(spark, sf_dir, "EMAIL")).select("doc_id", "score")
+    return scored.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.sum("score").cast("bigint").alias("score"))
+
+
+# --- records
+
+
+def structured_tokens(spark, sf_dir):
+    """Names and segments of customers; a repeated value keeps its token."""
+    m = Mapping.from_dict({"champs_sensibles": {"c_name": {"type": "nom", "jeton": "NOM"}, "c_mktsegment": {"type": "genre", "jeton": "SEGMENT"}}})
+    return process(table(spark, sf_dir, "customer"), "c_custkey", m).rows.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "score", "level")
+
+
+def structured_dictionary(spark, sf_dir):
+    m = Mapping.from_dict({"champs_sensibles": {"c_name": {"type": "nom", "jeton": "NOM"}, "c_mktsegment": {"type": "genre", "jeton": "SEGMENT"}}})
+    return process(table(spark, sf_dir, "customer"), "c_custkey", m).tokens.select("grp", "norm", "original", "num", "token")
 
 
 def structured_anon(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.lit("***").alias("s_name"), "s_nationkey")
+    m = Mapping.from_dict({"champs_sensibles": {"s_name": {"type": "nom", "jeton": "NOM"}, "s_nationkey": {"type": "id", "jeton": "ID"}, "s_acctbal": {"type": "tel", "jeton": "TEL"}}})
+    return process(table(spark, sf_dir, "supplier"), "s_suppkey", m, "anon").rows.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", "score")
 
 
-def score_by_quality(spark, sf_dir):
-    scored = T.with_risk(some(spark, sf_dir, "EMAIL")).select("doc_id", "score")
-    return scored.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").groupBy("quality").agg(F.sum("score").cast("bigint").alias("score"))
+def reports(spark, sf_dir):
+    """Events with a JSON text that holds a person's number and a message."""
+    inner = F.to_json(F.struct(F.struct(F.col("user_id").alias("Id"), F.concat(F.lit("mail u"), "user_id", F.lit("@example.com")).alias("Note"), F.lit("é").alias("Rest")).alias("Report")))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", inner.alias("body"))
+
+
+UNWRAP = {"structure": {"unwrap": {"field": "body"}}, "champs_sensibles": {"Report.Id": {"type": "id", "jeton": "ID"}}, "texte_libre": ["Report.Note", "event_type"]}
+
+
+def unwrap_props(spark, sf_dir):
+    return process(reports(spark, sf_dir), "event_id", Mapping.from_dict(UNWRAP), only=frozenset({"EMAIL"})).rows.select("event_id", "body", "event_type", "score")
+
+
+def nested_arrays(spark, sf_dir):
+    """Structs and an array of them: the names looked up are hidden in the free text of their own record."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.concat(F.lit("Prenom"), "c_custkey").alias("First"), F.array(F.struct(F.concat(F.lit("voir prenom"), "c_custkey", F.lit(" a@b.fr")).alias("Value")), F.struct(F.lit(None).cast("string").alias("Value"))).alias("Details")).alias("Report"))
+    m = Mapping.from_dict({"texte_libre": ["Report.Details[].Value"], "lookup_noms": {"prenom": "Report.First"}})
+    out = process(df, "c_custkey", m, "anon", only=frozenset({"EMAIL"})).rows
+    return out.select("c_custkey", F.col("Report.First").alias("first"), F.get("Report.Details", F.lit(0))["Value"].alias("v0"), F.get("Report.Details", F.lit(1))["Value"].alias("v1"), "score")
+
+
+def scan_strings(spark, sf_dir):
+    """No mapping: all string columns of pages."""
+    df = table(spark, sf_dir, "pages")
+    return process(df, "page_id", Mapping.all_strings(df), "anon", only=frozenset({"EMAIL"})).rows.select("page_id", "url", "html", "score")
+
+
+def run_report(spark, sf_dir):
+    df = table(spark, sf_dir, "pages")
+    done = process(df, "page_id", Mapping.all_strings(df), only=frozenset({"EMAIL"}))
+    return report.report(done.rows, done.occurrences, done.tokens).select("records", "errors", "score", "replacements", "tokens", F.to_json("by_type").alias("by_type"))
+
+
+def limit_dry_run(spark, sf_dir):
+    df = first_rows(table(spark, sf_dir, "customer"), 100, "c_custkey")
+    return process(df, "c_custkey", Mapping.from_dict({"champs_sensibles": {"c_name": {"type": "nom", "jeton": "NOM"}}})).rows.select("c_custkey", "c_name", "score")
+
+
+def mapping_draft(spark, sf_dir):
+    draft = generate(table(spark, sf_dir, "customer"), "customer")
+    return spark.createDataFrame([(k, v["type"], v["jeton"]) for k, v in draft["champs_sensibles"].items()], "field string, type string, jeton string")
+
+
+def mapping_check(spark, sf_dir):
+    checked = validate_mapping({"champs_sensibles": {"c_name": {"type": "nom"}, "c_gone": {"type": "x", "jeton": "X"}}}, table(spark, sf_dir, "customer"))
+    return spark.createDataFrame([(checked["valide"], len(checked["erreurs"]), len(checked["avertissements"]))], "valid boolean, errors long, warnings long")
+
+
+def described(spark, sf_dir):
+    return analyze(table(spark, sf_dir, "customer")).select("field", "type", "records")
+
+
+# --- diagnostics
+
+
+def stub():
+    """A model that knows two names."""
+    return lambda text, labels: [(label, i, i + len(w), w, c) for label, w, c in (("personne", "Jean", 0.9), ("lieu", "Paris", 0.8), ("personne", "Xyz", 0.5), ("date", "hier", 0.3)) for i in [text.find(w)] if i >= 0]
+
+
+TALKS = [(1, "Jean vit à Paris, écrire à jean@x.fr"), (2, "Jean Xyz vit à Paris depuis hier"), (3, "tel 01 23 45 67 89"), (4, None), (5, "")]
+
+
+def talks(spark):
+    return spark.createDataFrame(TALKS, "id long, text string")
+
+
+def compare_ways(spark, sf_dir):
+    out = diagnose.compare(talks(spark), "id", ner=Model(stub), tech=True)
+    return diagnose.recommended(out).select("id", "rendu_regex", "rendu_ner", "rendu_hybrid", F.array_join("ner_adds", "|").alias("ner_adds"), F.array_join("regex_adds", "|").alias("regex_adds"), "advice")
+
+
+def model_names(spark, sf_dir):
+    """Doubtful persons stay only if a list of names has a word of theirs."""
+    names = spark.createDataFrame([("first", "Xyz"), ("family", "Durand")], "kind string, word string")
+    found = T.detect_spans(talks(spark), mode="ner", ner=Model(stub), names=names)
+    return found.select("id", F.array_join(F.transform("spans", lambda s: F.concat(s["entity_type"], F.lit(":"), s["value"])), "|").alias("found"))
+
+
+def entity_types(spark, sf_dir):
+    return diagnose.entity_types(spark)
+
+
+def person_keys(spark, sf_dir):
+    return spark.createDataFrame([(i, v) for i, (v, _) in enumerate(L.PERSONS)], "id long, value string").select("id", person_key(F.col("value")).alias("norm"))
+
+
+def contexts(spark, sf_dir):
+    f = F.udf(D.negative_context, "boolean")
+    return spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(L.CONTEXTS)], "id long, text string, at int, n int").select("id", f("text", "at", "n").alias("negative"))
 
 
 def luhn_literals(spark, sf_dir):
-    return spark.sql("select s, luhn_check(s) as good from values ('4532015112830366'), ('1234567890123456') t(s)")
+    """All validators."""
+    f = F.udf(lambda name, v: getattr(D, name)(v), "boolean")
+    return spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(L.VALIDATORS)], "id long, name string, s string").select("name", "s", f("name", "s").alias("good"))
+
+
+def mixed_literals(spark, sf_dir):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(L.MIXED)], "id long, text string")
+    return T.explode_spans(T.detect_spans(df, fort=True, tech=True), "id").select("id", "entity_type", F.col("start").cast("bigint").alias("start"), "value")
+
 
+def detector_query(name):
+    def run(spark, sf_dir):
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(L.CASES[name])], "id long, text string")
+        found = T.detect_spans(df, fort=True, tech=True, only=frozenset({name}))
+        return T.explode_spans(found, "id").select("id", F.col("span_ord").cast("bigint").alias("span_ord"), "entity_type", "value", "risk_type")
 
-QUERIES = {f.__name__: f for f in (email_spans, email_jvm, ipv4_counts, anon_email, risk_score, risk_levels, type_counts, email_dictionary, restore_roundtrip, whitelist, blacklist, samples, leaks, unwrap_props, structured_anon, score_by_quality, luhn_literals, flagship)}
+    return run
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        email_spans, email_jvm, ipv4_counts, url_pages, anon_email, redact_email, risk_score, risk_levels, file_score, risk_details, type_counts, distinct_values, email_dictionary, pseudo_email,
+        dictionary_export, restore_roundtrip, restore_shared, whitelist, blacklist, samples, leaks, unwrap_props, structured_tokens, structured_dictionary, structured_anon, nested_arrays, scan_strings,
+        run_report, limit_dry_run, mapping_draft, mapping_check, described, compare_ways, model_names, entity_types, person_keys, contexts, luhn_literals, mixed_literals, score_by_quality, flagship,
+    )
+} | {f"detector_{name.lower()}": detector_query(name) for name in L.CASES}
 
 _N = f"len(regexp_extract_all(text, '{EMAIL}'))"
+_N4 = f"len(regexp_extract_all(text, '{IPV4}'))"
 _ALL = f"select doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) as value, generate_subscripts(regexp_extract_all(text, '{EMAIL}'), 1) as k from documents"
+_ALL4 = f"select doc_id, unnest(regexp_extract_all(text, '{IPV4}')) as value, generate_subscripts(regexp_extract_all(text, '{IPV4}'), 1) as k from documents"
 _LEVEL = "case when score = 0 then 'NUL' when score < 10 then 'FAIBLE' when score < 50 then 'MODÉRÉ' when score < 100 then 'ÉLEVÉ' else 'CRITIQUE' end"
 _SCORED = f"select doc_id, cast(3 * {_N} as bigint) as score from documents"
+_NUMBERED = "select norm, original, row_number() over (order by p) as num from (select lower(trim(value)) as norm, min_by(value, doc_id * 100000 + k) as original, min(doc_id * 100000 + k) as p from ({}) group by 1)"
+_ONE_PAGE = f"select page_id, regexp_replace(url, '{EMAIL}', '***', 'g') as url, regexp_replace(html, '{EMAIL}', '***', 'g') as html, cast(3 * (len(regexp_extract_all(url, '{EMAIL}')) + len(regexp_extract_all(html, '{EMAIL}'))) as bigint) as score from pages"
+_SEGMENTS = "select c_mktsegment as s, row_number() over (order by min(c_custkey)) as n from customer group by 1"
+_USERS = "select user_id, row_number() over (order by min(event_id)) as n from events where user_id <> 0 group by 1"
+_NOTES = "select user_id, row_number() over (order by min(event_id)) as n from events group by 1"
+
+
+def sql(v):
+    """A literal of the oracle."""
+    return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def values(rows, columns, types):
+    """A query of rows written out; types keep their kind when there are none."""
+    body = " union all ".join("select " + ", ".join(f"cast({sql(v)} as {t}) as {c}" for v, c, t in zip(r, columns, types, strict=True)) for r in rows)
+    return body or "select " + ", ".join(f"cast(null as {t}) as {c}" for c, t in zip(columns, types, strict=True)) + " where false"
+
+
+def detector_oracle(name):
+    d = next(d for d in D.DETECTORS if d.name == name)
+    rows = [(i, k, d.entity_type, v, d.risk) for i, (_, found) in enumerate(L.CASES[name]) for k, v in enumerate(found)]
+    return values(rows, ("id", "span_ord", "entity_type", "value", "risk_type"), ("bigint", "bigint", "varchar", "varchar", "varchar"))
+
+
 ORACLE_SQL = {
+    "email_spans": f"select doc_id, cast(k - 1 as int) as span_ord, value from ({_ALL})",
     "email_jvm": f"select doc_id, value from ({_ALL})",
-    "ipv4_counts": f"select * from (select doc_id, cast(len(regexp_extract_all(text, '{IPV4}')) as bigint) as n from documents) where n > 0",
+    "ipv4_counts": f"select * from (select doc_id, cast({_N4} as bigint) as n from documents) where n > 0",
+    "url_pages": f"select page_id, unnest(regexp_extract_all(html, '{URL}')) as text, 'url_txt' as type, 'indirect' as risk_type from pages",
     "anon_email": f"select doc_id, regexp_replace(text, '{EMAIL}', '***', 'g') as result from documents",
     "risk_score": f"select doc_id, score, {_LEVEL} as level, cast(score // 3 as bigint) as n_direct from ({_SCORED})",
-    "risk_levels": f"select {_LEVEL} as level, count(*) as n from ({_SCORED}) group by 1",
-    "email_dictionary": f"with o as (select doc_id, k, value, lower(trim(value)) as norm from ({_ALL})), f as (select norm, min_by(value, doc_id * 100000 + k) as original, min(doc_id * 100000 + k) as p from o group by norm) select norm, original, row_number() over (order by p) as num, '[EMAIL_' || row_number() over (order by p) || ']' as token from f",
-    "restore_roundtrip": "select doc_id, lower(text) as restored from documents",
-    "whitelist": f"select doc_id, count(*) as n from ({_ALL}) where upper(value) <> 'NOBODY@EXAMPLE.COM' group by 1",
+    "risk_levels": f"select level, cast(count(score) as bigint) as n from (values ('NUL'), ('FAIBLE'), ('MODÉRÉ'), ('ÉLEVÉ'), ('CRITIQUE')) l(level) left join (select score, {_LEVEL} as level from ({_SCORED})) using (level) group by 1",
+    "file_score": f"select records, cast(0 as bigint) as errors, score, round(score / records, 6) as mean, {_LEVEL} as level from (select count(*) as records, cast(sum(3 * {_N} + 2 * {_N4}) as bigint) as score from documents)",
+    "risk_details": f"select cast(sum({_N}) as bigint) as direct, cast(0 as bigint) as finance, cast(sum({_N4}) as bigint) as tech, cast(0 as bigint) as indirect from documents",
+    "type_counts": f"select entity_type, count(*) as n from (select 'email_txt' as entity_type from ({_ALL}) union all select 'ipv4_txt' from ({_ALL4})) group by rollup (entity_type)",
+    "distinct_values": f"select distinct 'email_txt' as entity_type, value from ({_ALL})",
+    "email_dictionary": f"select norm, original, num, '[EMAIL_' || num || ']' as token from ({_NUMBERED.format(_ALL)})",
+    "dictionary_export": f"select 'email_txt' as type, '[EMAIL_' || num || ']' as jeton, original as valeur from ({_NUMBERED.format(_ALL)}) union all select 'ipv4_txt', '[IPV4_' || num || ']', original from ({_NUMBERED.format(_ALL4)})",
+    "pseudo_email": f"with d as ({_NUMBERED.format(_ALL)}), gaps as (select doc_id, text, regexp_split_to_array(text, '{EMAIL}') as g, regexp_extract_all(text, '{EMAIL}') as v from documents), pieces as (select doc_id, list_extract(g, i) || coalesce('[EMAIL_' || num || ']', '') as piece, i from (select doc_id, g, v, unnest(range(1, len(g) + 1)) as i from gaps) left join d on norm = lower(trim(list_extract(v, i)))) select doc_id, string_agg(piece, '' order by i) as result from pieces group by 1",
+    "restore_roundtrip": f"select doc_id, text as restored, cast(len(list_distinct(regexp_extract_all(text, '{EMAIL}'))) + len(list_distinct(regexp_extract_all(text, '{IPV4}'))) as bigint) as n_restored from documents",
+    "restore_shared": values([(1, "x b@x.fr y", 1), (2, "A et B, A", 2), (3, None, 0), (4, "[AUTRE_1] [x]", 0), (5, "", 0)], ("id", "restored", "n_restored"), ("bigint", "varchar", "bigint")),
+    "whitelist": f"select doc_id, count(*) as n from (select doc_id, value from ({_ALL}) where upper(value) <> 'THWHHE.68@MAIL2.EXAMPLE.COM' union all select doc_id, value from ({_ALL4}) where value <> '10.0.0.1') group by 1",
     "blacklist": "select * from (select doc_id, cast(len(regexp_extract_all(text, '(?i)licensed')) as bigint) as n from documents) where n > 0",
-    "samples": f"select entity_type, rank, sample from (select 'email_txt' as entity_type, cast(row_number() over (order by doc_id, k) as int) as rank, substr(value, 1, 60) as sample from ({_ALL})) where rank <= 5",
-    "unwrap_props": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "structured_anon": "select s_suppkey, '***' as s_name, s_nationkey from supplier",
+    "samples": f"select entity_type, rank, original from (select 'email_txt' as entity_type, cast(row_number() over (order by doc_id, k) as int) as rank, substr(value, 1, 60) as original from ({_ALL})) where rank <= 5",
     "score_by_quality": f"select quality, cast(sum(score) as bigint) as score from ({_SCORED}) join labels using (doc_id) group by 1",
-    "luhn_literals": "select * from (values ('4532015112830366', true), ('1234567890123456', false)) t(s, good)",
-}
+    "structured_tokens": f"select c_custkey, '[NOM_' || row_number() over (order by c_custkey) || ']' as c_name, '[SEGMENT_' || n || ']' as c_mktsegment, c_nationkey, cast(4 as bigint) as score, 'FAIBLE' as level from customer join ({_SEGMENTS}) on s = c_mktsegment",
+    "structured_dictionary": f"select 'nom' as grp, lower(c_name) as norm, c_name as original, row_number() over (order by c_custkey) as num, '[NOM_' || row_number() over (order by c_custkey) || ']' as token from customer union all select 'genre', lower(s), s, n, '[SEGMENT_' || n || ']' from ({_SEGMENTS})",
+    "structured_anon": "select s_suppkey, '***' as s_name, cast(row_number() over (order by s_suppkey) as varchar) as s_nationkey, '00 00 00 00 00' as s_acctbal, cast(7 as bigint) as score from supplier",
+    "unwrap_props": f"""select event_id, '{{"Report": {{"Id": ' || coalesce('"[ID_' || u.n || ']"', 'null') || ', "Note": "mail [EMAIL_' || w.n || ']", "Rest": "é"}}}}' as body, event_type, cast(4 as bigint) as score from events e left join ({_USERS}) u using (user_id) join ({_NOTES}) w using (user_id)""",
+    "nested_arrays": "select c_custkey, 'Prenom' || c_custkey as first, 'voir *** ***' as v0, cast(null as varchar) as v1, cast(6 as bigint) as score from customer",
+    "scan_strings": _ONE_PAGE,
+    "run_report": f"""select count(*) as records, cast(0 as bigint) as errors, cast(sum(score) as bigint) as score, cast(sum(score) // 3 as bigint) as replacements, (select count(distinct lower(v)) from (select unnest(regexp_extract_all(html, '{EMAIL}')) as v from pages union all select unnest(regexp_extract_all(url, '{EMAIL}')) from pages)) as tokens, case when sum(score) = 0 then '{{}}' else '{{"email_txt":' || cast(sum(score) // 3 as bigint) || '}}' end as by_type from ({_ONE_PAGE})""",
+    "limit_dry_run": "select c_custkey, '[NOM_' || row_number() over (order by c_custkey) || ']' as c_name, cast(3 as bigint) as score from (select c_custkey from customer order by 1 limit 100)",
+    "mapping_draft": values([("c_name", "nom", "NOM")], ("field", "type", "jeton"), ("varchar",) * 3),
+    "mapping_check": values([(False, 1, 2)], ("valid", "errors", "warnings"), ("boolean", "bigint", "bigint")),
+    "described": "select field, type, records from (values ('c_custkey', 'number'), ('c_name', 'string'), ('c_nationkey', 'number'), ('c_acctbal', 'number'), ('c_mktsegment', 'string')) t(field, type), (select count(*) as records from customer)",
+    "compare_ways": values(
+        [
+            (1, "Jean vit à Paris, écrire à [EMAIL_1]", "[PERSONNE_1] vit à [VILLE_1], écrire à jean@x.fr", "[PERSONNE_1] vit à [VILLE_1], écrire à [EMAIL_1]", "Jean|Paris", "jean@x.fr", "regex+fort"),
+            (2, "Jean Xyz vit à Paris depuis hier", "[PERSONNE_1] [PERSONNE_2] vit à [VILLE_1] depuis hier", "[PERSONNE_1] Xyz vit à [VILLE_1] depuis hier", "Jean|Xyz|Paris", "", "hybrid+fort+tech"),
+            (3, "tel [TEL_1]", "tel 01 23 45 67 89", "tel [TEL_1]", "", "01 23 45 67 89", "regex+fort"),
+            (4, None, None, None, "", "", "regex+fort"), (5, "", "", "", "", "", "regex+fort"),
+        ],
+        ("id", "rendu_regex", "rendu_ner", "rendu_hybrid", "ner_adds", "regex_adds", "advice"), ("bigint",) + ("varchar",) * 6,
+    ),
+    "model_names": values([(1, "personne:Jean|ville_txt:Paris"), (2, "personne:Jean|personne:Xyz|ville_txt:Paris"), (3, ""), (4, ""), (5, "")], ("id", "found"), ("bigint", "varchar")),
+    "entity_types": values(diagnose.ENTITY_TYPES, ("code", "label", "category"), ("varchar",) * 3),
+    "person_keys": values([(i, k) for i, (_, k) in enumerate(L.PERSONS)], ("id", "norm"), ("bigint", "varchar")),
+    "contexts": values([(i, c[3]) for i, c in enumerate(L.CONTEXTS)], ("id", "negative"), ("bigint", "boolean")),
+    "luhn_literals": values(L.VALIDATORS, ("name", "s", "good"), ("varchar", "varchar", "boolean")),
+    "mixed_literals": values([(i, *s) for i, (_, found) in enumerate(L.MIXED) for s in found], ("id", "entity_type", "start", "value"), ("bigint", "varchar", "bigint", "varchar")),
+} | {f"detector_{name.lower()}": detector_oracle(name) for name in L.CASES}

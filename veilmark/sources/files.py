@@ -1,14 +1,25 @@
-"""Readers and writers by file extension."""
+"""Readers and writers by file extension, dictionaries, word lists, folders."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.sources.office import SHEETS, TEXTS, load_office, save_office
+
+EXTENSIONS = ("json", "csv", "tsv", "txt", "md", "xlsx", "xls", "ods", "odt", "docx", "pdf")
+
+
+def detect_format(path: str) -> str:
+    """The extension in lower case, with its dot; '' without one."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return f".{name.rsplit('.', 1)[-1].lower()}" if "." in name.lstrip(".") else ""
+
 
 def load(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", header: bool = True) -> DataFrame:
-    """JSON (array, object), CSV, TSV as strings, TXT and MD as one record of texte and _source.  Others raise ValueError."""
-    kind = path.rsplit(".", 1)[-1].lower()
+    """JSON (array, object; records of unlike keys get null for what they lack), CSV and TSV as strings, sheets as strings,
+    TXT, MD, ODT, DOCX and PDF as one record of texte and _source.  Others raise ValueError."""
+    kind = detect_format(path)[1:]
     if kind == "json":
         return spark.read.json(path, multiLine=True)
     if kind in ("csv", "tsv"):
@@ -16,26 +27,89 @@ def load(spark: SparkSession, path: str, delimiter: str | None = None, encoding:
         return df if header else df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
     if kind in ("txt", "md"):
         return spark.read.text(path, wholetext=True).select(F.col("value").alias("texte"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_source"))
+    if kind in SHEETS or kind in TEXTS:
+        return load_office(spark, path, kind, header)
     raise ValueError(f"no reader for .{kind}")
 
 
-def save(df: DataFrame, path: str, delimiter: str = ",") -> str:
-    """Write beside the input as <base>_PSEUDO<ext> (a folder of part files)."""
-    base, _, kind = path.rpartition(".")
-    out = f"{base}_PSEUDO.{kind}"
+def with_order(df: DataFrame, name: str = "rec_idx") -> DataFrame:
+    """df plus its order as read: rising, not gapless.  Keep it as a table before it is shuffled."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def first_rows(df: DataFrame, n: int | None, order: str = "rec_idx") -> DataFrame:
+    """The first n rows in file order; all for 0 or None."""
+    return df.orderBy(order).limit(n) if n else df
+
+
+def load_folder(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """All files of one format in a folder, with file_id (the name), so that each file can have its own dictionary."""
+    df = load(spark, f"{folder.rstrip('/')}/*.{kind}")
+    if "_source" in df.columns:
+        return df.withColumn("file_id", F.col("_source"))
+    return df.withColumn("file_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def output_path(path: str, suffix: str = "_PSEUDO") -> str:
+    """<base><suffix><ext>; PDF becomes TXT."""
+    ext = detect_format(path)
+    base = path[: len(path) - len(ext)] if ext else path
+    return f"{base}{suffix}{'.txt' if ext == '.pdf' else ext}"
+
+
+def save(df: DataFrame, path: str, delimiter: str = ",", suffix: str = "_PSEUDO", single_file: bool = False) -> str:
+    """Write beside the input: a folder of part files (with single_file one part), or an office file of bounded size.
+
+    Unknown formats become JSON.
+    """
+    out = output_path(path, suffix)
+    kind = detect_format(out)[1:]
+    if kind in ("xlsx", "ods", "odt", "docx"):
+        save_office(df, out, kind)
+        return out
+    parts = df.coalesce(1) if single_file else df
     if kind in ("csv", "tsv"):
-        df.write.mode("overwrite").csv(out, header=True, sep="\t" if kind == "tsv" else delimiter)
+        parts.write.mode("overwrite").csv(out, header=True, sep="\t" if kind == "tsv" else delimiter, escape='"')
     elif kind in ("txt", "md"):
-        df.select("texte").write.mode("overwrite").text(out)
+        parts.select("texte").write.mode("overwrite").text(out)
     else:
-        df.write.mode("overwrite").json(out)
+        parts.write.mode("overwrite").json(out, ignoreNullFields=False)
     return out
 
 
+def dictionary_list(words: DataFrame) -> DataFrame:
+    """type, jeton, valeur, sorted by type and token as text ([X_10] before [X_2])."""
+    return words.select(F.col("grp").alias("type"), F.col("token").alias("jeton"), F.col("original").alias("valeur")).orderBy("type", "jeton")
+
+
 def save_dictionary(words: DataFrame, path: str) -> None:
-    words.select(F.col("grp").alias("type"), F.col("token").alias("jeton"), F.col("original").alias("valeur_originale")).orderBy("type", "jeton").write.mode("overwrite").csv(path, sep=";", header=True)
+    """type;jeton;valeur_originale, in the order of dictionary_list."""
+    dictionary_list(words).withColumnRenamed("valeur", "valeur_originale").write.mode("overwrite").csv(path, sep=";", header=True, escape='"')
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, sep=";", header=True).filter("jeton is not null and valeur_originale is not null")
-    return df.select(F.col("type").alias("grp"), F.col("jeton").alias("token"), F.col("valeur_originale").alias("original"))
+    """grp, num, token, original: rows without a token or value are skipped, of several rows of a token the last counts."""
+    df = spark.read.csv(path, sep=";", header=True, escape='"').withColumn("num", F.monotonically_increasing_id())
+    df = df.filter((F.length("jeton") > 0) & (F.length("valeur_originale") > 0))
+    last = F.max_by(F.struct("type", "num", "valeur_originale"), "num").alias("x")
+    return df.groupBy("jeton").agg(last).select(F.col("x.type").alias("grp"), F.col("x.num").alias("num"), F.col("jeton").alias("token"), F.col("x.valeur_originale").alias("original"))
+
+
+def load_words(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
+    """word: a JSON array of strings, each once, in capitals if upper."""
+    words = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("word"))
+    return words.select(F.upper(F.trim("word")).alias("word") if upper else F.col("word")).distinct()
+
+
+def restore_file(spark: SparkSession, path: str, dictionary: str) -> str:
+    """A text file with its tokens turned back, written beside it: _PSEUDO becomes _RESTAURE (or is put before the extension)."""
+    from veilmark.operators.tokens import restore
+
+    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
+    done = restore(lines, load_dictionary(spark, dictionary), "value").orderBy("__at").select("restored")
+    out = path.replace("_PSEUDO", "_RESTAURE") if "_PSEUDO" in path else output_path(path, "_RESTAURE")
+    done.write.mode("overwrite").text(out)
+    return out
+
+
+__all__ = ["EXTENSIONS", "detect_format", "dictionary_list", "first_rows", "load", "load_dictionary", "load_folder", "load_words", "output_path", "restore_file", "save", "save_dictionary", "with_order"]
