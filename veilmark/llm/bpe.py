@@ -3,20 +3,25 @@
 Words are runs between ASCII white space, at which the tokenizer always splits; units are words whose signs at the end
 part from a letter or digit before them, in lower case if ASCII, as the tokenizer does both.  Frequent words and their
 units (at most 3 x HEAD, merged from each task's most frequent words) are encoded on the driver, whence they travel to
-every task; any other unit is sorted to its equals, encoded once there, and its ids return to their texts by position.
-Texts travel once, compressed, with their row's other columns.  Which units are in the head changes no result.
-Decoding looks ids up in the vocabulary's piece table, whose size is fixed.
-
-Results by case: null counts as empty and stays null, and empty texts have no ids; a row's key is a hash of all its
-columns, so copies do not meet in one task; repeated rows are all returned; texts are encoded whole; extra columns pass
-through.
+every task.  One pass over the texts turns each block of rows (BLOCK bytes of text at most, one text at least) into a stream of numbers, of the frequent words and units, or of the block's own distinct rare units, which it hands
+on dealt by their hash.  That table is kept in the shared folder.  Rare units meet their equals, each is encoded once, and the ids
+return to the block by position, so a unit travels once a block however often it is written there.  Texts themselves do
+not travel unless their column is asked for.  Which units are in the head, and where blocks end, changes no result.
+Decoding looks ids up in the vocabulary's piece table, whose size is fixed: the join's small side sits in the plan.
+
+Results by case: null counts as empty and stays null, and empty texts have no ids; repeated rows are all returned; texts
+are encoded whole; an empty table gives none; extra columns pass through, but for one named like the output, which the
+output replaces.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-HEAD, LOCAL_HEAD = 1 << 17, 1 << 16
+from .common import keep
+
+HEAD, LOCAL_HEAD = 1 << 18, 1 << 16
+#: Bytes of text in a block, and occurrences of rare units that one deal of them takes.
+BLOCK, DEAL = 1 << 23, 200_000
 SPACE = re.compile("[ \t\n\x0b\f\r]+")
 SIGNS = ".,;:!?%*"
 #: Characters that are letters or digits in every version of Unicode.
 FIRM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
+#: What a row of the kept table holds.
+UNITS, STREAM, ROW = 0, 1, 2
 
 
 def tokenizer(source: str):
@@ -52,119 +63,199 @@ def units(word: str) -> list[str]:
     return [core, tail] if tail else [core]
 
 
-def unknown(words: list[str], known: dict) -> list[str]:
-    """The distinct units that known lacks, in the order of the text: a unit's place here is its position."""
-    return list(dict.fromkeys(u for w in dict.fromkeys(words) if w not in known for u in units(w) if u not in known))
-
+def head_words(docs: DataFrame, text_col: str, head: int) -> tuple[list[str], int]:
+    """At most head frequent words and their units, and how often all other words occur.
 
-def head_words(docs: DataFrame, text_col: str, head: int) -> list[str]:
-    """At most head frequent words and their units: every task counts its words, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
+    Every task counts its words, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
 
     def count(batches):
         seen: Counter = Counter()
+        total = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(words_of(t))
+                words = (t or b"").split()
+                total += len(words)
+                seen.update(words)
                 if len(seen) > 4 * LOCAL_HEAD:
                     seen = Counter(dict(seen.most_common(LOCAL_HEAD)))
         top = seen.most_common(LOCAL_HEAD)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        words, counts = [w for w, _ in top], [n for _, n in top]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), pa.array([total, *counts], pa.int64())], names=["word", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).mapInArrow(count, "word binary, n bigint")
+    found = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(head + 1).toArrow()
+    counts = found.column(1).to_numpy()
+    top = [w.decode("utf-8", "replace") for w in found.column(0).to_pylist()[1:]]
+    return list(dict.fromkeys([*top, *(u for w in top for u in units(w))])), int(counts[0] - counts[1:].sum()) if len(counts) else 0
+
+
+@lru_cache(maxsize=1)
+def numbers(head: bytes) -> dict[bytes, bytes]:
+    """word -> its number in four bytes, of words with a space between each two."""
+    return {w: n.to_bytes(4, "little") for n, w in enumerate(head.split(b" "))} if head else {}
+
+
+def filled(stream: np.ndarray, flat: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a stream of units, of which number u holds sizes[u] ids of flat, and where each text of lengths units ends."""
+    n = sizes[stream]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    first = np.cumsum(sizes) - sizes
+    return flat[np.repeat(first[stream] - ends[:-1], n) + np.arange(ends[-1])], ends[np.concatenate([[0], np.cumsum(lengths)])]
+
+
+def packed(numbers: np.ndarray, squeeze) -> bytes:
+    """Compressed, with all low bytes before all higher ones."""
+    return squeeze.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
-    top = [r[0] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word").collect()]
-    return list(dict.fromkeys([*top, *(u for w in top for u in units(w))]))
 
+def unpacked(data: bytes, widen) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(widen.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def encode(docs: DataFrame, source: str, text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """docs plus ids array<int>."""
+
+def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str = "ids", head: int = HEAD, drop_text: bool = False) -> DataFrame:
+    """docs (without the text if drop_text) plus out_col array<int>."""
     spark, t = docs.sparkSession, tokenizer(source)
-    kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-    top = head_words(docs, text_col, head)
-    known = {w: np.array(e.ids, kind).tobytes() for i in range(0, len(top), 4096) for w, e in zip(top[i : i + 4096], t.encode_batch(top[i : i + 4096], add_special_tokens=False), strict=True)}
-    held, held_source = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(source)
-    rest = [c for c in docs.columns if c != text_col]
-    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
-
-    def rare(batches):
-        known = held.value
-        for b in batches:
-            keys, places, words = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = unknown(words_of(text), known)
-                keys += [key] * len(own)
-                places += range(len(own))
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(words, pa.string())], names=["key", "place", "word"])
+    top, rest = head_words(docs, text_col, head)
+    # The frequent come first, so their numbers are small.
+    sizes, flat = array("q"), array("i")
+    for i in range(0, len(top), 4096):
+        for e in t.encode_batch_fast(top[i : i + 4096], add_special_tokens=False):
+            ids = e.ids
+            sizes.append(len(ids))
+            flat.extend(ids)
+    held, held_source = spark.sparkContext.broadcast(" ".join(top).encode()), spark.sparkContext.broadcast(source)
+    table = spark.sparkContext.broadcast((np.array(sizes, np.int64), np.array(flat, np.int32)))
+    del top, sizes, flat
+    deals = 1 + rest // DEAL
+    cols = [c for c in docs.columns if c != out_col and not (drop_text and c == text_col)]
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")
+    given = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), row)
+    made = StructType.fromDDL("block bigint, kind int, at int, deal int, data binary").add("row", given.schema["row"].dataType)
+
+    def streams(batches):
+        import zstandard
+
+        squeeze, known = zstandard.ZstdCompressor(level=9), numbers(held.value)
+        size = len(known)
+
+        def blocks():
+            """Lists of texts and their rows: as many as BLOCK bytes of text hold, one at least, across batches."""
+            texts, rows, room = [], [], BLOCK
+            for b in batches:
+                found, first = b.column(0).to_pylist(), 0
+                for i, text in enumerate(found):
+                    need = len(text or b"") + 64
+                    if need > room and (texts or i > first):
+                        yield texts + found[first:i], [*rows, b.column(1).slice(first, i - first)]
+                        texts, rows, first, room = [], [], i, BLOCK
+                    room -= need
+                texts += found[first:]
+                rows.append(b.column(1).slice(first))
+            if texts:
+                yield texts, rows
+
+        for texts, rows in blocks():
+            number, parts = {}, {}
+            lengths, stream = [], []
+            for text in texts:
+                words = (text or b"").split()
+                codes = list(map(known.get, words))
+                if None in codes:
+                    for i, c in enumerate(codes):
+                        if c is None:
+                            w = words[i]
+                            if w not in parts:
+                                ids = b""
+                                for u in units(w.decode("utf-8", "replace")):
+                                    k = u.encode()
+                                    ids += known[k] if k in known else (size + number.setdefault(k, len(number))).to_bytes(4, "little")
+                                parts[w] = ids
+                            codes[i] = parts[w]
+                data = b"".join(codes)
+                lengths.append(len(data) // 4)
+                stream.append(data)
+            flat = np.frombuffer(b"".join(stream), "<u4").copy()
+            # Gaps are numbered by deal, then as they came.
+            rare = list(number)
+            dealt = np.array([zlib.crc32(u) % deals for u in rare], np.int64)
+            order = np.argsort(dealt, kind="stable")
+            place = np.empty(len(rare), np.uint32)
+            place[order] = np.arange(size, size + len(rare), dtype=np.uint32)
+            gap = flat >= size
+            flat[gap] = place[flat[gap] - size]
+            cuts = np.flatnonzero(np.diff(dealt[order], prepend=-1)).tolist()
+            packs = [squeeze.compress(b" ".join(rare[k] for k in order[i:j])) for i, j in zip(cuts, [*cuts[1:], len(rare)])]
+            packs.append(packed(np.concatenate([np.array([len(texts), *lengths]), flat]), squeeze))
+            n, k = len(texts), len(packs)
+            key = uuid.uuid4().int >> 65
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * (n + k), pa.int64()), pa.array([UNITS] * (k - 1) + [STREAM] + [ROW] * n, pa.int32()), pa.array([*cuts, 0, *range(n)], pa.int32()), pa.array([*dealt[order][cuts].tolist(), *[None] * (n + 1)], pa.int32()), pa.array(packs + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(k, rows[0].type), *rows])],
+                names=["block", "kind", "at", "deal", "data", "row"],
+            )
+
+    blocks = keep(given.mapInArrow(streams, made), "blocks")
 
     def encoded(batches):
-        t, last, ids = tokenizer(held_source.value), None, b""
-        for b in batches:
-            words = b.column(2).to_pylist()
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            codes = iter([np.array(e.ids, kind).tobytes() for e in t.encode_batch(fresh, add_special_tokens=False)])
-            marks, out = [], []
-            for place, w in zip(b.column(1).to_pylist(), words, strict=True):
-                if w != last:
-                    last, ids = w, next(codes)
-                marks.append(place << 32 | zlib.crc32(w.encode("utf-8")))
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64()), pa.array(out, pa.binary())], names=["key", "mark", "data"])
-
-    def packed(batches):
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=9)
+        squeeze, widen = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
+        t, last, ids = tokenizer(held_source.value), None, {}
         for b in batches:
-            data = [None if x is None else squeeze.compress(x.encode("utf-8")) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(2)], names=["key", "data", "row"])
-
-    found = keyed.select("key", "text").mapInArrow(rare, "key bigint, place bigint, word string")
-    found = found.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "key bigint, mark bigint, data binary")
-    row = keyed.schema["row"].dataType
-    texts = keyed.mapInArrow(packed, StructType.fromDDL("key bigint, data binary").add("row", row)).select("key", F.lit(None).cast("bigint").alias("mark"), "data", "row")
-    both = found.select("key", "mark", "data", F.lit(None).cast(row).alias("row")).union(texts)
+            counts, out = [], []
+            for deal, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if deal != last:
+                    last, ids = deal, {}
+                rare = widen.decompress(data).split(b" ")
+                fresh = [u for u in rare if u not in ids]
+                for i in range(0, len(fresh), 4096):
+                    part = fresh[i : i + 4096]
+                    for u, e in zip(part, t.encode_batch_fast([u.decode("utf-8", "replace") for u in part], add_special_tokens=False), strict=True):
+                        ids[u] = e.ids
+                own = [ids[u] for u in rare]
+                counts.append(len(own))
+                out.append(packed(np.array([*map(len, own), *(i for x in own for i in x)]), squeeze))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([UNITS] * len(out), pa.int32()), pa.array(counts, pa.int32()), pa.array(out, pa.binary())], names=["block", "at", "kind", "n", "data"])
+
+    found = blocks.filter(F.col("kind") == UNITS).select("block", "at", "deal", "data").repartition("deal").sortWithinPartitions("deal").mapInArrow(encoded, "block bigint, at int, kind int, n int, data binary")
+    both = found.withColumn("row", F.lit(None).cast(given.schema["row"].dataType)).unionByName(blocks.filter(F.col("kind") != UNITS).select("block", "at", "kind", F.lit(None).cast("int").alias("n"), "data", "row"))
 
     def joined(batches):
         import zstandard
 
-        known, widen = held.value, zstandard.ZstdDecompressor()
-        last, own = None, {}
+        widen, (head_sizes, head_flat) = zstandard.ZstdDecompressor(), table.value
+        last, sizes, flats, flat, ends = None, [], [], head_flat, []
         for b in batches:
-            rows, texts, ids = [], [], []
-            for i, (key, mark, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if key != last:
-                    last, own = key, {}
-                if mark is not None:
-                    own[mark] = data
-                    continue
-                text = None if data is None else widen.decompress(data).decode("utf-8")
-                line = words_of(text)
-                local = {u: own[n << 32 | zlib.crc32(u.encode("utf-8"))] for n, u in enumerate(unknown(line, known))}
-                rows.append(i)
-                texts.append(text)
-                ids.append(b"".join([known[w] if w in known else b"".join([known[u] if u in known else local[u] for u in units(w)]) for w in line]))
-            flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
-            ends = np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["text", "row", "ids"])
-
-    out = both.repartition("key").sortWithinPartitions("key", F.col("mark").asc_nulls_last()).mapInArrow(joined, StructType().add("text", "string").add("row", row).add("ids", ArrayType(IntegerType())))
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns], "ids")
-
-
-def decode(df: DataFrame, source: str, ids_col: str = "ids") -> DataFrame:
-    """df plus decoded: ids through the piece table, joined as the tokenizer does without a decoder: by one space."""
+            rows, ids = [], [head_flat[:0]]
+            block, at, kind, n, data = (b.column(i).to_pylist() for i in range(5))
+            for i in range(b.num_rows):
+                if block[i] != last:
+                    last, sizes, flats = block[i], [head_sizes], [head_flat]
+                if kind[i] == UNITS:
+                    x = unpacked(data[i], widen)
+                    sizes.append(x[: n[i]])
+                    flats.append(x[n[i] :].astype(np.int32))
+                elif kind[i] == STREAM:
+                    x = unpacked(data[i], widen)
+                    k = int(x[0])
+                    flat, ends = filled(x[1 + k :], np.concatenate(flats), np.concatenate(sizes), x[1 : 1 + k])
+                else:
+                    rows.append(i)
+                    ids.append(flat[ends[at[i]] : ends[at[i] + 1]])
+            to = np.cumsum([*map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(ids)))], names=["row", "ids"])
+
+    out = both.select("block", "at", "kind", "n", "data", "row").repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(joined, StructType().add("row", given.schema["row"].dataType).add("ids", ArrayType(IntegerType())))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)], F.col("ids").alias(out_col))
+
+
+def decode(df: DataFrame, source: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """df plus out_col: ids through the piece table, joined as the tokenizer does without a decoder: by one space.
+
+    The table is one literal of the plan (an id is its place there), so no row is exploded to be joined and put together
+    again; an id outside it gives nothing, a null list an empty text."""
     t = tokenizer(source)
-    pieces = df.sparkSession.sparkContext.broadcast([t.id_to_token(i) or "" for i in range(t.get_vocab_size())])
-
-    @F.pandas_udf("string")
-    def text(lists):
-        import pandas as pd
-
-        p = pieces.value
-        return pd.Series([" ".join([p[i] for i in x]) for x in lists])
-
-    return df.withColumn("decoded", text(ids_col))
+    pieces = F.split(F.lit("\x01".join(t.id_to_token(i) or "" for i in range(t.get_vocab_size()))), "\x01")
+    return df.withColumn(out_col, F.coalesce(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(pieces, i)), " "), F.lit("")))
 
 
 def digest(df: DataFrame) -> DataFrame:

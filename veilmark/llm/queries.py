@@ -39,7 +39,7 @@ def tokenizer_source() -> str:
 def op2_bpe(spark, sf_dir):
     session_defaults(spark)
     source = tokenizer_source()
-    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), source), source))
+    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), source, drop_text=True), source))
 
 
 def op7_near_duplicates(spark, sf_dir):
