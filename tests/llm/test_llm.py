@@ -138,29 +138,40 @@ def test_neighbours_skip_bad_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(d).collect()] == [(0, 1)]
 
 
-def test_training_order_writes_every_payload_at_its_place(spark, tmp_path):
-    """Null and repeated ids keep their payloads, and record r is found by seeking."""
-    texts = ["\n\x02\x03é" * 900, "short", "short", None, "", "b" * 2048, "c" * 2049, "other"]
-    rows = [(i, t) for i, t in zip([1, 1, 1, 2, 3, None, None, 1], texts)] + [(n, f"text {n}") for n in range(5000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    training_order.write(docs, str(tmp_path / "o"), shard_records=5002)
-    want = sorted((-1 if i is None else i, n, (t or "").encode()[n * 2048 : n * 2048 + 2048]) for i, t in rows for n in range(-(-len((t or "").encode()) // 2048)))
-    got = training_order.read(spark, str(tmp_path / "o")).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.part, bytes(r.payload)) for r in got) == want
-    assert sorted(r.slot for r in got) == list(range(len(want)))
-    for r in got[::97] + got[-1:]:
-        record = r.slot % 5002
-        assert (r.shard, r.piece) == (r.slot // 5002, record // training_order.PIECE)
+def small_vocabulary():
+    return {bytes([i]): i for i in range(256)} | {b"te": 256, b"xt": 257, b"text": 258}, r"\S+|\s+"
+
+
+def test_training_order_writes_every_id_at_its_place(spark, tmp_path):
+    """Null and repeated ids keep their tokens, and record r is found by seeking."""
+    o = training_order
+    texts = ["\n\x02\x03é￿￿" * 900, "short", "short", None, "", "b" * 2048, "c" * 2049, "other"]
+    rows = [(i, t, "x", 5) for i, t in zip([1, 1, 1, 2, 3, None, None, 1], texts)] + [(n, f"text {n} " * 9, "y", 6) for n in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, ids long").repartition(3)
+    vocab = small_vocabulary()
+    o.write(docs, str(tmp_path / "o"), shard_records=9, vocab=vocab, end_id=300)
+    ids_of = o.token_bytes(vocab)
+    got = sorted(o.read(spark, str(tmp_path / "o")).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(len(got))) and sum(r.n_ids < o.STRIDE for r in got) <= 3
+    # Each text's ids and one end mark come in full, in runs that the permutation scattered.
+    ids = [np.frombuffer(bytes(r.ids), "<u2") for r in got]
+    assert sorted(np.concatenate(ids).tolist()) == sorted(x for _, t, *_ in rows if t for x in [*np.frombuffer(ids_of(t), "<u2").tolist(), 300])
+    want = {(i, tuple(np.frombuffer(ids_of(t), "<u2").tolist() + [300])) for i, t, *_ in rows if t}
+    for r, x in zip(got, ids):
+        end = x.tolist().index(300) + 1 if 300 in x else len(x)
+        assert any(i == r.doc_id and w[r.at : r.at + end] == tuple(x[:end].tolist()) for i, w in want)
+        record = r.slot % 9
+        assert (r.shard, r.piece) == (r.slot // 9, record // o.PIECE)
         (file,) = (tmp_path / "o" / f"shard={r.shard}" / f"piece={r.piece}").glob("*.txt")
-        with file.open("rb") as f:
-            f.seek(record % training_order.PIECE * training_order.RECORD)
-            ids = np.frombuffer(f.read(2 * training_order.STRIDE), "<u2")
-        assert ids[: r.n_ids].astype(np.uint8).tobytes() == bytes(r.payload) and (ids[r.n_ids :] == training_order.PAD).all()
+        data = file.read_bytes()[record % o.PIECE * o.RECORD :][: o.WIDTH * o.STRIDE]
+        assert data[: o.WIDTH * r.n_ids] == bytes(r.ids) and not any(data[o.WIDTH * r.n_ids :])
+    assert [r.slot for r in got] != [r.at for r in got]
 
 
 def test_training_order_query_reads_back(spark, docs):
-    rows = training_order.written(docs).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows))) and {(r.doc_id, r.n_ids) for r in rows} == {(i, len(t.encode())) for i, t in enumerate(TEXTS) if t}
+    rows = training_order.written(docs.select("doc_id", "text", "lang")).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(r.n_ids > 0 for r in rows)
+    assert training_order.written(docs.limit(0)).count() == 0
 
 
 def test_sharding_writes_rows_with_null_and_repeated_ids(spark, tmp_path):
