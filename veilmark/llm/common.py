@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.scratch import keep, scratch_root
+
 #: A word of the shingle operators: a run of anything but the six ASCII white-space characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -20,34 +21,6 @@ def session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a private one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        root = held or "file:///tmp/checkpoints/veilmark"
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and no executor's loss undoes the work."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files of a table made by keep(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -58,15 +31,20 @@ def map_texts(
     schema: str,
     setup: Callable[[], Callable[[list], dict[str, list]]],
     text_col: str = "text",
+    as_bytes: bool = False,
 ) -> DataFrame:
-    """A narrow, Arrow-batched pass over whole texts.
+    """A narrow, Arrow-batched pass over whole texts, as UTF-8 if as_bytes.
 
-    setup() runs once a task and returns batch(texts) -> columns by name; the key columns pass through unchanged.
+    setup() runs once a task and returns batch(texts) -> columns by name; the key columns pass through unchanged, but for
+    those named like a column that is made, which the made one replaces.
     """
     from pyspark.sql.types import StructType
 
-    picked = df.select(*[df[k] for k in keys], df[text_col].cast("string").alias("__text"))
-    target = StructType([picked.schema[k] for k in keys] + list(StructType.fromDDL(schema).fields))
+    made = StructType.fromDDL(schema)
+    keys = [k for k in keys if k not in made.names]
+    text = F.col(f"`{text_col}`").cast("string")
+    picked = df.select(*[F.col(f"`{k}`") for k in keys], (text.cast("binary") if as_bytes else text).alias("__text"))
+    target = StructType([picked.schema[k] for k in keys] + list(made.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,3 +64,6 @@ def map_texts(
 def crc_mod(col, n: int):
     """crc32 of the value written as text, modulo n; null for null."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary")), F.lit(n))
+
+
+__all__ = ["ASCII_SPACE", "WORD", "crc_mod", "documents", "keep", "map_texts", "scratch_root", "session_defaults"]
