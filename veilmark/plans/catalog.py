@@ -281,6 +281,8 @@ _LEVEL = "case when score = 0 then 'NUL' when score < 10 then 'FAIBLE' when scor
 _SCORED = f"select doc_id, cast(3 * {_N} as bigint) as score from documents"
 _NUMBERED = "select norm, original, row_number() over (order by p) as num from (select lower(trim(value)) as norm, min_by(value, doc_id * 100000 + k) as original, min(doc_id * 100000 + k) as p from ({}) group by 1)"
 _ONE_PAGE = f"select page_id, regexp_replace(url, '{EMAIL}', '***', 'g') as url, regexp_replace(html, '{EMAIL}', '***', 'g') as html, cast(3 * (len(regexp_extract_all(url, '{EMAIL}')) + len(regexp_extract_all(html, '{EMAIL}'))) as bigint) as score from pages"
+#: Texts cut at their addresses: the part before each, and the address, null after the last part.
+_PARTS = f"select doc_id, i, list_extract(g, i) as gap, list_extract(v, i) as value from (select doc_id, g, v, unnest(range(1, len(g) + 1)) as i from (select doc_id, regexp_split_to_array(text, '{EMAIL}') as g, regexp_extract_all(text, '{EMAIL}') as v from documents))"
 _SEGMENTS = "select c_mktsegment as s, row_number() over (order by min(c_custkey)) as n from customer group by 1"
 _USERS = "select user_id, row_number() over (order by min(event_id)) as n from events where user_id <> 0 group by 1"
 _NOTES = "select user_id, row_number() over (order by min(event_id)) as n from events group by 1"
@@ -317,7 +319,8 @@ ORACLE_SQL = {
     "distinct_values": f"select distinct 'email_txt' as entity_type, value from ({_ALL})",
     "email_dictionary": f"select norm, original, num, '[EMAIL_' || num || ']' as token from ({_NUMBERED.format(_ALL)})",
     "dictionary_export": f"select 'email_txt' as type, '[EMAIL_' || num || ']' as jeton, original as valeur from ({_NUMBERED.format(_ALL)}) union all select 'ipv4_txt', '[IPV4_' || num || ']', original from ({_NUMBERED.format(_ALL4)})",
-    "pseudo_email": f"with d as ({_NUMBERED.format(_ALL)}), gaps as (select doc_id, text, regexp_split_to_array(text, '{EMAIL}') as g, regexp_extract_all(text, '{EMAIL}') as v from documents), pieces as (select doc_id, list_extract(g, i) || coalesce('[EMAIL_' || num || ']', '') as piece, i from (select doc_id, g, v, unnest(range(1, len(g) + 1)) as i from gaps) left join d on norm = lower(trim(list_extract(v, i)))) select doc_id, string_agg(piece, '' order by i) as result from pieces group by 1",
+    "pseudo_email": f"select doc_id, string_agg(gap || coalesce('[EMAIL_' || num || ']', ''), '' order by i) as result from ({_PARTS}) left join ({_NUMBERED.format(_ALL)}) on norm = lower(trim(value)) group by 1",
+    "redact_email": f"select doc_id, string_agg(gap || coalesce(repeat('█', length(value)), ''), '' order by i) as result from ({_PARTS}) group by 1",
     "restore_roundtrip": f"select doc_id, text as restored, cast(len(list_distinct(regexp_extract_all(text, '{EMAIL}'))) + len(list_distinct(regexp_extract_all(text, '{IPV4}'))) as bigint) as n_restored from documents",
     "restore_shared": values([(1, "x b@x.fr y", 1), (2, "A et B, A", 2), (3, None, 0), (4, "[AUTRE_1] [x]", 0), (5, "", 0)], ("id", "restored", "n_restored"), ("bigint", "varchar", "bigint")),
     "whitelist": f"select doc_id, count(*) as n from (select doc_id, value from ({_ALL}) where upper(value) <> 'THWHHE.68@MAIL2.EXAMPLE.COM' union all select doc_id, value from ({_ALL4}) where value <> '10.0.0.1') group by 1",
