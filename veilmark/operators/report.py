@@ -16,13 +16,13 @@ def type_counts(occ: DataFrame) -> DataFrame:
 
 
 def samples(occ: DataFrame, *order: str, most: int = 5) -> DataFrame:
-    """entity_type, rank, original (60 characters), token: the first of each type; only those few are ranked together."""
-    cols = [F.col(c) for c in order]
-    first = occ.groupBy("entity_type").agg(F.min(F.struct(*cols)).alias("__first"))
-    w = Window.partitionBy("entity_type").orderBy(*cols)
-    # A rank filter on a window is pushed below the shuffle, so each task sends most rows of a type.
+    """entity_type, rank, original (60 characters) and token, if there is one, of the first of each type.
+
+    The limit on the rank is applied in each task before the shuffle, so few rows of a type travel.
+    """
+    w = Window.partitionBy("entity_type").orderBy(*order)
     ranked = occ.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return ranked.join(F.broadcast(first.select("entity_type")), "entity_type").select("entity_type", "rank", F.substring("value", 1, 60).alias("original"), "token") if "token" in occ.columns else ranked.select("entity_type", "rank", F.substring("value", 1, 60).alias("original"))
+    return ranked.select("entity_type", "rank", F.substring("value", 1, 60).alias("original"), *[c for c in ("token",) if c in occ.columns])
 
 
 def details(occ: DataFrame) -> DataFrame:

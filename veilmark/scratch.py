@@ -20,9 +20,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and no executor's loss undoes the work."""
+def keep(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (or a folder under it) and read it back: lineage is cut, and no executor's
+    loss undoes the work."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{under or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder for tables that are dropped together."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder once tables kept elsewhere hold all that was made of it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
