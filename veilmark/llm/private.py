@@ -7,11 +7,14 @@ sign for "at" that could hold an entity (seven digits, four groups, or a sign, a
 passes the exact checks (Luhn, octets, number of digits) that candidates must pass.  Base spans always stay: they are
 fixed segments of the path, and are never overlapped by added ones.
 
-Results by case: null and empty texts have no spans; texts are scanned whole; equal texts give equal spans.
+Results by case: null and empty texts have no spans; texts are scanned whole, in time linear in their length; equal texts,
+so repeated rows, give equal spans; of equal segmentations the first by segment wins; an empty table gives no rows; columns
+beside the keys and text are not read, and a key named spans is replaced by the spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from functools import lru_cache
@@ -28,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: The base shapes.
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: A match begins where its digits begin: a later start in one run fails like the first, and is not tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -37,8 +41,9 @@ AT, DOT = frozenset(("@", "at", "arobase", "arroba")), frozenset((".", "dot", "p
 OPEN, CLOSE, JOINS = frozenset("([{<"), frozenset(")]}>"), frozenset("()[]{}<>._-+%")
 #: Signs inside a number.
 SIGNS = frozenset("+().,/_-–:*|·[]")
-_DOT = r"[\[({<]?\s*(?:\.|(?:dot|point|punkt|punto)\b)\s*[\])}>]?"
-RUN = re.compile(r"[+(]?[+]?[0-9](?:[\s().,/_:*|·–\-]*[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:\s*" + _DOT + r"\s*[0-9]{1,3}){3}(?![0-9])|(?:@|\b(?:at|arobase|arroba)\b|[\[({<]\s*a(?=\s*[\])}>]))\s*[\])}>]?\s*\w[\w-]*\s*" + _DOT, re.I)
+#: Blanks are taken whole, so a long run of them is passed once.
+_DOT = r"\s*+(?:[\[({<]\s*+)?(?:\.|(?:dot|point|punkt|punto)\b)"
+RUN = re.compile(r"[+(]?[+]?[0-9](?:[\s().,/_:*|·–\-]*+[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:" + _DOT + r"\s*+(?:[\])}>]\s*+)?[0-9]{1,3}){3}(?![0-9])|(?:@|\b(?:at|arobase|arroba)\b|[\[({<]\s*+a(?=\s*+[\])}>]))\s*+(?:[\])}>]\s*+)?\w[\w-]*+" + _DOT, re.I)
 CUES = {w: k for k, ws in {"phone": "tel tél telephone téléphone phone call mobile port portable fax ring appelez", "card": "card carte visa mastercard cb karte tarjeta", "ip": "ip host server address adresse", "email": "mail email courriel e-mail contact write"}.items() for w in ws.split()}
 
 
@@ -89,11 +94,12 @@ class Window:
         return s > 0 and self.text[s - 1].isalnum() or e < len(self.text) and self.text[e].isalnum()
 
 
-def candidates(w: Window) -> list[tuple[int, int, str, tuple]]:
-    """(first, end, kind, features) of each segment that passes its kind's exact check."""
-    out, n = [], len(w.words)
+def candidates(w: Window):
+    """For each token in turn, (first, end, kind, features) of the segments from there that pass their kind's exact check."""
+    n = len(w.words)
     cue = [CUES.get(x.lower(), "") for x in w.words]
     for i in range(n):
+        out = []
         before = next((cue[k] for k in range(i - 1, max(-1, i - 4), -1) if cue[k]), "")
         # Numbers: digits and signs alone; four groups with dots between may be an address.
         if w.parts[i] == "D" or w.words[i] in "+(":
@@ -135,7 +141,7 @@ def candidates(w: Window) -> list[tuple[int, int, str, tuple]]:
                     break
                 elif part in "WD" and dot > at >= 0 and not w.glued(i, j + 1):
                     out.append((i, j + 1, "email", address(w, i, j + 1, at, before)))
-    return out
+        yield out
 
 
 def number(w: Window, i: int, j: int, kind: str, groups: list[str], signs: list[str], cue: str) -> tuple:
@@ -149,7 +155,13 @@ def number(w: Window, i: int, j: int, kind: str, groups: list[str], signs: list[
     near = w.words[i - 1] if i and w.first[i] - w.end[i - 1] == 0 else ""
     after = w.words[j] if j < len(w.words) and w.first[j] == w.end[j - 1] and not (w.words[j] in ".,;:!?)" and (j + 1 == len(w.words) or w.first[j + 1] > w.end[j])) else ""
     more = [w.parts[k] == "D" for k in (i - 1, j) if 0 <= k < len(w.words)]
-    return tuple(f"{kind}|{x}" for x in ("", f"lead {lead} n{n}", f"n{n}", f"shape {shape}", f"lead {lead} shape {shape}", f"signs {kept}", f"max{max(lens)} min{min(lens)}", f"cue {cue}", f"lines {lines}", f"near {near}", f"after {after}", f"groups {min(len(lens), 9)}", f"beside {any(more)}", f"dates {len(lens) >= 3 and bool(re.match(r'(?:19|20)[0-9]{2}$', groups[0]) and lens[1:3] == [2, 2])}"))
+    dates = len(lens) >= 3 and bool(re.match(r"(?:19|20)[0-9]{2}$", groups[0]) and lens[1:3] == [2, 2])
+    return named(kind, lead, n, shape, kept, max(lens), min(lens), cue, lines, near, after, min(len(lens), 9), any(more), dates)
+
+
+@lru_cache(maxsize=50_000)
+def named(kind, lead, n, shape, kept, most, least, cue, lines, near, after, groups, beside, dates) -> tuple:
+    return tuple(f"{kind}|{x}" for x in ("", f"lead {lead} n{n}", f"n{n}", f"shape {shape}", f"lead {lead} shape {shape}", f"signs {kept}", f"max{most} min{least}", f"cue {cue}", f"lines {lines}", f"near {near}", f"after {after}", f"groups {groups}", f"beside {beside}", f"dates {dates}"))
 
 
 def address(w: Window, i: int, j: int, at: int, cue: str) -> tuple:
@@ -171,24 +183,38 @@ def address(w: Window, i: int, j: int, at: int, cue: str) -> tuple:
 def segments(w: Window, weights: dict) -> dict:
     """(first, end, kind) -> (score, features); "other" is one token with score 0."""
     out = {(i, i + 1, ""): (0.0, ()) for i in range(len(w.words))}
-    for i, j, k, f in candidates(w):
-        out[i, j, k] = sum(weights.get(x, 0.0) for x in f) - 2.0, f
+    for found in candidates(w):
+        for i, j, k, f in found:
+            out[i, j, k] = sum(weights.get(x, 0.0) for x in f) - 2.0, f
     return out
 
 
 def best(w: Window, weights: dict, base: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
-    """The segments of the best path that passes through every base span."""
-    score = {k: s for k, (s, _) in segments(w, weights).items()}
-    if base:
-        score = {x: s for x, s in score.items() if not x[2] or not any(a < w.end[x[1] - 1] and w.first[x[0]] < b for a, b, _ in base)}
-    top: list = [(0.0, None)] + [(-np.inf, None)] * len(w.words)
-    for (i, j, k), s in sorted(score.items()):
-        if top[i][0] + s > top[j][0]:
-            top[j] = (top[i][0] + s, (i, j, k))
+    """The segments of the best path that passes through every base span.
+
+    Token by token, with only the path so far in memory; of equal paths the first by segment wins."""
+    memo: dict = {}
+    value, back = [0.0] + [-np.inf] * len(w.words), [None] * (len(w.words) + 1)
+    fixed = sorted(base)
+    ends = [b for _, b, _ in fixed]
+    for i, found in enumerate(candidates(w)):
+        here = [(i + 1, "", 0.0)]
+        for _, j, k, f in found:
+            near = bisect.bisect_right(ends, w.first[i])
+            if near < len(fixed) and fixed[near][0] < w.end[j - 1]:
+                continue
+            if f not in memo:
+                if len(memo) > 50_000:
+                    memo.clear()
+                memo[f] = sum(weights.get(x, 0.0) for x in f) - 2.0
+            here.append((j, k, memo[f]))
+        for j, k, s in sorted(here):
+            if value[i] + s > value[j]:
+                value[j], back[j] = value[i] + s, (i, j, k)
     out, at = [], len(w.words)
     while at:
-        out.append(top[at][1])
-        at = top[at][1][0]
+        out.append(back[at])
+        at = back[at][0]
     return [x for x in reversed(out) if x[2]]
 
 

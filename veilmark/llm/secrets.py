@@ -6,7 +6,8 @@ and its anchored automaton the last.  Blocks in which no rule ends run in a tigh
 same automaton, so clean text costs one list access a byte.
 
 Results by case: null and empty texts have no spans; equal rows give equal results; texts of any length are scanned
-whole; columns beside the key and text are not read, so clashing names do no harm; spans of one rule never overlap,
+whole; an empty table gives no rows; columns beside the key and text are not read, and a key named spans is replaced by the
+spans; spans of one rule never overlap,
 spans of different rules may.
 """
 
