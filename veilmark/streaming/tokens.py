@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.operators.text import detect_spans, splice
-from veilmark.operators.tokens import occurrences, token_dictionary, with_tokens
+from veilmark.operators.tokens import occurrences, token_dictionary, with_numbers, with_tokens
 from veilmark.scratch import keep
 
 WORDS = "batch bigint, grp string, prefix string, norm string, original string, num bigint, token string"
@@ -39,8 +39,6 @@ def pseudonymise_batch(key: str, text_col: str, dictionary: str, out: str, numbe
         # Numbers of the new values alone, after the highest of their group: one row a group.
         again = keep(fresh.select("grp", "prefix", "norm", "original", "num"), "fresh")
         top = old.groupBy("grp").agg(F.max("num").alias("__top"))
-        from veilmark.operators.tokens import with_numbers
-
         rank = with_numbers(again.select("grp", "norm", "num").distinct().withColumnRenamed("num", "__pos"), "grp", "__pos").select("grp", "norm", F.col("num").alias("__n"))
         placed = again.join(rank, ["grp", "norm"]).join(F.broadcast(top), "grp", "left").withColumn("num", F.col("__n") + F.coalesce("__top", F.lit(0)))
         new = placed.select(F.lit(number).cast("bigint").alias("batch"), "grp", "prefix", "norm", "original", "num", F.concat(F.lit("["), "prefix", F.lit("_"), F.col("num").cast("string"), F.lit("]")).alias("token"))
