@@ -1,11 +1,15 @@
 """Nearest neighbours by score-aware anisotropic quantisation: four-bit codes, table scans, exact reranking.
 
 Codebooks of 16 centroids for each 4 dimensions are fitted on at most SAMPLE unit vectors so that residual error along
-the vector weighs ETA times the rest.  Every row is coded and scanned; the RERANK best of each batch are scored exactly
-in double precision.  Queries go round in blocks of at most BLOCK, which bounds what is broadcast.
+the vector weighs ETA times the rest.  Every row is coded once, two codes a byte, into a kept table.  A scan adds up
+table entries for CHUNK rows at a time and scores the RERANK best of them exactly, in double precision; each task hands on
+its k best of each query.  Queries go round in blocks of at most BLOCK, which bounds what is broadcast; a scan reads the
+whole table, so work grows with rows times queries.
 
-Results by case: vectors that are null, zero or hold null or non-finite components take no part; repeated vectors are
-ordered by vec_id; fewer than k candidates give them all; an empty table gives no rows.
+Results by case: vectors that are null, zero, hold null or non-finite components, or have another length than most
+(of two lengths as frequent, the longer) take no part, nor do rows without vec_id; repeated vectors are ordered by vec_id;
+rows that share a vec_id are candidates each, but not for a query of that vec_id; fewer than k candidates give them all;
+an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,8 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-WIDTH, CODES, ETA, SAMPLE, RERANK, BLOCK = 4, 16, 4.0, 8_000, 100, 4_096
+from .common import keep
+
+WIDTH, CODES, ETA, SAMPLE = 4, 16, 4.0, 8_000
+RERANK, CHUNK, BLOCK, SIDE = 400, 16_384, 32_768, 128
 
 
 def fit(x: np.ndarray) -> np.ndarray:
@@ -59,51 +67,98 @@ def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
 def usable(df: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False)))
+    most = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return rows.filter(F.size("embedding") == (most[0] if most else 0))
+
+
+def units(a: np.ndarray) -> np.ndarray:
+    """Unit vectors, padded to whole subspaces.  Scaled first, so that squares neither overflow nor vanish."""
+    a = a / np.abs(a).max(axis=1, keepdims=True)
+    return np.pad(a / np.linalg.norm(a, axis=1, keepdims=True), ((0, 0), (0, -a.shape[1] % WIDTH)))
+
+
+def vectors(column) -> np.ndarray:
+    """An Arrow column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def build(df: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray | None, DataFrame]:
+    """(codebooks, kept table of vec_id, embedding, code); no codebooks if no row is usable."""
+    rows = usable(df)
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.col("embedding").cast("array<double>").alias("v")).toArrow().column(0).combine_chunks()
+    if not len(some):
+        return None, rows
+    books = fit(units(vectors(some)))
+
+    def code(batches):
+        for b in batches:
+            codes = encode(units(vectors(b.column(1))), books).astype(np.uint8) if b.num_rows else np.zeros((0, len(books)), np.uint8)
+            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+            packed = codes[:, ::2] | codes[:, 1::2] << 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in packed], pa.binary())], names=["vec_id", "embedding", "code"])
+
+    return books, keep(rows.mapInArrow(code, StructType(list(rows.schema.fields)).add("code", "binary")), "index")
 
 
 def search(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score."""
-    spark, rows = df.sparkSession, usable(df)
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").collect()], np.float64)
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, its k nearest of all others."""
+    spark = df.sparkSession
+    books, index = build(df)
     out = "query_id bigint, vec_id bigint, score double"
-    if not len(sample):
+    if books is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = sample.shape[1]
-    pad = -dim % WIDTH
-    unit = lambda a: np.pad(a / np.linalg.norm(a, axis=1, keepdims=True), ((0, 0), (0, pad)))
-    books = fit(unit(sample))
+    asked = index.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() * 2 // BLOCK))
-    found = None
+    found = []
     for b in range(blocks):
-        got = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not got:
+        got = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toArrow().combine_chunks()
+        if not got.num_rows:
             continue
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in got]), unit(np.array([r[1] for r in got])), books))
+        held = spark.sparkContext.broadcast((got.column(0).to_numpy(), units(vectors(got.column(1).combine_chunks())), books))
 
         def scan(batches, held=held):
-            ids, q, books = held.value
+            ids, asked, books = held.value
             m = len(books)
-            table = np.einsum("qmw,mcw->mcq", q.reshape(len(q), m, WIDTH), books).astype(np.float32)
-            best = [[] for _ in ids]
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist())
-                x = unit(np.array(batch.column(1).to_pylist(), np.float64))
-                codes = encode(x, books)
-                rough = sum(table[j][codes[:, j]] for j in range(m))
+            best_score, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+
+            def look(rows):
+                own = np.concatenate([r.column(0).to_numpy() for r in rows])
+                x = units(np.concatenate([vectors(r.column(1)) for r in rows]))
+                packed = np.frombuffer(b"".join(c for r in rows for c in r.column(2).to_pylist()), np.uint8).reshape(len(own), -1)
+                codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(own), -1)[:, :m]
                 n = min(RERANK, len(own))
-                top = np.argpartition(-rough, n - 1, axis=0)[:n]
-                for i, query in enumerate(ids):
-                    c = top[:, i]
-                    exact = x[c] @ q[i]
-                    best[i] = sorted(best[i] + [(-s, int(v)) for s, v in zip(exact.tolist(), own[c].tolist(), strict=True) if v != query])[:k]
-            flat = [(int(i), v, -s) for i, x in zip(ids, best, strict=True) for s, v in x]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(scan, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+                for a in range(0, len(ids), SIDE):
+                    q = asked[a : a + SIDE]
+                    table = np.einsum("qmw,mcw->mcq", q.reshape(len(q), m, WIDTH), books).astype(np.float32)
+                    rough = np.zeros((len(own), len(q)), np.float32)
+                    for j in range(m):
+                        rough += table[j][codes[:, j]]
+                    top = np.argpartition(-rough, n - 1, axis=0)[:n]
+                    for i in range(len(q)):
+                        c = top[:, i]
+                        c = c[own[c] != ids[a + i]]
+                        s, v = np.concatenate([best_score[a + i], x[c] @ q[i]]), np.concatenate([best_id[a + i], own[c]])
+                        order = np.lexsort((v, -s))[:k]
+                        best_score[a + i], best_id[a + i] = s[order], v[order]
+
+            waiting, n = [], 0
+            for batch in batches:
+                waiting.append(batch)
+                n += batch.num_rows
+                if n >= CHUNK:
+                    look(waiting)
+                    waiting, n = [], 0
+            if n:
+                look(waiting)
+            at, rank = np.nonzero(best_score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(best_id[at, rank]), pa.array(best_score[at, rank])], names=["query_id", "vec_id", "score"])
+
+        found.append(keep(index.mapInArrow(scan, out), "found"))
+    if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return whole.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
