@@ -1,12 +1,15 @@
 """Hilbert-curve sharding, DataFrame operations only.
 
 Language, source and text size are quantised to LEVEL bits each at approximate quantiles (strings by their leading
-bytes, so order is kept), interleaved to a Hilbert index, and rows are cut into runs along (cell, text hash).  Ranks
-are exact: rows are numbered inside (cell, salt) groups, and groups are offset by two levels of running counts, the
-upper of at most 4096 cells.  A hot cell is split by salt, so no task gets it whole.  Law: rows.
-
-Results by case: null metadata quantises lowest; null text has size 16 and the crc32 of nothing; repeated rows take
-neighbouring slots; an empty table gives no rows.
+bytes, so order is kept), interleaved to a Hilbert index, and rows are cut into runs along (cell, text hash, doc_id).
+Rows are range-partitioned and sorted along the curve and kept; a row's rank is its place in its partition plus what
+earlier partitions hold, one count each.  A number of its own ends each row's key, so ranges split hot cells, copies and
+repeated rows alike.  Law: rows.
+
+Results by case: null metadata quantises lowest; null text has size 16 and the crc32 of nothing; repeated rows and rows
+alike in cell, text and doc_id take neighbouring slots in any order; texts count whole; an empty table gives no rows;
+columns named like an output are not returned by assign(), and written by write() as they are but for shard and slot,
+which the outputs replace.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVEL, SALTS = 4, 64
+from .common import keep
+
+LEVEL = 4
 
 
 def hilbert(coords: tuple[int, ...], bits: int) -> int:
@@ -54,22 +59,21 @@ def leading(col):
 
 def ranked(docs: DataFrame, shards: int, carry: bool) -> DataFrame:
     """The columns of assign(), after the whole document as the struct row if carry."""
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")] if carry else []
     raw = docs.select(*row, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), leading(F.col("lang")).alias("k_lang"), leading(F.col("source")).alias("k_source"))
     cells = quantised(raw, {"lang": F.col("k_lang"), "source": F.col("k_source"), "size": F.col("size")})
     side = 1 << LEVEL
     # The curve's table has 4096 numbers whatever the input: it is part of the plan.
     curve = F.lit([hilbert((i // side**2, i // side % side, i % side), LEVEL) for i in range(side**3)])
     boxed = cells.withColumn("box", (F.col("q_lang") * side + F.col("q_source")) * side + F.col("q_size"))
-    rows = boxed.withColumn("cell", F.element_at(curve, F.col("box") + 1)).withColumn("salt", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(SALTS)))
-    groups = rows.groupBy("cell", "salt").agg(F.count("*").alias("n"))
-    inside = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    upper = groups.groupBy("cell").agg(F.sum("n").alias("n"))
-    ahead = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select("cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    offsets = inside.join(F.broadcast(upper), "cell").select("cell", "salt", (F.col("before") + F.col("base")).alias("offset"), "total")
-    at = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("text_crc32", "doc_id", "size"))
-    numbered = rows.withColumn("own", at - 1).join(offsets, ["cell", "salt"]).withColumn("rank", F.col("own") + F.col("offset"))
+    rows = boxed.withColumn("cell", F.element_at(curve, F.col("box") + 1)).withColumn("own", F.monotonically_increasing_id())
+    order = ["cell", "text_crc32", "doc_id", "own"]
+    laid = keep(rows.drop("box", "k_lang", "k_source").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "curve")
+    # One row a partition.
+    parts = laid.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "low", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    numbered = laid.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(parts), "part").withColumn("rank", F.col("at") - F.col("low") + F.col("before"))
     # The first (total mod shards) shards take one row more.
     least, more = F.floor(F.col("total") / shards), F.col("total") % shards
     big = more * (least + 1)
@@ -84,5 +88,6 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 def write(docs: DataFrame, path: str, shards: int = 40) -> None:
     """Documents in files by shard, sorted along the curve inside."""
-    placed = ranked(docs, shards, True).select("row.*", "shard", "slot")
+    rest = [(i, c) for i, c in enumerate(docs.columns) if c not in ("shard", "slot")]
+    placed = ranked(docs, shards, True).select(*[F.col(f"row.c{i}").alias(c) for i, c in rest], "shard", "slot")
     placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
