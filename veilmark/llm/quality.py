@@ -1,10 +1,11 @@
 """Quality: logistic regression on hashed word uni- and bigrams, trained by follow-the-regularised-leader.
 
-Training reads at most SAMPLE labelled rows (those with the smallest hashes of their ids: the same at any partitioning)
-and fits on the driver; scoring is a narrow sparse dot product over whole texts.
+Training reads at most SAMPLE labelled rows (those with the smallest hashes of their ids: the same at any partitioning),
+makes features of their whole texts in Spark and fits on the driver; scoring is a narrow sparse dot product over whole texts.
 
-Results by case: null and empty texts score from the intercept; equal texts score alike; an empty label table gives
-0.5 everywhere; other columns are not read.
+Results by case: null and empty texts score from the intercept; equal texts, so repeated rows, score alike; null labels and
+ids teach nothing; an id with several rows or labels teaches each; an empty label table gives 0.5 everywhere, an empty table
+of documents no rows; other columns are not read, keys named like the output are replaced by it.
 """
 
 from __future__ import annotations
@@ -46,10 +47,9 @@ def featurizer():
     return features
 
 
-def fit(rows: list[tuple[str, int]]) -> np.ndarray:
+def fit(data: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights from buckets, values and label of each row."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    features = featurizer()
-    data = [(*features(t), y) for t, y in rows]
     order = np.random.default_rng(7)
 
     def weights(i):
@@ -66,9 +66,21 @@ def fit(rows: list[tuple[str, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    some = labels.filter(F.col("quality").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").collect()
-    return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))])
+    """Weights from at most sample labels, and at most sample rows of theirs; only their buckets and values reach the driver."""
+    some = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "y"))
+
+    def setup():
+        features = featurizer()
+
+        def batch(texts):
+            found = [features(t) for t in texts]
+            return {"i": [i.tolist() for i, _ in found], "x": [x.tolist() for _, x in found]}
+
+        return batch
+
+    made = map_texts(rows, ["h", "y"], "i array<int>, x array<double>", setup)
+    return fit([(np.array(r.i, np.int64), np.array(r.x), r.y) for r in made.orderBy("h", "y").limit(sample).collect()])
 
 
 def score(docs: DataFrame, weights: np.ndarray, keys: list[str], text_col: str = "text") -> DataFrame:
