@@ -9,7 +9,8 @@ fit is the share of letters that some learned language accounts for: in words of
 spans whose trigrams are on average no less likely than chance (FLOOR).  Without a learned language every letter fits.
 
 Results by case: null text, empty text and text without a letter give `und` with score 0, fit 0 and no spans; ties go to the
-language that sorts first; equal texts give equal results; texts are read whole; other columns are not looked at.
+language that sorts first; equal texts, so repeated rows, give equal results; texts are read whole; an empty table gives no rows, and one without a language to
+learn `und` everywhere; other columns are not looked at, and a key named like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_texts
 
 BUCKETS, SWITCH = 1 << 15, 25.0
+#: Languages that a task counts at once.
+HELD = 64
 #: Mean log probability of a trigram by chance, less what smoothing takes from small training tables.
 FLOOR = -float(np.log(BUCKETS)) - 0.25
 #: First and last code points of scripts; letters outside count as "other".
@@ -62,34 +66,39 @@ def analysed(text: str | None):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Trigram and script counts over all training rows, summed a batch at a time before the shuffle.
+    """Trigram and script counts over all training rows in one pass, summed by task before the shuffle.
 
     Only buckets x languages numbers reach the driver.
     """
-    def setup():
-        def batch(texts):
-            made = np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64)
-            for t in texts:
-                if (found := analysed(t)) is not None:
-                    made[:BUCKETS] += np.bincount(found[0], minlength=BUCKETS)
-                    made[BUCKETS:] += np.bincount(found[3], minlength=len(SCRIPTS) + 1)
-            first = [{"bucket": int(k), "n": int(made[k])} for k in np.flatnonzero(made)]
-            return {"counts": [first] + [[]] * (len(texts) - 1)}
-
-        return batch
-
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 5) != 0)).select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__t"))
-    langs = sorted(r[0] for r in rows.select("__lang").distinct().collect())
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 5) != 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+    def count(batches):
+        made: dict[str, np.ndarray] = {}
+
+        def rows_of():
+            for lang, n in made.items():
+                at = np.flatnonzero(n)
+                # -1 says that there is such a language, though it may have no letters.
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([-1, *at.tolist()], pa.int32()), pa.array([0, *n[at].tolist()], pa.int64())], names=["lang", "bucket", "n"])
+            made.clear()
+
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lang not in made and len(made) >= HELD:
+                    yield from rows_of()
+                n = made.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
+                if (found := analysed(text)) is not None:
+                    n[:BUCKETS] += np.bincount(found[0], minlength=BUCKETS)
+                    n[BUCKETS:] += np.bincount(found[3], minlength=len(SCRIPTS) + 1)
+        yield from rows_of()
+
+    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total: dict[str, np.ndarray] = {}
-    parts = [map_texts(rows.filter(F.col("__lang") == lang), ["__lang"], "counts array<struct<bucket:int,n:bigint>>", setup, "__t") for lang in langs]
-    counted = None
-    for p in parts:
-        counted = p if counted is None else counted.unionByName(p)
-    for lang in langs:
-        total[lang] = np.zeros(BUCKETS + len(SCRIPTS) + 1)
-    if counted is not None:
-        for r in counted.select("__lang", F.explode("counts").alias("c")).groupBy("__lang", "c.bucket").agg(F.sum("c.n").alias("n")).collect():
-            total[r[0]][r[1]] = r[2]
+    for lang, bucket, n in zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), counted.column(2).to_pylist(), strict=True):
+        own = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1))
+        if bucket >= 0:
+            own[bucket] = n
+    langs = sorted(total)
     grams = {k: v[:BUCKETS] for k, v in total.items()}
     table = np.stack([np.log((grams[k] + 0.5) / (grams[k].sum() + 0.5 * BUCKETS)) for k in langs], axis=1).astype(np.float32) if langs else np.zeros((BUCKETS, 0), np.float32)
     seen = np.stack([total[k][BUCKETS:] > 0.001 * max(1, total[k][BUCKETS:].sum()) for k in langs], axis=1) if langs else np.zeros((len(SCRIPTS) + 1, 0), bool)
