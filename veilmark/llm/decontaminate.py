@@ -1,127 +1,255 @@
 """Benchmark decontamination: rare word n-gram seeds join texts to test items, then local alignment scores the copy.
 
-Each stretch of STRIDE words of an item keeps its rarest SEED-gram (by the share of items that hold it, then by hash), so
-every stretch of an item can be found.  Seeds of all items are a table of at most items x words / STRIDE rows that travels
-to every task; its size is checked, and beyond SEED_BOUND rows find() raises, so a larger benchmark is passed in blocks.
-A seed hit opens a window of the text around the item's place, which Smith-Waterman aligns word by word; what is left of
-the window beside a match is aligned again.
-
-Results by case: null and empty texts or items match nothing; an item shorter than SEED words is its own seed; repeated
-rows give repeated matches; rows of the benchmark that share an item_id or have none are items of their own; every copy of
-an item in a text is reported, the better of two that overlap; texts are scanned whole.
+Each stretch of STRIDE grams of an item keeps its rarest SEED-gram, by how often the whole corpus has it, then by hash, so
+every stretch of an item can be found.  While the benchmark has BOUND words at most (checked), grams and seeds go to every
+task as sorted hashes, and texts are scanned where they lie; beyond it, the texts' grams are joined to them by a shuffle.
+Either way a text's hits on an item become passages: hits that one alignment could bridge share a passage, which reaches as
+far as the item's rest could pay for (twice its length in gaps).  Passages are joined to the items by number, and
+Smith-Waterman aligns them word by word, a row of the table at a time; what is left beside a match is aligned again, and
+passages much longer than the item are taken in overlapping parts, so time stays linear in the text.
+
+Results by case: null and empty texts or items match nothing, nor do items of fewer than SEED words, which any text may
+hold by chance; repeated rows give repeated matches; rows of the benchmark that share an item_id or have none are items of
+their own; every copy of an item in a text is reported, the better of two that overlap, the first of two alike; texts are
+scanned whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_texts
+from .common import keep, map_texts
+from .minhash import MEMO, mixed, numbered
 
-SEED, STRIDE, LEAST, SEED_BOUND = 3, 4, 0.5, 2_000_000
+SEED, STRIDE, LEAST, BOUND = 3, 4, 0.5, 2_000_000
 WORDS = re.compile(r"\w+")
-MATCH, MISS, GAP = 2, -1, -1
+MATCH, MISS, GAP = 2, 1, 1
+#: Parts of long passages, and what two of them share, in lengths of the item.
+PART, SHARED = 12, 4
 
 
-def tokens(text: str | None) -> list[tuple[str, int, int]]:
-    return [(m.group().lower(), m.start(), m.end()) for m in WORDS.finditer(text or "")]
+#: ASCII in lower case, and a blank for what no word holds.
+PLAIN = bytes(ord(chr(i).lower()) if chr(i).isalnum() or i == 95 else 32 for i in range(128)) + bytes(range(128, 256))
 
 
-def grams(words: list[str]) -> list[tuple]:
-    n = min(SEED, len(words))
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
+def coder():
+    """text (or its UTF-8) -> hashes of its words in lower case.  What lies between ASCII signs is looked up whole, and cut
+    into words only where it holds other characters and was not met before."""
+    memo: dict[bytes, bytes] = {}
 
+    def codes(text: str | bytes | None) -> np.ndarray:
+        parts = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").translate(PLAIN).split()
+        out = list(map(memo.get, parts))
+        if None in out:
+            if len(memo) > MEMO:
+                memo.clear()
+            for i, c in enumerate(out):
+                if c is None:
+                    p = parts[i]
+                    words = (p,) if p.isascii() else [w.lower().encode("utf-8", "surrogatepass") for w in WORDS.findall(p.decode("utf-8", "surrogatepass"))]
+                    out[i] = memo[p] = b"".join([xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in words])
+        return np.frombuffer(b"".join(out), "<u8")
 
-def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Smith-Waterman: (score, first, end) of the best local alignment in b."""
-    row = [(0, j) for j in range(len(b) + 1)]
-    best = (0, 0, 0)
-    for x in a:
-        last, row[0] = row[0], (0, 0)
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            s, at = last[0] + (MATCH if x == y else MISS), last[1] if last[0] else j - 1
-            if up[0] + GAP > s:
-                s, at = up[0] + GAP, up[1]
-            if row[j - 1][0] + GAP > s:
-                s, at = row[j - 1][0] + GAP, row[j - 1][1]
-            last, row[j] = up, (s, at) if s > 0 else (0, j)
-            if s > best[0]:
-                best = (s, at, j)
-    return best
+    return codes
 
 
-def seeds_of(items: list[tuple[int, list[str]]]) -> dict:
-    """Seed -> [(item, place)]."""
-    spread = Counter(g for _, w in items for g in set(grams(w)))
-    out: dict = {}
-    for item, words in items:
-        own = grams(words)
-        for at in range(0, len(own), STRIDE):
-            part = own[at : at + STRIDE]
-            p = min(range(len(part)), key=lambda k: (spread[part[k]], zlib.crc32(" ".join(part[k]).encode("utf-8", "surrogatepass"))))
-            out.setdefault(part[p], []).append((item, at + p))
-    return out
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of each SEED words."""
+    n = len(codes) - SEED + 1
+    h = np.full(max(0, n), SEED, np.uint64)
+    for i in range(SEED if n > 0 else 0):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n])
+    return h.view(np.int64)
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman: (score, first, end) of the best local alignment in text.
+
+    Gaps within a row are a running maximum.  Of equal ways a match or miss comes first, then a word of the item left out,
+    then one of the text; of equal scores the one that ends first in the item, then in the text.
+    """
+    n, at = len(text), np.arange(len(text) + 1)
+    row, first = np.zeros(n + 1, np.int64), at.copy()
+    best = (0, 0, 0)
+    for x in item:
+        score, origin = np.zeros(n + 1, np.int64), at.copy()
+        step = row[:-1] + np.where(text == x, MATCH, -MISS)
+        ok = step > 0
+        score[1:][ok], origin[1:][ok] = step[ok], np.where(row[:-1] > 0, first[:-1], at[:-1])[ok]
+        up = row - GAP
+        ok = up > score
+        score[ok], origin[ok] = up[ok], first[ok]
+        slope = score + GAP * at
+        top = np.maximum.accumulate(slope)
+        left = np.maximum.accumulate(np.where(slope == top, at, 0))
+        row, first = top - GAP * at, origin[left]
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), int(first[j]), j)
+    return best
 
 
-def copies(target: list[str], plain: list[str], low: int, high: int) -> list[tuple[float, int, int]]:
-    """(score, first, end) of alignments of LEAST or more in plain[low:high] that do not overlap: the best, then beside it."""
-    out, todo = [], [(low, high)]
+def copies(item: np.ndarray, text: np.ndarray) -> list[tuple[float, int, int]]:
+    """(score, first, end) of alignments of LEAST or more that do not overlap, by place."""
+    size, found = len(item), []
+    starts = range(0, max(1, len(text) - SHARED * size), (PART - SHARED) * size) if len(text) > PART * size else (0,)
+    todo = [(a, min(len(text), a + PART * size)) for a in starts]
     while todo:
         low, high = todo.pop()
-        # Fewer words cannot score LEAST.
-        if high - low < LEAST * len(target):
+        if high - low < LEAST * size:  # fewer words cannot score LEAST
             continue
-        s, a, b = align(target, plain[low:high])
-        score = s / (MATCH * len(target))
-        if s and score >= LEAST:
-            out.append((score, low + a, low + b))
+        s, a, b = align(item, text[low:high])
+        if s and s >= LEAST * MATCH * size:
+            found.append((s / (MATCH * size), low + a, low + b))
             todo += [(low, low + a), (low + b, high)]
+    taken: list = []
+    for s, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        if all(b <= c or d <= a for _, c, d in taken):
+            taken.append((s, a, b))
+    return sorted(taken, key=lambda x: x[1:])
+
+
+def passages(text: str | bytes, codes: np.ndarray, hits: dict[int, list[tuple[int, int, int]]]) -> list[tuple]:
+    """(item, codes, starts, ends) of each stretch of a text where hits (place in the text, in the item, item's length) lie."""
+    spots = None
+    out = []
+    for item, found in hits.items():
+        ranges: list = []
+        for at, place, size in sorted(found):
+            low, high = max(0, at - 3 * place - SEED), min(len(codes), at + 3 * (size - place) + SEED)
+            if ranges and (low <= ranges[-1][1] or at - ranges[-1][2] <= size):
+                ranges[-1] = [min(low, ranges[-1][0]), max(high, ranges[-1][1]), at]
+            else:
+                ranges.append([low, high, at])
+        spots = spots if spots is not None else np.array([m.span() for m in WORDS.finditer(text.decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text)], np.int32)
+        out += [(item, codes[a:b].tobytes(), spots[a:b, 0].tobytes(), spots[a:b, 1].tobytes()) for a, b, _ in ranges]
     return out
 
 
+def looked_up(seeds: tuple[np.ndarray, ...], found: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """Hits by item of a text's gram hashes; seeds: hashes in order, and the item, place and item's length of each."""
+    keys, items, places, sizes = seeds
+    low = np.searchsorted(keys, found)
+    hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found) if len(keys) else []
+    out: dict = {}
+    for i in hit:
+        k = low[i]
+        while k < len(keys) and keys[k] == found[i]:
+            out.setdefault(int(items[k]), []).append((int(i), int(places[k]), int(sizes[k])))
+            k += 1
+    return out
+
+
+PASSAGE = "array<struct<item:bigint,codes:binary,starts:binary,ends:binary>>"
+
+
+def _rows(found: list[tuple]) -> list[dict]:
+    return [dict(zip(("item", "codes", "starts", "ends"), p, strict=True)) for p in found]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys plus matches: item, score (alignment over the most it could be) and span, for scores of LEAST or more."""
-    size = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size / STRIDE > SEED_BOUND:
-        raise ValueError("the benchmark exceeds SEED_BOUND: pass it in blocks and union the matches")
-    rows = benchmark.select("item_id", "text").orderBy("item_id", "text").collect()
-    items = [(n, [w for w, _, _ in tokens(r[1])]) for n, r in enumerate(rows)]
-    held = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], dict(items), seeds_of(items)))
-
-    def setup():
-        names, known, seeds = held.value
-        short = {len(g) for g in seeds}
-
-        def matches(text):
-            words = tokens(text)
-            plain = [w for w, _, _ in words]
-            near: dict = {}
-            for n in short:
-                for i in range(len(plain) - n + 1):
-                    for item, place in seeds.get(tuple(plain[i : i + n]), ()):
-                        near.setdefault(item, {}).setdefault((i - place) // 16, i - place)
-            out = []
-            for item, starts in near.items():
-                target, found = known[item], []
-                done = -1
-                for at in sorted(starts.values()):
-                    low, high = max(0, at - 16), min(len(plain), at + len(target) + 16)
-                    if high <= done:
-                        continue
-                    done = high
-                    found += copies(target, plain, low, high)
-                taken: list = []
-                for s, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-                    if all(b <= c or d <= a for _, c, d in taken):
-                        taken.append((s, a, b))
-                out += [{"item_id": names[item], "score": s, "start": words[a][1], "end": words[b - 1][2]} for s, a, b in taken]
-            return sorted(out, key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["start"], m["end"]))
-
-        return lambda texts: {"matches": [matches(t) for t in texts]}
-
-    return map_texts(docs, keys, "matches array<struct<item_id:bigint,score:double,start:int,end:int>>", setup, text_col)
+    """keys, item_id, score (alignment over the most it could be), start, end: one row a copy of LEAST or more."""
+    spark = docs.sparkSession
+    texts = numbered(benchmark.select("item_id", F.col("text").cast("string").alias("text")))
+
+    def words():
+        codes = coder()
+
+        def batch(found):
+            made = [codes(t) for t in found]
+            return {"codes": [c.tobytes() for c in made], "grams": [grams(c).tolist() for c in made]}
+
+        return batch
+
+    items = keep(map_texts(texts, ["number", "item_id"], "codes binary, grams array<bigint>", words), "items")
+    placed = items.select(F.col("number").alias("item"), F.size("grams").alias("n"), F.posexplode("grams").alias("place", "gram"))
+    known = placed.select("gram").distinct()
+    small = placed.count() <= BOUND
+    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    def every():
+        codes = coder()
+        return lambda found: {"gram": [grams(codes(t)).tolist() for t in found]}
+
+    if small:
+        held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in known.collect()], np.int64)))
+
+        def count(batches):
+            codes, own = coder(), held.value
+            n = np.zeros(len(own), np.int64)
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    found = grams(codes(t))
+                    at = np.searchsorted(own, found)
+                    if len(own):
+                        at = at[own[np.minimum(at, len(own) - 1)] == found]
+                        np.add.at(n, at, 1)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(n[at])], names=["gram", "n"])
+
+        spread = rows.select(F.col("__text").cast("binary")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("spread"))
+    else:
+        rows = keep(rows.withColumn("__row", F.monotonically_increasing_id()), "texts")
+        joined = map_texts(rows, ["__row"], "gram array<bigint>", every, "__text", as_bytes=True).select("__row", F.posexplode("gram").alias("at", "gram")).join(known, "gram")
+        spread = joined.groupBy("gram").agg(F.count("*").alias("spread"))
+    rare = F.min(F.struct(F.coalesce("spread", F.lit(0)).alias("spread"), F.xxhash64("gram").alias("h"), "place", "gram", "n")).alias("s")
+    seeds = placed.join(spread, "gram", "left").groupBy("item", F.floor(F.col("place") / STRIDE).alias("stretch")).agg(rare).select("item", "s.place", "s.gram", (F.col("s.n") + SEED - 1).alias("size"))
+    if small:
+        table = seeds.orderBy("gram", "item", "place").select("gram", "item", "place", "size").collect()
+        seeded = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in table], np.int64) for i in range(4)))
+
+        def scan():
+            codes, own = coder(), seeded.value
+
+            def batch(found):
+                out = []
+                for t in found:
+                    c = codes(t)
+                    hits = looked_up(own, grams(c))
+                    out.append(_rows(passages(t, c, hits)) if hits else [])
+                return {"__passages": out}
+
+            return batch
+
+        made = map_texts(rows, keys, f"__passages {PASSAGE}", scan, "__text", as_bytes=True)
+    else:
+        own = map_texts(rows, ["__row"], "gram array<bigint>", every, "__text", as_bytes=True).select("__row", F.posexplode("gram").alias("at", "gram"))
+        hits = own.join(seeds, "gram").groupBy("__row").agg(F.collect_list(F.struct("item", "at", "place", "size")).alias("__hits"))
+
+        def cut(batches):
+            codes = coder()
+            for b in batches:
+                out = []
+                for t, found in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True):
+                    by: dict = {}
+                    for h in found:
+                        by.setdefault(h["item"], []).append((h["at"], h["place"], h["size"]))
+                    out.append(_rows(passages(t, codes(t), by)))
+                kind = pa.list_(pa.struct([("item", pa.int64()), ("codes", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(out, kind)], names=[*b.schema.names[: len(keys)], "__passages"])
+
+        hit = rows.join(hits, "__row").select(*[F.col(f"`{k}`") for k in keys], "__text", "__hits")
+        made = hit.mapInArrow(cut, StructType(hit.schema.fields[: len(keys)] + StructType.fromDDL(f"__passages {PASSAGE}").fields))
+    cols = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    met = keep(made.filter(F.size("__passages") > 0).select(F.struct(F.lit(True).alias("_"), *cols).alias("row"), F.explode("__passages").alias("p")), "passages")
+    pairs = met.select("row", "p.item", "p.codes", "p.starts", "p.ends").join(items.select(F.col("number").alias("item"), "item_id", F.col("codes").alias("target")), "item")
+
+    @F.pandas_udf("array<struct<score:double,start:int,end:int>>")
+    def aligned(target, codes, starts, ends):
+        import pandas as pd
+
+        out = []
+        for t, c, a, b in zip(target, codes, starts, ends, strict=True):
+            first, last = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+            out.append([{"score": s, "start": int(first[i]), "end": int(last[j - 1])} for s, i, j in copies(np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint64))])
+        return pd.Series(out)
+
+    done = pairs.select("row", "item_id", F.explode(aligned("target", "codes", "starts", "ends")).alias("m"))
+    return done.select(*[F.col(f"row.k{i}").alias(k) for i, k in enumerate(keys) if k not in ("item_id", "score", "start", "end")], "item_id", "m.score", "m.start", "m.end")
