@@ -130,7 +130,72 @@ def test_decontamination(spark):
     edited = item.replace("w7 ", "q ").replace("w12 ", "")
     d = spark.createDataFrame([(1, f"a b {edited} c"), (2, "a b c"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(9, item), (8, None)], "item_id long, text string")
-    assert [r.doc_id for r in decontaminate.find(d, b, ["doc_id"]).filter("size(matches) > 0").collect()] == [1]
+    assert [r.doc_id for r in decontaminate.find(d, b, ["doc_id"]).collect()] == [1]
+
+
+def slow_align(item, text):
+    """Smith-Waterman cell by cell."""
+    best, row = (0, 0, 0), [(0, j) for j in range(len(text) + 1)]
+    for x in item:
+        new = [(0, 0)]
+        for j, y in enumerate(text, 1):
+            s, a = row[j - 1][0] + (2 if x == y else -1), row[j - 1][1] if row[j - 1][0] else j - 1
+            if s <= 0:
+                s, a = 0, j
+            for cell in (row[j], new[j - 1]):
+                if cell[0] - 1 > s:
+                    s, a = cell[0] - 1, cell[1]
+            new.append((s, a))
+            if s > best[0]:
+                best = (s, a, j)
+        row = new
+    return best
+
+
+def test_alignment_equals_the_cell_by_cell_one():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        a, b = rng.integers(0, 5, rng.integers(1, 15)), rng.integers(0, 5, rng.integers(0, 30))
+        assert decontaminate.align(a, b) == slow_align(a.tolist(), b.tolist())
+
+
+def test_decontamination_finds_edited_inserted_and_cut_copies(spark, monkeypatch):
+    """Against alignment of every text with every item; the same by broadcast and by shuffle."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    items = [[word() for _ in range(n)] for n in (40, 40, 25, 12, 2)]
+    texts, marks = [], []
+    for n in range(60):
+        item = list(items[n % 4])
+        half = len(item) // 2
+        if n % 5 == 0:
+            item[half:half] = [word() for _ in range(3 * half // 2)]
+        elif n % 5 == 1:
+            item[rnd.randrange(len(item))] = word()
+            del item[rnd.randrange(len(item))]
+        elif n % 5 == 2:
+            item = item[: half + 4]
+        elif n % 5 == 3:
+            item = [word() for _ in item]
+        texts.append(" ".join([word() for _ in range(rnd.randrange(50))] + item + [word() for _ in range(rnd.randrange(50))]))
+        marks.append(n % 5)
+    texts += [None, "", "w1", " ".join(items[4]), " ".join(items[0] * 60)]
+    d = spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(texts)], "doc_id long, text string, score double, item_id string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(7, None), (8, "")], "item_id long, text string")
+    want = set()
+    for i, t in enumerate(texts[:60]):
+        for k, item in enumerate(items[:4]):
+            s, *_ = slow_align(item, (t or "").split())
+            if s >= len(item):
+                want.add((i, k))
+    got = [tuple(r) for r in decontaminate.find(d, bench, ["doc_id"]).collect()]
+    assert {(g[0], g[1]) for g in got if g[0] < 60} == want and {g[0] for g in got if g[0] > 60} == {64}
+    assert sorted(g[3] for g in got if g[0] == 64) == [len(" ".join(items[0] * n)) + (n > 0) for n in range(60)]
+    assert {i for i, _ in want} >= {i for i, m in enumerate(marks) if m in (0, 1, 2)} and not {i for i, _ in want} & {i for i, m in enumerate(marks) if m == 3}
+    monkeypatch.setattr(decontaminate, "BOUND", 0)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, decontaminate.find(d, bench, ["doc_id"]).collect()), key=key) == sorted(got, key=key)
+    assert decontaminate.find(d.limit(0), bench, ["doc_id"]).count() == 0 == decontaminate.find(d, bench.limit(0), ["doc_id"]).count()
 
 
 def test_neighbours_skip_bad_vectors(spark):
@@ -243,7 +308,9 @@ def test_decontamination_of_shared_ids_and_every_copy(spark):
     short = "one two three four five"
     long_text = f"x {texts[0]} " + "filler word " * 40 + f"{texts[0]} {texts[0]}"
     d = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, long_text), (5, f"{short} {short} and {short}")], "doc_id long, text string")
-    got = {r.doc_id: [(m.item_id, m.score, m.start) for m in r.matches] for r in decontaminate.find(d, bench, ["doc_id"]).collect()}
+    got: dict = {}
+    for r in decontaminate.find(d, bench, ["doc_id"]).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append((r.item_id, r.score, r.start))
     assert got[0] == got[1] == [(9, 1.0, 0)] and got[2] == got[3] == [(None, 1.0, 0)]
     n = len(texts[0])
     assert got[4] == [(9, 1.0, 2), (9, 1.0, len(long_text) - 2 * n - 1), (9, 1.0, len(long_text) - n)]

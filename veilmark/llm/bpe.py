@@ -6,7 +6,7 @@ units (at most 3 x HEAD, merged from each task's most frequent words) are encode
 every task.  One pass over the texts turns each block of rows (BLOCK bytes of text at most, one text at least) into a stream of numbers, of the frequent words and units, or of the block's own distinct rare units, which it hands
 on dealt by their hash.  That table is kept in the shared folder.  Rare units meet their equals, each is encoded once, and the ids
 return to the block by position, so a unit travels once a block however often it is written there.  Texts themselves do
-not travel unless their column is asked for.  Which units are in the head, and where blocks end, changes no result.
+not travel unless their column is asked for, and then packed by block.  Which units are in the head, and where blocks end, changes no result.
 Decoding looks ids up in the vocabulary's piece table, whose size is fixed: the join's small side sits in the plan.
 
 Results by case: null counts as empty and stays null, and empty texts have no ids; repeated rows are all returned; texts
@@ -16,6 +16,7 @@ output replaces.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,8 +39,10 @@ SPACE = re.compile("[ \t\n\x0b\f\r]+")
 SIGNS = ".,;:!?%*"
 #: Characters that are letters or digits in every version of Unicode.
 FIRM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
+#: The length of a null text.
+NULL = 0xFFFFFFFF
 #: What a row of the kept table holds.
-UNITS, STREAM, ROW = 0, 1, 2
+UNITS, STREAM, TEXTS, ROW = 0, 1, 2, 3
 
 
 def tokenizer(source: str):
@@ -127,7 +130,7 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
     table = spark.sparkContext.broadcast((np.array(sizes, np.int64), np.array(flat, np.int32)))
     del top, sizes, flat
     deals = 1 + rest // DEAL
-    cols = [c for c in docs.columns if c != out_col and not (drop_text and c == text_col)]
+    cols = [c for c in docs.columns if c not in (out_col, text_col)]
     row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")
     given = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), row)
     made = StructType.fromDDL("block bigint, kind int, at int, deal int, data binary").add("row", given.schema["row"].dataType)
@@ -186,10 +189,16 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
             cuts = np.flatnonzero(np.diff(dealt[order], prepend=-1)).tolist()
             packs = [squeeze.compress(b" ".join(rare[k] for k in order[i:j])) for i, j in zip(cuts, [*cuts[1:], len(rare)])]
             packs.append(packed(np.concatenate([np.array([len(texts), *lengths]), flat]), squeeze))
+            kinds = [UNITS] * (len(packs) - 1) + [STREAM]
+            if not drop_text:
+                sizes = np.array([NULL if t is None else len(t) for t in texts], "<u4")
+                packs.append(squeeze.compress(sizes.tobytes() + b"".join(t or b"" for t in texts)))
+                kinds.append(TEXTS)
             n, k = len(texts), len(packs)
+            spare = k - len(cuts)
             key = uuid.uuid4().int >> 65
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * (n + k), pa.int64()), pa.array([UNITS] * (k - 1) + [STREAM] + [ROW] * n, pa.int32()), pa.array([*cuts, 0, *range(n)], pa.int32()), pa.array([*dealt[order][cuts].tolist(), *[None] * (n + 1)], pa.int32()), pa.array(packs + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(k, rows[0].type), *rows])],
+                [pa.array([key] * (n + k), pa.int64()), pa.array(kinds + [ROW] * n, pa.int32()), pa.array([*cuts, *[n] * spare, *range(n)], pa.int32()), pa.array([*dealt[order][cuts].tolist(), *[None] * (n + spare)], pa.int32()), pa.array(packs + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(k, rows[0].type), *rows])],
                 names=["block", "kind", "at", "deal", "data", "row"],
             )
 
@@ -198,6 +207,8 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
     def encoded(batches):
         import zstandard
 
+        # One core a task: the library would otherwise take all of an executor's.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         squeeze, widen = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
         t, last, ids = tokenizer(held_source.value), None, {}
         for b in batches:
@@ -223,9 +234,9 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
         import zstandard
 
         widen, (head_sizes, head_flat) = zstandard.ZstdDecompressor(), table.value
-        last, sizes, flats, flat, ends = None, [], [], head_flat, []
+        last, sizes, flats, flat, ends, whole, cuts = None, [], [], head_flat, [], b"", []
         for b in batches:
-            rows, ids = [], [head_flat[:0]]
+            rows, ids, texts = [], [head_flat[:0]], []
             block, at, kind, n, data = (b.column(i).to_pylist() for i in range(5))
             for i in range(b.num_rows):
                 if block[i] != last:
@@ -238,14 +249,22 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
                     x = unpacked(data[i], widen)
                     k = int(x[0])
                     flat, ends = filled(x[1 + k :], np.concatenate(flats), np.concatenate(sizes), x[1 : 1 + k])
+                elif kind[i] == TEXTS:
+                    data_of = widen.decompress(data[i])
+                    lengths, whole = np.frombuffer(data_of[: 4 * at[i]], "<u4"), data_of[4 * at[i] :]
+                    real = np.where(lengths == NULL, 0, lengths).astype(np.int64)
+                    cuts = [None if z == NULL else (e - z, e) for z, e in zip(lengths.tolist(), np.cumsum(real).tolist(), strict=True)]
                 else:
                     rows.append(i)
+                    if not drop_text:
+                        texts.append(cuts[at[i]] and whole[slice(*cuts[at[i]])])
                     ids.append(flat[ends[at[i]] : ends[at[i] + 1]])
             to = np.cumsum([*map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(ids)))], names=["row", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(rows, pa.int64())), pa.array([None] * len(rows) if drop_text else texts, pa.binary()), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(ids)))], names=["row", "text", "ids"])
 
-    out = both.select("block", "at", "kind", "n", "data", "row").repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(joined, StructType().add("row", given.schema["row"].dataType).add("ids", ArrayType(IntegerType())))
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)], F.col("ids").alias(out_col))
+    out = both.select("block", "at", "kind", "n", "data", "row").repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(joined, StructType().add("row", given.schema["row"].dataType).add("text", "binary").add("ids", ArrayType(IntegerType())))
+    text = F.col("text").cast("string").alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"row.c{cols.index(c)}").alias(c) for c in docs.columns if c != out_col and not (drop_text and c == text_col)], F.col("ids").alias(out_col))
 
 
 def decode(df: DataFrame, source: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.scratch import drop, folder
+
 from .common import WORD, keep, map_texts
 
 T, BANDS, ROWS = 125, 25, 5
@@ -96,13 +98,13 @@ def bitmap(items: np.ndarray) -> bytes:
     return np.packbits(on).tobytes()
 
 
-def near_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+def near_in_blocks(rows: DataFrame, percent: int, work: str) -> DataFrame:
     """Distinct pairs (a, b) of a bucket, in different components, that their bit maps do not rule out.
 
     A shingle of one set whose slot is empty in the other is not common: sets of n and m shingles have at most
     min(n - own slots, m - own slots) in common.
     """
-    parts = keep(rows.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    parts = keep(rows.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts", work)
     dealt = rows.join(parts, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "n_shingles", "bits")
     keys = ["band", "key", "lo", "hi"]
@@ -189,52 +191,55 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").filter(same("ta", "tb")).select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, work: str) -> DataFrame:
     """id, comp: least id reachable.  Labels spread along links until none changes; each step is a kept table."""
-    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    now = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "comp")
+    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", work)
+    now = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "comp", work)
     while True:
         near = both.join(now.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("c"))
         jump = now.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        fresh = keep(now.join(near, "id").join(jump, "comp", "left").select("id", F.least("comp", "c", F.coalesce("up", "comp")).alias("comp"), F.col("comp").alias("old")), "comp")
+        fresh = keep(now.join(near, "id").join(jump, "comp", "left").select("id", F.least("comp", "c", F.coalesce("up", "comp")).alias("comp"), F.col("comp").alias("old")), "comp", work)
         changed = fresh.filter("comp <> old").limit(1).count()
         now = fresh.select("id", "comp")
         if not changed:
             return nodes.join(now, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
+def contracted(comp: DataFrame, links: DataFrame, work: str) -> DataFrame:
     """id, comp after more links: components of the old components that the links touch, then one lookup."""
     end = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-    over = keep(links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
+    over = keep(links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins", work)
     if over.isEmpty():
         return comp
-    root = components(over.select(F.col("a").alias("id")).union(over.select("b")).distinct(), over).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-    return keep(comp.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "comp")
+    root = components(over.select(F.col("a").alias("id")).union(over.select("b")).distinct(), over, work).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    return keep(comp.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "comp", work)
 
 
 def classes(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """number, n_shingles, comp (the least number reachable; the own one of wordless rows) of a kept table of number, text."""
+    spark = rows.sparkSession
+    work = folder(spark, "classes")
     base = keep(sketched(rows, k, "number"), "sketch")
     least = F.min(F.struct(F.col("number").alias("id"), "n_shingles", "bits", "bands"))
-    reps = keep(base.filter(F.col("ident").isNotNull()).groupBy("ident").agg(least.alias("r")).select("ident", "r.*"), "reps")
+    reps = keep(base.filter(F.col("ident").isNotNull()).groupBy("ident").agg(least.alias("r")).select("ident", "r.*"), "reps", work)
     banded = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     hub = F.min(F.struct("id", "n_shingles"))
-    buckets = keep(banded.groupBy("band", "key").agg(F.count("*").alias("n"), hub.alias("h")).filter("n > 1").select("band", "key", F.col("h.id").alias("hub"), F.col("h.n_shingles").alias("hub_n")), "buckets")
-    met = keep(banded.join(buckets, ["band", "key"]).filter("id <> hub").select("band", "key", "id", "n_shingles", "hub", "hub_n"), "met")
+    buckets = keep(banded.groupBy("band", "key").agg(F.count("*").alias("n"), hub.alias("h")).filter("n > 1").select("band", "key", F.col("h.id").alias("hub"), F.col("h.n_shingles").alias("hub_n")), "buckets", work)
+    met = keep(banded.join(buckets, ["band", "key"]).filter("id <> hub").select("band", "key", "id", "n_shingles", "hub", "hub_n"), "met", work)
     # Sets whose sizes differ too much cannot be linked.
     fits = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
-    star = keep(met.filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    star = keep(met.filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs", work)
     seen = met.select("id").union(met.select("hub")).distinct()
-    texts = keep(rows.select(F.col("number").alias("id"), "text").join(seen, "id", "left_semi"), "texts")
-    comp = contracted(reps.select("id", F.col("id").alias("comp")), keep(verify(star, texts, k, percent), "verified"))
+    texts = keep(rows.select(F.col("number").alias("id"), "text").join(seen, "id", "left_semi"), "texts", work)
+    comp = contracted(reps.select("id", F.col("id").alias("comp")), keep(verify(star, texts, k, percent), "verified", work), work)
     # Buckets that still hold two components, without their hubs.
     live = met.select("band", "key", "id").join(comp, "id")
-    mixed_up = keep(live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key"), "mixed")
-    live = keep(live.join(mixed_up, ["band", "key"], "left_semi"), "live").join(reps.select("id", "n_shingles", "bits"), "id")
-    left = keep(near_in_blocks(live, percent).join(star, ["a", "b"], "left_anti"), "pairs")
-    comp = contracted(comp, keep(verify(left, texts, k, percent), "verified"))
+    mixed_up = keep(live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "key"), "mixed", work)
+    live = keep(live.join(mixed_up, ["band", "key"], "left_semi"), "live", work).join(reps.select("id", "n_shingles", "bits"), "id")
+    left = keep(near_in_blocks(live, percent, work).join(star, ["a", "b"], "left_anti"), "pairs", work)
+    comp = contracted(comp, keep(verify(left, texts, k, percent), "verified", work), work)
     named = keep(reps.select("ident", "id").join(comp, "id").select("ident", "comp"), "named")
+    drop(spark, work)
     # Wordless rows get a key of their own, so they do not meet in one task.
     lone = base.select("number", "n_shingles", F.coalesce("ident", F.col("number").cast("string").cast("binary")).alias("ident"))
     return lone.join(named, "ident", "left").select("number", "n_shingles", F.coalesce("comp", "number").alias("comp"))

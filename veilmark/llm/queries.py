@@ -49,8 +49,7 @@ def op7_near_duplicates(spark, sf_dir):
 
 def op4_decontaminate(spark, sf_dir):
     session_defaults(spark)
-    found = decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
 
 
 def op6_hilbert_shards(spark, sf_dir):
@@ -73,4 +72,15 @@ def op5_private(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours)}
-ORACLE_SQL: dict[str, str] = {}
+#: Shingle sets joined with themselves, and links followed to their ends.
+ORACLE_SQL: dict[str, str] = {
+    "op7_near_duplicates": """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y using (s) where x.doc_id <> y.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept from (select a as doc_id, min(b) as component_id from r group by 1) left join n using (doc_id)
+"""
+}
