@@ -75,12 +75,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
         def batch(texts):
             found = [features(t) for t in texts]
-            return {"i": [i.tolist() for i, _ in found], "x": [x.tolist() for _, x in found]}
+            return {"i": [i.astype(np.int32).tobytes() for i, _ in found], "x": [x.astype(np.float32).tobytes() for _, x in found]}
 
         return batch
 
-    made = map_texts(rows, ["h", "y"], "i array<int>, x array<double>", setup)
-    return fit([(np.array(r.i, np.int64), np.array(r.x), r.y) for r in made.orderBy("h", "y").limit(sample).collect()])
+    made = map_texts(rows, ["h", "y"], "i binary, x binary", setup)
+    got = made.orderBy("h", "y").limit(sample).select("i", "x", "y").toArrow()
+    i, x, y = (got.column(k).to_pylist() for k in range(3))
+    return fit([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32), c) for a, b, c in zip(i, x, y, strict=True)])
 
 
 def score(docs: DataFrame, weights: np.ndarray, keys: list[str], text_col: str = "text") -> DataFrame:
