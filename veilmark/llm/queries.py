@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, minhash, neighbours, private, quality, sharding, training_order
+from . import bpe, decontaminate, language, minhash, neighbours, pieces, private, quality, sharding, training_order
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -71,7 +71,16 @@ def op5_private(spark, sf_dir):
     return private.digest(private.find_private(documents(spark, sf_dir), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours)}
+def op12_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    session_defaults(spark)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        source = f.read()
+    return pieces.digest(pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), source, drop_text=True), source))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours, op12_sentencepiece)}
 #: Shingle sets joined with themselves, and links followed to their ends.
 ORACLE_SQL: dict[str, str] = {
     "op7_near_duplicates": """
