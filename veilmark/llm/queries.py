@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, clusters, decontaminate, language, minhash, neighbours, pieces, private, quality, sharding, training_order
+from . import bpe, clusters, decontaminate, language, minhash, neighbours, phrases, pieces, private, quality, sharding, training_order
 from .common import crc_mod, documents, session_defaults
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
@@ -85,10 +85,16 @@ def op12_sentencepiece(spark, sf_dir):
     return pieces.digest(pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), source, drop_text=True), source))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours, op11_centroids, op12_sentencepiece)}
+def op13_phrases(spark, sf_dir):
+    session_defaults(spark)
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_bpe, op3_secret_scan, op4_decontaminate, op5_private, op6_hilbert_shards, op7_near_duplicates, op8_quality, op9_language, op10_neighbours, op11_centroids, op12_sentencepiece, op13_phrases)}
 #: Shingle sets joined with themselves, and links followed to their ends.
 ORACLE_SQL: dict[str, str] = {
     "op11_centroids": clusters.lloyd_sql(),
+    "op13_phrases": phrases.collocations_sql(),
     "op7_near_duplicates": """
 with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 g as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)),
