@@ -1,8 +1,8 @@
 """SentencePiece BPE by vectorised merge rounds.
 
 The model's pieces become one table of pairs: left symbol, right symbol -> merged piece and its rank by score.  Texts are
-cut where no piece reaches across (before a run of space marks, round control characters that are in no longer piece);
-each part that a task has not met before is encoded together with all other new parts of its batch: their symbols lie in one flat
+cut where no piece reaches across (before a run of space marks, round control characters that are in no longer piece, and
+between letters and signs if no piece holds both side by side); each part that a task has not met before is encoded together with all other new parts of its batch: their symbols lie in one flat
 array, each round finds the least rank in every part and merges its leftmost pairs of that rank at once, and finished
 parts leave the arrays.  A part whose merge makes a pair that comes before the next merge of the round stops there, so
 rounds make the same merges in the same order as one by one.  What ROUNDS leave (parts whose merges keep stopping the
@@ -21,7 +21,8 @@ from __future__ import annotations
 import heapq
 import re
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import chain, pairwise
+from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
+#: Letters and digits; where no piece holds one of them beside a sign, texts are cut between the two.
+WORDY = ascii_letters + digits + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
 #: Parts that a task keeps with their ids; a part of more than LONG characters is not kept.
-MEMO, LONG, ROUNDS = 1 << 18, 64, 256
+MEMO, LONG, ROUNDS = 1 << 19, 64, 256
 NONE = np.iinfo(np.int32).max
 
 
@@ -82,7 +85,11 @@ class Model:
                 self.symbol[ord(s)] = i
         long = {c for i in normal if len(self.pieces[i]) > 1 for c in self.pieces[i]}
         lone = re.escape("".join(chr(c) for c in range(32) if chr(c) not in long))
-        self.parts = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+|[{lone}]" if lone else f"{MARK}+[^{MARK}]*")
+        beside = {f for i in normal for a, b in pairwise(self.pieces[i]) for f in ((a, b), (b, a))}
+        signs = re.escape("".join(c for c in punctuation if not any((c, w) in beside for w in WORDY)))
+        wordy, other = re.escape(WORDY), f"[^{MARK}{lone}{signs}{re.escape(WORDY)}]"
+        run = f"(?:[{wordy}]+|[{signs}]+)" if signs else f"[{wordy}]+"
+        self.parts = re.compile((f"[{lone}]|" if lone else "") + f"{MARK}*{run}(?:{other}[^{MARK}{lone}]*)?|{MARK}*{other}[^{MARK}{lone}]*|{MARK}+")
         self.printed = [b"" if self.quiet[i] else b"" if self.byte[i] else " ⁇ ".encode() if i == self.unknown else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         for b, i in self.bytes_at.items():
             self.printed[i] = bytes([b])
@@ -192,15 +199,11 @@ def encoded(m: Model, parts: list[str]) -> list[bytes]:
     symbols, part = rounds(m, m.symbol[points], np.repeat(np.arange(len(parts), dtype=np.int32), sizes))
     ends = np.searchsorted(part, np.arange(len(parts) + 1))
     odd = (symbols < 0) | (symbols >= m.n)
-    if not odd.any():
-        data = symbols.astype("<i4").tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    out = []
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        ids = symbols[a:b]
-        if odd[a:b].any():
-            ids = np.array([i for s in ids.tolist() for i in ([s] if 0 <= s < m.n else [m.bytes_at[x] for x in (chr(-1 - s) if s < 0 else m.extra[s]).encode("utf-8", "surrogatepass")])], np.int32)
-        out.append(ids.astype("<i4").tobytes())
+    data = symbols.astype("<i4").tobytes()
+    out = [data[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    for k in np.unique(part[odd]).tolist():
+        ids = [i for s in symbols[ends[k] : ends[k + 1]].tolist() for i in ([s] if 0 <= s < m.n else [m.bytes_at[x] for x in (chr(-1 - s) if s < 0 else m.extra[s]).encode("utf-8", "surrogatepass")])]
+        out[k] = np.array(ids, "<i4").tobytes()
     return out
 
 
