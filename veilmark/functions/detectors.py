@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import NamedTuple
 
 
@@ -124,14 +125,14 @@ DETECTORS = (
     Detector("VOIE_NUM", "voie_txt", "indirect", r"\b\d+\s+(?:rue|avenue|boulevard|chemin|impasse|allée|route|bis|ter)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I),
     Detector("VOIE_SANS", "voie_txt", "indirect", r"\b(?:rue|avenue|boulevard|chemin|impasse|allée|route)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I),
     Detector("CP", "cp_txt", "indirect", r"\b\d{5}\b", "context"),
-    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(né|née|naissance)(?:e|s)?\s+(?:le|du|au)?\s*:?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b", "", I, "", "fort"),
+    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(né|née|naissance)(?:e|s)?\s++(?:(?:le|du|au)\s*+)?(?::\s*+)?(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b", "", I, "", "fort"),
     Detector("GPS", "gps_txt", "indirect", r"\b-?(?:[1-8]?\d\.\d+|90\.0+)[,\s]+-?(?:1(?:[0-7]\d)|[1-9]?\d)\.\d+\b", "", 0, ".", "fort"),
     Detector("PLAQUE", "plaque_txt", "indirect", r"\b(?:[A-Z]{2}[-\s]?\d{3}[-\s]?[A-Z]{2}|\d{1,4}[-\s]?[A-Z]{2,3}[-\s]?\d{2})\b", "", 0, "", "fort"),
     Detector("VILLE_COMPOSEE", "ville_txt", "indirect", r"\b[A-ZÀ-ÖØ-Ý]{3,}(?:[\s-](?:SUR|SOUS|LES|AUX|LEZ|LÈZ|DE|DU|D')[\s-][A-ZÀ-ÖØ-Ý]{3,})+\b", "", 0, ("SUR", "SOUS", "LES", "AUX", "LEZ", "LÈZ", "DE", "DU", "D'"), "fort"),
     Detector("IPV4", "ipv4_txt", "tech", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "", 0, ".", "tech"),
     Detector("IPV6", "ipv6_txt", "tech", r"(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,7}:|::(?:[a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}", "", 0, ":", "tech"),
     Detector("MAC", "mac_txt", "tech", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "", 0, "", "tech"),
-    Detector("JWT", "jwt_txt", "tech", r"\beyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b", "", 0, "eyJ", "tech"),
+    Detector("JWT", "jwt_txt", "tech", r"\beyJ[a-zA-Z0-9_-]{10,}+\.eyJ[a-zA-Z0-9_-]{10,}+\.[a-zA-Z0-9_-]{10,}\b|\b(?P<skip>eyJ[a-zA-Z0-9_-]*+)", "", 0, "eyJ", "tech"),
     Detector("API_KEY", "api_key_txt", "tech", r"\b(?:sk|pk|api)_[a-zA-Z0-9]{20,}\b", "", 0, "_", "tech"),
 )
 _CHECKS = {"luhn": luhn_check, "siret": siret_check, "nir": nir_check, "iban": iban_check}
@@ -193,21 +194,94 @@ def known_name(word: str, first: frozenset, family: frozenset = frozenset()) ->
     return len(word) >= 2 and (key in first or unaccented(key) in first or key in family)
 
 
-def apply_lists(text: str, spans: list[Span], whitelist=(), blacklist=()) -> list[Span]:
-    """Drops spans whose whole value is allowed, then adds denied entries, the longest first, where no span lies yet."""
-    allowed = {w.upper() for w in whitelist}
-    spans = [s for s in spans if s.value.upper() not in allowed]
-    for entry in sorted({w for w in blacklist if w}, key=lambda w: (-len(w), w)):
-        for m in re.finditer(re.escape(entry), text, re.I):
-            if not any(s.start < m.end() and m.start() < s.end for s in spans):
-                spans.append(Span(m.start(), m.end(), "personne", m.group(), 1.0, "blacklist", "direct"))
+class Folded(dict):
+    """For str.translate: characters that match each other without regard to case get one character."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        key = c.lower()[0].upper()
+        self[point] = out = ord(key) if len(key) == 1 else min(map(ord, self.same.setdefault(key, [c])))
+        return out
+
+    def __init__(self):
+        super().__init__()
+        # A character whose capital is several, by that capital.
+        self.same: dict[str, list[str]] = {}
+
+
+FOLD = Folded()
+#: So many entries are looked for one by one; more of them by an automaton.
+FEW = 8
+
+
+class Denied:
+    """Entries looked for without regard to case: (rank, start, end) of each entry's matches, the longest entry first."""
+
+    def __init__(self, entries: frozenset[str]):
+        self.entries = sorted((w for w in entries if w), key=lambda w: (-len(w), w))
+        self.automaton = None
+        if len(self.entries) > FEW:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for k, w in enumerate(self.entries):
+                f = w.translate(FOLD)
+                self.automaton.add_word(f, [*self.automaton.get(f, ()), k])
+            self.automaton.make_automaton()
+            self.shapes = [re.compile(re.escape(w), re.I) for w in self.entries]
+
+    def matches(self, text: str):
+        if not self.automaton:
+            for w in self.entries:
+                for m in re.finditer(re.escape(w), text, re.I):
+                    yield (-len(w), w), m.start(), m.end()
+            return
+        last: dict[int, int] = {}
+        for end, ranks in self.automaton.iter(text.translate(FOLD)):
+            for k in ranks:
+                w = self.entries[k]
+                start = end + 1 - len(w)
+                # As one search for the entry alone finds them: from the left, without overlap.
+                if start >= last.get(k, 0) and (text[start : end + 1] == w or self.shapes[k].match(text, start)):
+                    last[k] = end + 1
+                    yield (-len(w), w), start, end + 1
+
+
+@lru_cache(maxsize=8)
+def denied(entries: frozenset[str]) -> Denied:
+    return Denied(entries)
+
+
+@lru_cache(maxsize=8)
+def capitals(words: frozenset[str]) -> frozenset[str]:
+    return frozenset(w.upper() for w in words)
+
+
+def apply_lists(text: str, spans: list[Span], whitelist=(), blacklist=(), own=()) -> list[Span]:
+    """Drops spans whose whole value is allowed, then adds denied entries (of a list that many texts share, and of this text's
+    own), the longest first, where no span lies yet."""
+    if whitelist:
+        allowed = capitals(frozenset(whitelist))
+        spans = [s for s in spans if s.value.upper() not in allowed]
+    if blacklist or own:
+        covered = bytearray(len(text))
+        for s in spans:
+            covered[s.start : s.end] = b"\1" * (min(s.end, len(text)) - s.start)
+        found = set(denied(frozenset(blacklist)).matches(text)) if blacklist else set()
+        if own:
+            found.update(Denied(frozenset(own)).matches(text))
+        spans = list(spans)
+        for _, start, end in sorted(found):
+            if covered.find(1, start, end) < 0:
+                covered[start:end] = b"\1" * (end - start)
+                spans.append(Span(start, end, "personne", text[start:end], 1.0, "blacklist", "direct"))
     return sorted(spans, key=lambda s: (s.start, -s.end))
 
 
-def detect(text, mode="regex", fort=False, tech=False, whitelist=(), blacklist=(), ner=None, names=frozenset(), family=frozenset(), only=None) -> list[Span]:
+def detect(text, mode="regex", fort=False, tech=False, whitelist=(), blacklist=(), ner=None, names=frozenset(), family=frozenset(), only=None, own=()) -> list[Span]:
     """Detect, fuse, check model persons against names (not if None), then allow and deny lists.
 
-    Without a model, or if it fails on a text, the rules alone decide.  Deny entries never overlap kept spans.
+    Without a model, or if it fails on a text, the rules alone decide.  Deny entries (blacklist, and own for this text alone) never overlap kept spans.
     """
     text = text or ""
     model = None
@@ -219,4 +293,4 @@ def detect(text, mode="regex", fort=False, tech=False, whitelist=(), blacklist=(
     spans = model if mode == "ner" and model is not None else fuse(detect_regex(text, fort, tech, only), model or [])
     if names is not None:
         spans = [s for s in spans if not (s.source == "ner" and s.entity_type == "personne" and s.score < 0.7) or any(known_name(w, names, family) for w in s.value.split())]
-    return apply_lists(text, spans, whitelist, blacklist)
+    return apply_lists(text, spans, whitelist, blacklist, own)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilmark.functions.detectors import detect
+from veilmark.operators.rewrite import put as put_in
 from veilmark.operators.text import SPAN, points, risk_level
-from veilmark.operators.tokens import prefix_of, splice, token_dictionary, with_numbers, with_tokens
+from veilmark.operators.tokens import prefix_of, token_dictionary, with_numbers, with_tokens
 from veilmark.scratch import keep
 
 #: What an irreversible run prints by type; any other type prints MARK, "id" a running number, "uuid" a random one.
@@ -27,7 +29,8 @@ CELL = "struct<kind:int,ord:int,elem:int,value:string,falsy:boolean,written:bool
 @dataclass(frozen=True)
 class Mapping:
     """fields: (path, type, printed prefix); texts: paths of free text, "A[].B" for each element of an array; unwrap: a
-    column of JSON text; first_name and last_name: paths whose values are looked for in the free text of their record."""
+    column of JSON text; first_name and last_name: paths whose values are looked for in the free text of their record.
+    With root the unwrapped column is the whole record, in which all paths lie; with scan every string at its top is free text."""
 
     fields: tuple[tuple[str, str, str], ...] = ()
     texts: tuple[str, ...] = ()
@@ -37,6 +40,12 @@ class Mapping:
     whitelist: tuple[str, ...] = ()
     blacklist: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
+    root: bool = False
+    scan: bool = False
+
+    def within(self, column: str) -> Mapping:
+        """This mapping for records that are JSON text in a column; without any path, all their strings are scanned."""
+        return replace(self, unwrap=column, root=True, scan=not (self.fields or self.texts))
 
     @classmethod
     def from_dict(cls, d: dict) -> Mapping:
@@ -60,28 +69,47 @@ class Mapping:
 # --- paths into columns
 
 
-def type_at(schema: T.StructType, path: str):
+def type_at(schema: T.DataType, path: str):
+    """The type at a dotted path through structs and maps with string keys; none where it leads nowhere."""
     kind = schema
     for part in path.split("."):
-        if not isinstance(kind, T.StructType) or part not in kind.names:
+        if isinstance(kind, T.StructType) and part in kind.names:
+            kind = kind[part].dataType
+        elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            kind = kind.valueType
+        else:
             return None
-        kind = kind[part].dataType
     return kind
 
 
+def dig(value: Column, path: str) -> Column:
+    for part in path.split(".") if path else ():
+        value = value[part]
+    return value
+
+
 def at(path: str) -> Column:
-    """The value at a dotted path of struct columns."""
-    first, *rest = path.split(".")
-    out = F.col(f"`{first}`")
-    for part in rest:
-        out = out[part]
-    return out
+    """The value at a dotted path of struct and map columns."""
+    first, _, rest = path.partition(".")
+    return dig(F.col(f"`{first}`"), rest)
+
+
+def with_value(old: Column, kind: T.DataType, parts: list[str], value: Column) -> Column:
+    """old with value at a path below it; the structs and keys above it must be there.  Values beside it in a map of
+    another type become strings, as the new one is."""
+    if not parts:
+        return value
+    part, *rest = parts
+    if isinstance(kind, T.MapType):
+        other = (lambda v: v) if rest or isinstance(kind.valueType, T.StringType) else (lambda v: printed(kind.valueType, v))
+        return F.transform_values(old, lambda k, v: F.when(k == part, with_value(v, kind.valueType, rest, value)).otherwise(other(v)))
+    return old.withField(f"`{part}`", with_value(old[part], kind[part].dataType, rest, value))
 
 
 def put(df: DataFrame, path: str, value: Column) -> DataFrame:
-    """df with value at a dotted path; the structs above it must be there."""
-    first, _, rest = path.partition(".")
-    return df.withColumn(first, F.col(f"`{first}`").withField(".".join(f"`{p}`" for p in rest.split(".")), value) if rest else value)
+    """df with value at a dotted path."""
+    first, *rest = path.split(".")
+    return df.withColumn(first, with_value(F.col(f"`{first}`"), df.schema[first].dataType, rest, value))
 
 
 def printed(kind, value: Column) -> Column:
@@ -115,9 +143,14 @@ def parsed(raw):
         return None
 
 
-def inside(obj, path: str) -> bool:
-    """Only dotted paths whose first part the unwrapped object has are looked for in it."""
-    return isinstance(obj, dict) and "." in path and path.split(".")[0] in obj
+def inside(obj, path: str, root: bool = False) -> bool:
+    """Only dotted paths whose first part the unwrapped object has are looked for in it; in a whole record all are."""
+    return isinstance(obj, dict) and (root or "." in path and path.split(".")[0] in obj)
+
+
+def scanned(obj) -> list[tuple[int, str]]:
+    """The strings at the top of a record, with their places among its keys."""
+    return [(n, v) for n, v in enumerate(obj.values()) if isinstance(v, str) and v.strip()] if isinstance(obj, dict) else []
 
 
 def json_cells(raw: str | None, mapping: Mapping) -> dict:
@@ -125,14 +158,14 @@ def json_cells(raw: str | None, mapping: Mapping) -> dict:
     obj = parsed(raw)
     cells, own = [], []
     for n, (path, *_) in enumerate(mapping.fields):
-        if inside(obj, path):
+        if inside(obj, path, mapping.root):
             own.append(f"{FIELD} {n}")
             v = json_get(obj, path)
             if v is not None and not (isinstance(v, str) and not v.strip()):
                 cells.append({"kind": FIELD, "ord": n, "elem": -1, "value": str(v), "falsy": not v, "written": True})
     for n, path in enumerate(mapping.texts):
         root = path.split("[]")[0]
-        if inside(obj, path):
+        if inside(obj, path, mapping.root):
             own.append(f"{TEXT} {n}")
             if "[]" in path:
                 after = path.split("[]", 1)[1].lstrip(".")
@@ -145,18 +178,24 @@ def json_cells(raw: str | None, mapping: Mapping) -> dict:
                 v = json_get(obj, path)
                 if v and isinstance(v, str):
                     cells.append({"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True})
-    name = lambda p: str(json_get(obj, p) or "") if p and inside(obj, p) else None
+    if mapping.scan:
+        cells += [{"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True} for n, v in scanned(obj)]
+    name = lambda p: str(json_get(obj, p) or "") if p and inside(obj, p, mapping.root) else None
     return {"cells": cells, "own": own, "first": name(mapping.first_name), "last": name(mapping.last_name)}
 
 
 def json_written(raw: str | None, new: list, mapping: Mapping) -> str | None:
     """The object with its new values; numbers become text, null where a token is missing; separators as the json module prints them."""
     obj = parsed(raw)
-    if obj is None:
+    if obj is None or mapping.root and not new:
         return raw
+    keys = list(obj) if mapping.scan and isinstance(obj, dict) else []
     for c in new:
+        if keys:
+            obj[keys[c["ord"]]] = c["value"]
+            continue
         path = mapping.fields[c["ord"]][0] if c["kind"] == FIELD else mapping.texts[c["ord"]]
-        if not inside(obj, path):
+        if not inside(obj, path, mapping.root):
             continue
         if c["elem"] >= 0:
             before, after = path.split("[]", 1)
@@ -175,15 +214,15 @@ def json_written(raw: str | None, new: list, mapping: Mapping) -> str | None:
 
 def element(cell, n: int, after: str, fix_leaks: bool):
     """An array's element and its place as a cell."""
-    return lambda x, i: cell(TEXT, n, i, (x[after] if after else x).cast("string"), F.lit(False), bool(after) or fix_leaks)
+    return lambda x, i: cell(TEXT, n, i, dig(x, after).cast("string"), F.lit(False), bool(after) or fix_leaks)
 
 
-def swapped(new, mine: Column, after: str):
+def swapped(new, mine: Column, kind: T.DataType, after: str):
     """An array's element with its new value, if there is one for its place."""
 
     def swap(x, i):
         value = new(i)["value"]
-        return F.when(mine & new(i).isNotNull(), x.withField(after, value) if after else value).otherwise(x)
+        return F.when(mine & new(i).isNotNull(), with_value(x, kind, after.split(".") if after else [], value)).otherwise(x)
 
     return swap
 
@@ -203,37 +242,47 @@ def with_cells(df: DataFrame, mapping: Mapping, fix_leaks: bool = False) -> Data
     cell = lambda kind, n, elem, value, falsy, written: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("ord"), elem.alias("elem"), value.alias("value"), falsy.alias("falsy"), F.lit(written).alias("written"))
     lists, empty = [F.col("__in.cells")], F.array().cast(f"array<{CELL}>")
     outer = lambda kind, n: ~F.array_contains("__in.own", f"{kind} {n}")
-    for n, (path, *_) in enumerate(mapping.fields):
+    for n, (path, *_) in enumerate(() if mapping.root else mapping.fields):
         kind = type_at(schema, path)
         if kind is not None:
             text = printed(kind, at(path))
             falsy = at(path) == F.lit(0) if isinstance(kind, T.NumericType) else ~at(path) if isinstance(kind, T.BooleanType) else F.lit(False)
             lists.append(F.when(outer(FIELD, n) & (F.trim(text) != ""), F.array(cell(FIELD, n, F.lit(-1), text, falsy, True))).otherwise(empty))
-    for n, path in enumerate(mapping.texts):
+    for n, path in enumerate(() if mapping.root else mapping.texts):
         before, arrow, after = path.partition("[]")
         kind = type_at(schema, before)
         if arrow and isinstance(kind, T.ArrayType):
             after = after.lstrip(".")
-            if type_at(kind.elementType, after) if after and isinstance(kind.elementType, T.StructType) else kind.elementType if not after else None:
+            if not after or type_at(kind.elementType, after) is not None:
                 made = F.transform(at(before), element(cell, n, after, fix_leaks))
                 lists.append(F.when(outer(TEXT, n) & at(before).isNotNull(), F.filter(made, lambda c: F.length(c["value"]) > 0)).otherwise(empty))
         elif not arrow and isinstance(kind, T.StringType):
             lists.append(F.when(outer(TEXT, n) & (F.length(at(path)) > 0), F.array(cell(TEXT, n, F.lit(-1), at(path), F.lit(False), True))).otherwise(empty))
-    name = lambda inner, path: F.coalesce(F.col(f"__in.{inner}"), at(path).cast("string") if path and type_at(schema, path) is not None else none, F.lit(""))
+    outer_name = lambda path: at(path).cast("string") if path and not mapping.root and type_at(schema, path) is not None else none
+    name = lambda inner, path: F.coalesce(F.col(f"__in.{inner}"), outer_name(path), F.lit(""))
     return df.withColumns({"__cells": F.array_sort(F.concat(*lists)), "__own": F.col("__in.own"), "__first": name("first", mapping.first_name), "__last": name("last", mapping.last_name)}).drop("__in")
 
 
 def with_cell_spans(df: DataFrame, mapping: Mapping, **options) -> DataFrame:
-    """df plus __spans (of each free-text cell, with its ord and elem) and __error, the message if a record could not be read."""
-    kind = f"array<struct<ord:int,elem:int,spans:array<{SPAN}>>>"
+    """df plus __spans (of each free-text cell, with its ord, elem and written) and __error, the message if a record could
+    not be read.  Without free text there is nothing to detect, and nothing runs in Python."""
+    kind = f"array<struct<ord:int,elem:int,written:boolean,spans:array<{SPAN}>>>"
+    if not (mapping.texts or mapping.scan):
+        return df.withColumns({"__spans": F.array().cast(kind), "__error": F.lit(None).cast("string")})
+    lists = {"whitelist": frozenset(mapping.whitelist), "blacklist": frozenset(mapping.blacklist)}
 
     @F.pandas_udf(f"struct<spans:{kind},error:string>")
     def spans(cells: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
         out, errors = [], []
         for own, a, b in zip(cells, first, last, strict=True):
-            denied = {*mapping.blacklist, *((x.strip() for x in (a, b) if x.strip()) if a else ())}
+            names = {x.strip() for x in (a, b) if x.strip()} if a else ()
             try:
-                out.append([{"ord": c["ord"], "elem": c["elem"], "spans": [s._asdict() for s in detect(c["value"], **{**options, "whitelist": mapping.whitelist, "blacklist": denied})]} for c in own if c["kind"] == TEXT])
+                found = []
+                for c in own:
+                    if c["kind"] == TEXT:
+                        spans = detect(c["value"], **{**options, **lists, "own": names})
+                        found.append({"ord": c["ord"], "elem": c["elem"], "written": c["written"], "spans": [s._asdict() for s in spans]})
+                out.append(found)
                 errors.append(None)
             except Exception as e:  # noqa: BLE001  one record's failure is counted, not the run's
                 out.append([])
@@ -243,93 +292,165 @@ def with_cell_spans(df: DataFrame, mapping: Mapping, **options) -> DataFrame:
     return df.withColumn("__found", spans("__cells", "__first", "__last")).withColumns({"__spans": F.col("__found.spans"), "__error": F.col("__found.error")}).drop("__found")
 
 
+def free_names(columns: list[str]) -> tuple[str, str, str]:
+    """score, level and error, or where the records have such columns risk_score and so on."""
+    out = []
+    for name in ("score", "level", "error"):
+        while name in columns:
+            name = f"risk_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 @dataclass
 class Processed:
-    """rows: the records, rewritten, with score, level and error; tokens: the dictionary (none if irreversible);
-    occurrences: one row a replacement, with its place (key, __row, kind, ord, elem, span_ord), type, value and token."""
+    """rows: the records, rewritten, with score, level and error (see names); tokens: the dictionary (none if irreversible);
+    occurrences: one row a replacement, with its place (key, __row, kind, ord, elem, span_ord), type, value and token.
+    With per, tokens and occurrences have that column too."""
 
     rows: DataFrame
     tokens: DataFrame | None
     occurrences: DataFrame
+    #: What the columns score, level and error are called: risk_score and so on, where records have columns of these names.
+    names: tuple[str, str, str] = ("score", "level", "error")
+    per: str | None = None
 
+    @property
+    def scored(self) -> DataFrame:
+        """score, level and error of each record (and its per), for the reports."""
+        own = [F.col(f"`{self.per}`")] if self.per else []
+        return self.rows.select(*own, *[F.col(a).alias(b) for a, b in zip(self.names, ("score", "level", "error"), strict=True)])
 
-def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numbering: str = "type", fix_leaks: bool = False, **options) -> Processed:
-    """Records by a mapping: how "pseudo" prints tokens, "anon" constants.
 
-    Numbers follow key, then fields, then free text, element and place in the text.  A field that is 0 or false becomes
-    null, elements of an array of plain strings are scored but stay (fix_leaks writes them), a failing record stays as it
-    was.  Columns of numbers that are rewritten become strings.  Records and their spans are kept once; only replacements
-    travel.  Null or equal keys are told apart; an empty table gives empty tables.
-    """
-    laid = with_cell_spans(with_cells(df, mapping, fix_leaks), mapping, **options)
-    rows = keep(laid.withColumn("__row", F.monotonically_increasing_id()), "records")
+def occurrences_of(rows: DataFrame, key: str, mapping: Mapping, per: str | None) -> DataFrame:
+    """One row a field or span of records that could be read."""
     kinds = F.lit([t for _, t, _ in mapping.fields] or [""])
     jetons = F.lit([p for *_, p in mapping.fields] or [""])
     good = rows.filter(F.col("__error").isNull())
-    pos = [F.col(f"`{key}`").alias("__key"), "__row"]
-    none = F.lit(None)
-    fields = good.select(*pos, F.explode("__cells").alias("c")).filter(F.col("c.kind") == FIELD)
-    fields = fields.select(
-        "__key", "__row", "c.kind", "c.ord", "c.elem", F.lit(0).alias("span_ord"), F.get(kinds, F.col("c.ord")).alias("entity_type"), F.get(jetons, F.col("c.ord")).alias("prefix"), "c.value", none.cast("int").alias("start"), none.cast("int").alias("end"),
-        F.when(F.get(kinds, F.col("c.ord")).isin(*DIRECT), "direct").otherwise("indirect").alias("risk_type"), F.lit("mapping").alias("source"), "c.falsy", F.lit(True).alias("written"),
+    pos = [*([F.col(f"`{per}`").alias("__per")] if per else []), F.col(f"`{key}`").alias("__key"), "__row"]
+    none = F.lit(None).cast("int")
+    cells = good.select(*pos, F.explode("__cells").alias("c")).filter(F.col("c.kind") == FIELD)
+    kind = F.get(kinds, F.col("c.ord"))
+    names = pos[:-2] and ["__per"]
+    fields = cells.select(
+        *names, "__key", "__row", "c.kind", "c.ord", "c.elem", F.lit(0).alias("span_ord"), kind.alias("entity_type"), F.get(jetons, F.col("c.ord")).alias("prefix"), "c.value", none.alias("start"), none.alias("end"),
+        F.when(kind.isin(*DIRECT), "direct").otherwise("indirect").alias("risk_type"), F.lit("mapping").alias("source"), "c.falsy", F.lit(True).alias("written"),
+    )
+    spans = good.select(*pos, F.explode("__spans").alias("x")).select(*names, "__key", "__row", "x.ord", "x.elem", "x.written", F.posexplode("x.spans").alias("span_ord", "s"))
+    texts = spans.select(
+        *names, "__key", "__row", F.lit(TEXT).alias("kind"), "ord", "elem", "span_ord", "s.entity_type", prefix_of(F.col("s.entity_type")).alias("prefix"), "s.value", "s.start", "s.end",
+        "s.risk_type", "s.source", F.lit(False).alias("falsy"), "written",
     )
-    texts = good.select(*pos, "__cells", F.explode("__spans").alias("x")).select("__key", "__row", "__cells", "x.ord", "x.elem", F.posexplode("x.spans").alias("span_ord", "s"))
-    written = F.exists("__cells", lambda c: (c["kind"] == TEXT) & (c["ord"] == F.col("ord")) & (c["elem"] == F.col("elem")) & c["written"])
-    texts = texts.select("__key", "__row", F.lit(TEXT).alias("kind"), "ord", "elem", "span_ord", "s.entity_type", prefix_of(F.col("s.entity_type")).alias("prefix"), "s.value", "s.start", "s.end", "s.risk_type", "s.source", F.lit(False).alias("falsy"), written.alias("written"))
-    occ = fields.unionByName(texts)
-    order = ["__key", "__row", "kind", "ord", "elem"]
+    if not (mapping.texts or mapping.scan):
+        return fields
+    return fields.unionByName(texts) if mapping.fields else texts
+
+
+def constants(occ: DataFrame, mapping: Mapping, order: list[str], per: str | None) -> DataFrame:
+    """occ plus token: what an irreversible run prints."""
+    constant = F.lit(MARK)
+    for k, v in CONSTANTS.items():
+        constant = F.when(F.col("entity_type") == k, v).otherwise(constant)
+    fixed = F.when(F.col("kind") == TEXT, MARK).when(F.col("entity_type") == "uuid", F.uuid()).otherwise(constant)
+    ids = (F.col("kind") == FIELD) & (F.col("entity_type") == "id")
+    done = occ.filter(~ids).withColumn("token", fixed)
+    if any(t == "id" for _, t, _ in mapping.fields):
+        counted = with_numbers(occ.filter(ids).withColumn("__pos", F.struct(*order)), [*(["__per"] if per else []), "entity_type"], "__pos")
+        done = done.unionByName(counted.select(*occ.columns, F.col("num").cast("string").alias("token")))
+    return done
+
+
+def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numbering: str = "type", fix_leaks: bool = False, per: str | None = None, **options) -> Processed:
+    """Records by a mapping: how "pseudo" prints tokens, "anon" constants.
+
+    Numbers follow key, then fields, then free text, element and place in the text; with per, a column's name, each of its
+    values has a dictionary of its own (files of one folder).  A field that is 0 or false becomes null, elements of an array of
+    plain strings are scored but stay (fix_leaks writes them), a failing record stays as it was.  Columns of numbers that are
+    rewritten become strings.  Records and their spans are kept once; only replacements travel.  Null or equal keys are told
+    apart; an empty table gives empty tables; columns named score, level or error stay, see Processed.names.
+    """
+    laid = with_cell_spans(with_cells(df, mapping, fix_leaks), mapping, **options)
+    rows = keep(laid.withColumn("__row", F.monotonically_increasing_id()), "records")
+    occ = occurrences_of(rows, key, mapping, per)
+    order, own = ["__key", "__row", "kind", "ord", "elem"], "__per" if per else None
     words = None
     if how == "pseudo":
-        words = keep(token_dictionary(occ.filter(~F.col("falsy")), *order, numbering=numbering), "dictionary")
-        done = with_tokens(occ, words, numbering).withColumn("token", F.when(F.col("kind") == FIELD, F.when(~F.col("falsy"), F.col("token"))).otherwise(F.col("token")))
+        words = token_dictionary(occ.filter(~F.col("falsy")), *order, numbering=numbering, per=own)
+        done = with_tokens(occ, words, numbering, own).withColumn("token", F.when((F.col("kind") == TEXT) | ~F.col("falsy"), F.col("token")))
     else:
-        constant = F.lit(MARK)
-        for k, v in CONSTANTS.items():
-            constant = F.when(F.col("entity_type") == k, v).otherwise(constant)
-        fixed = F.when(F.col("kind") == TEXT, MARK).when(F.col("entity_type") == "uuid", F.uuid()).otherwise(constant)
-        ids = (F.col("kind") == FIELD) & (F.col("entity_type") == "id")
-        done = occ.filter(~ids).withColumn("token", fixed)
-        if any(t == "id" for _, t, _ in mapping.fields):
-            counted = with_numbers(occ.filter(ids).withColumn("__pos", F.struct(*order)), "entity_type", "__pos")
-            done = done.unionByName(counted.select(*occ.columns, F.col("num").cast("string").alias("token")))
+        done = constants(occ, mapping, order, per)
     done = keep(done, "replacements")
-    return Processed(rewritten(rows, done, df, mapping, fix_leaks), words, done)
+    names = free_names(df.columns)
+    named = lambda t: t if t is None or not per else t.withColumnRenamed("__per", per)
+    return Processed(rewritten(rows, done, df, mapping, fix_leaks, names), named(words), named(done), names, per)
+
+
+FRESH = "array<struct<kind:int,ord:int,elem:int,value:string>>"
+
+
+def with_fresh(out: DataFrame, mapping: Mapping) -> DataFrame:
+    """out with __new as new values of cells instead of their pieces, and the unwrapped column with them put in.
+
+    One pass for all; its columns cannot be moved by later filters, which Spark's planner would do to functions of a join."""
+    raw = mapping.unwrap if mapping.unwrap in out.columns else None
+    given = out.withColumn("__cells", F.when(F.size("__new") > 0, F.col("__cells"))).drop("__spans", "__first", "__last")
+    if raw:
+        given = given.withColumn(raw, F.col(f"`{raw}`").cast("string"))
+    passed = [c for c in given.columns if c not in ("__cells", "__new", raw)]
+    target = T.StructType([given.schema[c] for c in passed] + ([given.schema[raw]] if raw else []) + list(T.StructType.fromDDL(f"__new {FRESH}").fields))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        schema = to_arrow_schema(target)
+        for b in batches:
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            fresh = []
+            for cells, new in zip(col["__cells"].to_pylist(), col["__new"].to_pylist(), strict=True):
+                texts = {(c["ord"], c["elem"]): c["value"] for c in cells if c["kind"] == TEXT} if new else {}
+                fresh.append([{**{k: c[k] for k in ("kind", "ord", "elem")}, "value": new_value(c, texts)} for c in new if c["written"]])
+            made = [col[c] for c in passed]
+            if raw:
+                lines = zip(col[raw].to_pylist(), fresh, col["__error"].to_pylist(), strict=True)
+                made.append(pa.array([r if e is not None else json_written(r, n, mapping) for r, n, e in lines], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(made, schema)), pa.array(fresh, schema.field("__new").type)], schema=schema)
 
-def rewritten(rows: DataFrame, done: DataFrame, df: DataFrame, mapping: Mapping, fix_leaks: bool) -> DataFrame:
+    return given.mapInArrow(run, target)
+
+
+def new_value(c: dict, texts: dict) -> str | None:
+    if c["kind"] == FIELD:
+        return c["pieces"][0]["repl"]
+    return put_in(texts[c["ord"], c["elem"]], ((p["start"], p["end"], p["repl"]) for p in c["pieces"]))
+
+
+def rewritten(rows: DataFrame, done: DataFrame, df: DataFrame, mapping: Mapping, fix_leaks: bool, names: tuple[str, str, str]) -> DataFrame:
     piece = F.struct("start", "end", F.col("token").alias("repl"))
-    own = done.groupBy("__row", "kind", "ord", "elem", "written").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(points(F.col("risk_type"))).alias("points"))
-    own = own.groupBy("__row").agg(F.collect_list(F.struct("kind", "ord", "elem", "written", "pieces")).alias("__new"), F.sum("points").cast("bigint").alias("score"))
-    out = rows.join(own, "__row", "left").withColumns({"score": F.coalesce("score", F.lit(0)).cast("bigint"), "__new": F.coalesce("__new", F.array().cast(own.schema["__new"].dataType))})
-    out = out.withColumn("level", risk_level(F.col("score"))).withColumnRenamed("__error", "error")
-    # The new value of each cell that is written.
-    cells = F.map_from_entries(F.transform("__cells", lambda c: F.struct(F.concat_ws(" ", c["kind"].cast("string"), c["ord"].cast("string"), c["elem"].cast("string")), c["value"])))
-    out = out.withColumn("__value", cells)
-    name = lambda c: F.concat_ws(" ", c["kind"].cast("string"), c["ord"].cast("string"), c["elem"].cast("string"))
-    fresh = F.transform(F.filter("__new", lambda c: c["written"]), lambda c: F.struct(c["kind"].alias("kind"), c["ord"].alias("ord"), c["elem"].alias("elem"), F.when(c["kind"] == FIELD, F.get(c["pieces"], F.lit(0))["repl"]).otherwise(splice(F.element_at("__value", name(c)), c["pieces"])).alias("value")))
-    out = out.withColumn("__new", fresh)
-    schema, made = df.schema, out
+    place = ["kind", "ord", "elem", "written"]
+    own = done.groupBy("__row", *place).agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(points(F.col("risk_type"))).alias("points"))
+    own = own.groupBy("__row").agg(F.collect_list(F.struct(*place, "pieces")).alias("__new"), F.sum("points").cast("bigint").alias("__score"))
+    out = rows.join(own, "__row", "left").drop("__row")
+    out = out.withColumns({"__score": F.coalesce("__score", F.lit(0)).cast("bigint"), "__new": F.coalesce("__new", F.array().cast(own.schema["__new"].dataType))})
+    if mapping.texts or mapping.scan or mapping.unwrap in df.columns:
+        out = with_fresh(out, mapping)
+    else:
+        fresh = F.transform("__new", lambda c: F.struct(c["kind"].alias("kind"), c["ord"].alias("ord"), c["elem"].alias("elem"), F.get(c["pieces"], F.lit(0))["repl"].alias("value")))
+        out = out.withColumn("__new", fresh)
+    made = out
     of = lambda kind, n, elem: F.get(F.filter("__new", lambda c: (c["kind"] == kind) & (c["ord"] == n) & (c["elem"] == elem)), F.lit(0))
     mine = lambda kind, n: ~F.array_contains("__own", f"{kind} {n}")
-    for n, (path, *_) in enumerate(mapping.fields):
-        kind = type_at(schema, path)
+    for n, (path, *_) in enumerate(() if mapping.root else mapping.fields):
+        kind = type_at(df.schema, path)
         if kind is not None:
             new = of(FIELD, n, -1)
             made = put(made, path, F.when(mine(FIELD, n) & new.isNotNull(), new["value"]).otherwise(printed(kind, at(path))))
-    for n, path in enumerate(mapping.texts):
+    for n, path in enumerate(() if mapping.root else mapping.texts):
         before, arrow, after = path.partition("[]")
-        kind, after = type_at(schema, before), after.lstrip(".")
+        kind, after = type_at(df.schema, before), after.lstrip(".")
         if arrow and isinstance(kind, T.ArrayType) and (after or fix_leaks):
-            made = put(made, before, F.transform(at(before), swapped(partial(of, TEXT, n), mine(TEXT, n), after)))
+            made = put(made, before, F.transform(at(before), swapped(partial(of, TEXT, n), mine(TEXT, n), kind.elementType, after)))
         elif not arrow and isinstance(kind, T.StringType):
             new = of(TEXT, n, -1)
             made = put(made, path, F.when(mine(TEXT, n) & new.isNotNull(), new["value"]).otherwise(at(path)))
-    if mapping.unwrap and mapping.unwrap in df.columns:
-
-        @F.pandas_udf("string")
-        def wrapped(raw: pd.Series, new: pd.Series, error: pd.Series) -> pd.Series:
-            return pd.Series([r if e is not None else json_written(r, n, mapping) for r, n, e in zip(raw, new, error, strict=True)], dtype=object)
-
-        # Not to be moved below the join by a later filter, where it cannot run.
-        made = put(made, mapping.unwrap, wrapped.asNondeterministic()(F.col(f"`{mapping.unwrap}`").cast("string"), "__new", "error"))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns], "score", "level", "error")
+    score, level, error = names
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__score").alias(score), risk_level(F.col("__score")).alias(level), F.col("__error").alias(error))

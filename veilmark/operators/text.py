@@ -31,6 +31,8 @@ def detect_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans",
 
 
 def _spans(df: DataFrame, text_col: str, out_col: str, options: dict) -> DataFrame:
+    options = {**options, **{k: frozenset(options[k]) for k in ("whitelist", "blacklist") if options.get(k)}}
+
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[s._asdict() for s in detect(t, **options)] for t in texts])
@@ -82,15 +84,17 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", numbering: str
     """(rows with result, dictionary) of rows with spans.
 
     Rows and their spans are kept once, so nothing is detected again; only rows that have spans meet their tokens.  Numbers
-    follow key, then the row's place; rows with null or equal keys are told apart.  Null text stays null.
+    follow key, then the row's place; rows with null or equal keys are told apart.  Null text stays null; a column named result
+    is replaced.  Texts that hold what looks like a token already are not guarded: restoring turns it into its original.
     """
     rows = keep(df.withColumn("__row", F.monotonically_increasing_id()), "spans")
     spans = occurrences(rows.filter(F.size("spans") > 0).select(F.col(key).alias("__key"), "__row", "spans"), "__key")
-    words = keep(token_dictionary(spans, "__key", "__row", numbering=numbering), "dictionary")
+    words = token_dictionary(spans, "__key", "__row", numbering=numbering)
     pieces = with_tokens(spans, words, numbering).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("token").alias("repl")))).alias("__pieces"))
-    changed = rows.filter(F.size("spans") > 0).join(pieces, "__row").withColumn("result", splice(F.col(text_col), F.col("__pieces")))
-    same = rows.filter((F.size("spans") == 0) | F.col("spans").isNull()).withColumn("result", F.col(text_col))
-    return changed.select(*df.columns, "result").unionByName(same.select(*df.columns, "result")), words
+    changed = rows.filter(F.size("spans") > 0).join(pieces, "__row").withColumn("__result", splice(F.col(text_col), F.col("__pieces")))
+    same = rows.filter((F.size("spans") == 0) | F.col("spans").isNull()).withColumn("__result", F.col(text_col))
+    out = [*[F.col(f"`{c}`") for c in df.columns if c != "result"], F.col("__result").alias("result")]
+    return changed.select(*out).unionByName(same.select(*out)), words
 
 
 def restore(df: DataFrame, words: DataFrame, key: str | None = None, text_col: str = "result") -> DataFrame:

@@ -1,10 +1,14 @@
-"""Tokens: numbered by first appearance, put into texts, listed in a dictionary, and turned back."""
+"""Tokens: numbered by first appearance, listed in a dictionary, and turned back."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.operators.rewrite import candidates, splice, turned_back
 from veilmark.scratch import keep
 
 #: Printed prefixes of entity types; any other type prints its own name in capitals.
@@ -41,18 +45,22 @@ def norm_of(kind, value, numbering: str):
     return F.when(kind == "personne", person_key(value)).otherwise(F.lower(F.trim(value)))
 
 
-def with_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
+def with_numbers(df: DataFrame, group: str | list[str], order: str) -> DataFrame:
     """df as a kept table plus num: 1, 2, ... in each group by order.
 
     Rows are range-partitioned and sorted, and a number is a row's place in its partition plus what earlier partitions
     hold of its group: one row for each partition and group in it, so no task gets a whole group.
     """
-    laid = keep(df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    parts = laid.groupBy(group, F.shiftright("__at", 33).alias("__p")).agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"))
-    earlier = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).select(F.col(group).alias("__g"), "__p", "__lo", "__before")
-    joined = laid.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.shiftright("__at", 33) == F.col("__p")))
-    return joined.withColumn("num", F.col("__at") - F.col("__lo") + F.col("__before") + 1).select(*df.columns, "num")
+    by = [group] if isinstance(group, str) else list(group)
+    laid = keep(df.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    parts = laid.groupBy(*by, F.shiftright("__at", 33).alias("__p")).agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"))
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+    parts = parts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(by)], "__p", "__lo", before)
+    same = F.shiftright("__at", 33) == F.col("__p")
+    for i, g in enumerate(by):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return laid.join(parts, same).withColumn("num", F.col("__at") - F.col("__lo") + F.col("__before") + 1).select(*df.columns, "num")
 
 
 def occurrences(rows: DataFrame, *order: str) -> DataFrame:
@@ -60,53 +68,97 @@ def occurrences(rows: DataFrame, *order: str) -> DataFrame:
     return rows.select(*order, "__row", F.posexplode("spans").alias("span_ord", "s")).select(*order, "__row", "span_ord", "s.*")
 
 
-def token_dictionary(spans: DataFrame, *order: str, numbering: str = "type") -> DataFrame:
+def token_dictionary(spans: DataFrame, *order: str, numbering: str = "type", per: str | None = None) -> DataFrame:
     """grp, prefix, norm, original, num, token: one row a token of occurrences entity_type, value (and prefix, if there is
-    such a column), numbered by first appearance along the order columns.  Values without a norm have no number and no row."""
+    such a column), numbered by first appearance along the order columns.  Values without a norm have no number and no row.
+    With per (a column's name) each of its values has a dictionary of its own, and it comes first."""
     if numbering not in NUMBERING:
         raise ValueError(f"numbering is one of {NUMBERING}")
+    own = [per] if per else []
     prefix = F.col("prefix") if "prefix" in spans.columns else prefix_of(F.col("entity_type"))
-    occ = spans.select((F.col("entity_type") if numbering == "type" else prefix).alias("grp"), prefix.alias("prefix"), norm_of(F.col("entity_type"), F.col("value"), numbering).alias("norm"), F.struct(*order, "span_ord").alias("pos"), "value").filter(F.length("norm") > 0)
+    group = (F.col("entity_type") if numbering == "type" else prefix).alias("grp")
+    norm = norm_of(F.col("entity_type"), F.col("value"), numbering).alias("norm")
+    occ = spans.select(*own, group, prefix.alias("prefix"), norm, F.struct(*order, "span_ord").alias("pos"), "value").filter(F.length("norm") > 0)
     text = F.col("value") if numbering == "exact" else F.trim("value")
-    first = occ.groupBy("grp", "norm").agg(F.min_by(text, "pos").alias("original"), F.min("pos").alias("pos"), F.collect_set("prefix").alias("prefixes"))
-    done = with_numbers(first, "grp", "pos").withColumn("prefix", F.explode("prefixes"))
-    return done.select("grp", "prefix", "norm", "original", "num", F.concat(F.lit("["), "prefix", F.lit("_"), F.col("num").cast("string"), F.lit("]")).alias("token"))
+    first = occ.groupBy(*own, "grp", "norm").agg(F.min_by(text, "pos").alias("original"), F.min("pos").alias("pos"), F.collect_set("prefix").alias("prefixes"))
+    done = with_numbers(first, [*own, "grp"], "pos").withColumn("prefix", F.explode("prefixes"))
+    return done.select(*own, "grp", "prefix", "norm", "original", "num", F.concat(F.lit("["), "prefix", F.lit("_"), F.col("num").cast("string"), F.lit("]")).alias("token"))
 
 
-def with_tokens(occ: DataFrame, words: DataFrame, numbering: str = "type") -> DataFrame:
+def with_tokens(occ: DataFrame, words: DataFrame, numbering: str = "type", per: str | None = None) -> DataFrame:
     """occ plus token: [PREFIX] where a value has no norm."""
     prefix = F.col("prefix") if "prefix" in occ.columns else prefix_of(F.col("entity_type"))
     keyed = occ.withColumns({"__prefix": prefix, "__grp": F.col("entity_type") if numbering == "type" else prefix, "__norm": norm_of(F.col("entity_type"), F.col("value"), numbering)})
-    known = words.select(F.col("grp").alias("__grp"), F.col("prefix").alias("__prefix"), F.col("norm").alias("__norm"), "token")
-    found = keyed.join(known, ["__grp", "__prefix", "__norm"], "left")
+    own = [per] if per else []
+    known = words.select(*own, F.col("grp").alias("__grp"), F.col("prefix").alias("__prefix"), F.col("norm").alias("__norm"), "token")
+    found = keyed.join(known, [*own, "__grp", "__prefix", "__norm"], "left")
     return found.withColumn("token", F.coalesce("token", F.concat(F.lit("["), "__prefix", F.lit("]")))).select(*occ.columns, "token")
 
 
-def splice(text, pieces):
-    """Text with pieces (struct start, end, repl; by start, without overlap) put in; JVM only, each part is cut once."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(pieces, lambda p: p["end"]))
-    gaps = F.transform(starts, lambda at, i: F.concat(F.substring(text, at + 1, F.coalesce(F.get(pieces, i)["start"], F.length(text)) - at), F.coalesce(F.get(pieces, i)["repl"], F.lit(""))))
-    return F.when(text.isNotNull(), F.array_join(gaps, ""))
-
-
-TOKEN = r"\[[A-Z0-9_]+\]"
-
-
 def last_tokens(words: DataFrame) -> DataFrame:
     """token, original: one row a token; of several the last by num and type stays, as a file of them would be read."""
     return words.groupBy("token").agg(F.max_by("original", F.struct("grp", "num")).alias("original"))
 
 
-def restore(df: DataFrame, words: DataFrame, text_col: str = "result") -> DataFrame:
+def token_shape(words: DataFrame) -> tuple[str, list[int], str]:
+    """What tokens of a dictionary begin with, how long they are, and what they end with: one row, bounded by the alphabet."""
+    of = lambda c: F.sort_array(F.collect_set(c))
+    r = words.filter(F.length("token") > 0).agg(of(F.substring("token", 1, 1)), of(F.length("token")), of(F.substring("token", -1, 1))).first()
+    return "".join(r[0]), sorted(r[1], reverse=True), "".join(r[2])
+
+
+def restore(df: DataFrame, words: DataFrame, text_col: str = "result", nested: bool = False) -> DataFrame:
     """df plus restored and n_restored: tokens back to their originals, and how many different tokens were found.
 
-    Only the tokens of a text travel, once each; the text is cut at tokens and put together in its row.  Restored values
-    are not looked through again.  Null text stays null; a token that the dictionary lacks stays as it is.
+    Tokens may have any prefix: they are found by what the dictionary's own begin and end with and how long they are.  Only
+    what could be a token travels, once a text.  Restored values are not looked through again, but with nested: then
+    tokens within originals that are shorter than the original's own token are turned back as well, as by one replacement after
+    the other, the longest token first.  Null text stays null; a token that the dictionary lacks stays as it is; columns named
+    like the outputs are replaced.
     """
-    rows = keep(df.withColumn("__row", F.monotonically_increasing_id()), "masked")
-    asked = rows.select("__row", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0))).alias("token"))
-    known = asked.join(last_tokens(words), "token").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__known"))
-    parts = F.split(F.col(text_col), r"(?=\[[A-Z0-9_]+\])|(?<=\])")
-    whole = F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at("__known", p), p)), "")
-    found = rows.join(known, "__row", "left")
-    return found.withColumns({"restored": F.when(F.col("__known").isNull(), F.col(text_col)).otherwise(whole), "n_restored": F.coalesce(F.size("__known"), F.lit(0)).cast("bigint")}).select(*df.columns, "restored", "n_restored")
+    first, lengths, last = token_shape(words)
+    rows = keep(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("id", F.monotonically_increasing_id()), "masked")
+    known = last_tokens(words)
+    if nested:
+        known = _without_nested(known, first, lengths, last)
+    found = _back(rows, known, first, lengths, last)
+    return found.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ("restored", "n_restored")], "restored", "n_restored")
+
+
+def _back(rows: DataFrame, known: DataFrame, first: str, lengths: list[int], last: str, limit: bool = False) -> DataFrame:
+    """rows (id, text, most if limit, ...) plus restored and n_restored."""
+    openers, closers = re.compile(f"[{re.escape(first)}]") if first else re.compile("(?!)"), frozenset(last)
+
+    @F.arrow_udf("array<string>")
+    def possible(texts: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else candidates(t, openers, lengths, closers) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    @F.arrow_udf("string")
+    def back(texts: pa.Array, tokens: pa.Array, originals: pa.Array) -> pa.Array:
+        all_rows = zip(texts.to_pylist(), tokens.to_pylist(), originals.to_pylist(), strict=True)
+        return pa.array([None if t is None or not k else turned_back(t, dict(zip(k, v, strict=True)), openers, lengths) for t, k, v in all_rows], pa.string())
+
+    asked = rows.select("id", *(["most"] if limit else []), F.explode(possible("text")).alias("token"))
+    if limit:
+        asked = asked.filter(F.length("token") < F.col("most"))
+    pairs = asked.join(known, "token").groupBy("id").agg(F.collect_list(F.struct("token", "original")).alias("known"))
+    joined = rows.join(pairs, "id", "left")
+    of = lambda name: F.transform("known", lambda p: p[name])
+    some = F.col("known").isNotNull()
+    return joined.withColumns({"restored": F.coalesce(back(F.when(some, F.col("text")), of("token"), of("original")), F.col("text")), "n_restored": F.coalesce(F.size("known"), F.lit(0)).cast("bigint")})
+
+
+def _without_nested(known: DataFrame, first: str, lengths: list[int], last: str) -> DataFrame:
+    """The dictionary with tokens in its originals turned back, shorter ones in longer ones, until none is left."""
+    now = keep(known, "originals")
+    for _ in lengths[1:]:
+        rows = now.select(F.col("token").alias("id"), F.col("original").alias("text"), F.length("token").alias("most"))
+        now = keep(_back(rows, now, first, lengths, last, limit=True).select(F.col("id").alias("token"), F.col("restored").alias("original"), F.col("n_restored").alias("n")), "originals")
+        left = now.filter("n > 0").limit(1).count()
+        now = now.select("token", "original")
+        if not left:
+            break
+    return now
+
+
+__all__ = ["NUMBERING", "PREFIXES", "last_tokens", "norm_of", "occurrences", "person_key", "prefix_of", "restore", "splice", "token_dictionary", "token_shape", "with_numbers", "with_tokens"]
