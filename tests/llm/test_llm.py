@@ -326,3 +326,38 @@ def test_language_stage_judges_by_script_and_spans(spark):
     assert {r.doc_id for r in stages.language_stage(spark, docs, "").collect()} == {*range(2000), 2005, 2006}
     none = docs.withColumn("lang", queries.F.lit(None).cast("string"))
     assert {r.doc_id for r in stages.language_stage(spark, none, "").collect()} == {*range(2003), 2005, 2006}
+
+
+def edited(rnd, item, every, how, word):
+    """A copy with every n-th word changed, left out, or followed by a new one."""
+    out = []
+    for i, w in enumerate(item):
+        hit = i % every == every - 1
+        out += [] if hit and how == "drop" else [word()] if hit and how == "change" else [w, word()] if hit and how == "insert" else [w]
+    return out
+
+
+def test_decontamination_finds_evenly_edited_copies(spark, monkeypatch):
+    """Of all pairs that alignment over the whole text links, 0.95 or more; beside verbatim copies and alone, both paths alike."""
+    rnd = random.Random(12)
+    word = lambda: f"w{int(rnd.random() ** 3 * 3000)}"
+    items = [[word() for _ in range(n)] for n in (12, 20, 40) for _ in range(8)]
+    texts = []
+    for n, item in enumerate(items * 9):
+        every, how = 4 + n // 24 % 3, ("change", "drop", "insert")[n // 72]
+        texts.append(" ".join([word() for _ in range(rnd.randrange(60))] + edited(rnd, item, every, how, word) + [word() for _ in range(rnd.randrange(60))]))
+    texts += [" ".join(items[n]) for n in range(0, 24, 2)]
+    for _ in range(30):
+        item = list(items[16 + rnd.randrange(8)])
+        for i in rnd.sample(range(40), 8):
+            item[i] = word()
+        texts.append(" ".join(item))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    code = {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()} | {w for i in items for w in i}))}
+    own = [np.array([code[w] for w in i]) for i in items]
+    want = {(n, k) for n, t in enumerate(texts) for k, i in enumerate(own) if decontaminate.align(i, np.array([code[w] for w in t.split()]))[0] >= len(i)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(d, bench, ["doc_id"]).collect()}
+    assert got <= want and len(want) > 200 and len(got) >= 0.95 * len(want), (len(got), len(want))
+    monkeypatch.setattr(decontaminate, "BOUND", 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(d, bench, ["doc_id"]).collect()} == got

@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare word n-gram seeds join texts to test items, then local alignment scores the copy.
 
-Each stretch of STRIDE grams of an item keeps its rarest SEED-gram, by how often the whole corpus has it, then by hash, so
-every stretch of an item can be found.  While the benchmark has BOUND words at most (checked), grams and seeds go to every
-task as sorted hashes, and texts are scanned where they lie; beyond it, the texts' grams are joined to them by a shuffle.
-Either way a text's hits on an item become passages: hits that one alignment could bridge share a passage, which reaches as
-far as the item's rest could pay for (twice its length in gaps).  Passages are joined to the items by number, and
-Smith-Waterman aligns them word by word, a row of the table at a time; what is left beside a match is aligned again, and
-passages much longer than the item are taken in overlapping parts, so time stays linear in the text.
+Texts meet all SEED-grams of the items.  Hits on an item become passages where hits of a NEED-th of its grams lie within
+twice its length, so a copy may be edited anywhere and a common gram alone starts nothing; hits that one alignment could
+bridge share a passage, which reaches as far as the item's rest could pay for (twice its length in gaps).  A passage is
+aligned if it holds a seed: a gram of the item that the corpus has RARE times or, of a larger corpus, in one of COMMON
+places at most, or the rarest that the corpus has of each STRIDE grams, so items of common words have seeds too.  While the
+benchmark has BOUND grams at most (checked), they go to every task as sorted hashes and one pass over the texts finds hits and
+counts grams; beyond it, the texts' grams pass a Bloom filter of FILTER bits and are joined to the items' by a shuffle.
+Passages are joined to the items by number, and Smith-Waterman aligns them word by word, a row of the table at a time; what
+is left beside a match is aligned again, and passages much longer than the item are taken in overlapping parts, so time
+stays linear in the text.
 
 Results by case: null and empty texts or items match nothing, nor do items of fewer than SEED words, which any text may
 hold by chance; repeated rows give repeated matches; rows of the benchmark that share an item_id or have none are items of
@@ -19,16 +22,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from .common import keep, map_texts
 from .minhash import MEMO, mixed, numbered
 
 SEED, STRIDE, LEAST, BOUND = 3, 4, 0.5, 2_000_000
+NEED, RARE, COMMON, FILTER = 8, 64, 20_000, 1 << 27
 WORDS = re.compile(r"\w+")
 MATCH, MISS, GAP = 2, 1, 1
 #: Parts of long passages, and what two of them share, in lengths of the item.
@@ -116,42 +121,184 @@ def copies(item: np.ndarray, text: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(taken, key=lambda x: x[1:])
 
 
-def passages(text: str | bytes, codes: np.ndarray, hits: dict[int, list[tuple[int, int, int]]]) -> list[tuple]:
-    """(item, codes, starts, ends) of each stretch of a text where hits (place in the text, in the item, item's length) lie."""
-    spots = None
-    out = []
-    for item, found in hits.items():
+def supported(at: np.ndarray, place: np.ndarray, size: int, need: int) -> list[tuple[int, int]]:
+    """Hits (place in the text, in the item) round which, within twice the item's length, `need` places of it or more are hit."""
+    if len(at) < need:
+        return []
+    if need == 1:
+        return list(zip(at.tolist(), place.tolist(), strict=True))
+    low, high = np.searchsorted(at, at - 2 * size), np.searchsorted(at, at + 2 * size, "right")
+    some = np.flatnonzero(high - low >= need).tolist()
+    out, last = [], (-1, -1, False)
+    for i in some:
+        a, b = int(low[i]), int(high[i])
+        if (a, b) != last[:2]:
+            last = (a, b, len(set(place[a:b].tolist())) >= need)
+        if last[2]:
+            out.append((int(at[i]), int(place[i])))
+    return out
+
+
+def passages(text: str | bytes, codes: np.ndarray, found: np.ndarray, hits: tuple[np.ndarray, ...]) -> list[tuple]:
+    """(item, codes, starts, ends, grams) of each stretch of a text where hits lie; hits: place in the text, item, place in
+    the item, its length in words and the hits that it needs."""
+    at, item, place, size, need = hits
+    order = np.lexsort((place, at, item))
+    at, item, place, size, need = (x[order] for x in (at, item, place, size, need))
+    cuts = np.flatnonzero(np.diff(item, prepend=-1))
+    spots, out = None, []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
         ranges: list = []
-        for at, place, size in sorted(found):
-            low, high = max(0, at - 3 * place - SEED), min(len(codes), at + 3 * (size - place) + SEED)
-            if ranges and (low <= ranges[-1][1] or at - ranges[-1][2] <= size):
-                ranges[-1] = [min(low, ranges[-1][0]), max(high, ranges[-1][1]), at]
+        n = int(size[a])
+        for x, y in supported(at[a:b], place[a:b], n, int(need[a])) if b - a >= need[a] else ():
+            low, high = max(0, x - 3 * y - SEED), min(len(codes), x + 3 * (n - y) + SEED)
+            if ranges and (low <= ranges[-1][1] or x - ranges[-1][2] <= n):
+                ranges[-1] = [min(low, ranges[-1][0]), max(high, ranges[-1][1]), x, [*ranges[-1][3], x]]
             else:
-                ranges.append([low, high, at])
-        spots = spots if spots is not None else np.array([m.span() for m in WORDS.finditer(text.decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text)], np.int32)
-        out += [(item, codes[a:b].tobytes(), spots[a:b, 0].tobytes(), spots[a:b, 1].tobytes()) for a, b, _ in ranges]
+                ranges.append([low, high, x, [x]])
+        for low, high, _, own in ranges:
+            if spots is None:
+                spots = np.array([m.span() for m in WORDS.finditer(text.decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text)], np.int32)
+            out.append((int(item[a]), codes[low:high].tobytes(), spots[low:high, 0].tobytes(), spots[low:high, 1].tobytes(), np.unique(found[own]).tobytes()))
     return out
 
 
-def looked_up(seeds: tuple[np.ndarray, ...], found: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-    """Hits by item of a text's gram hashes; seeds: hashes in order, and the item, place and item's length of each."""
-    keys, items, places, sizes = seeds
-    low = np.searchsorted(keys, found)
-    hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found) if len(keys) else []
-    out: dict = {}
-    for i in hit:
-        k = low[i]
-        while k < len(keys) and keys[k] == found[i]:
-            out.setdefault(int(items[k]), []).append((int(i), int(places[k]), int(sizes[k])))
-            k += 1
+PASSAGE = "array<struct<item:bigint,codes:binary,starts:binary,ends:binary,grams:binary>>"
+NAMES = ("item", "codes", "starts", "ends", "grams")
+
+
+def _passage_array(rows: list[list[tuple]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("item", pa.int64()), *((n, pa.binary()) for n in NAMES[1:])]))
+    return pa.array([[dict(zip(NAMES, p, strict=True)) for p in own] for own in rows], kind)
+
+
+def seeds_of(items: np.ndarray, places: np.ndarray, grams_: np.ndarray, spread: np.ndarray, total: int) -> np.ndarray:
+    """The sorted grams that are seeds; spread: how often the corpus has each."""
+    there = spread > 0
+    items, places, grams_, spread = items[there], places[there], grams_[there], spread[there]
+    rare = spread <= max(RARE, total // COMMON)
+    order = np.lexsort((grams_, spread, places // STRIDE, items))
+    first = (np.diff(items[order], prepend=-1) != 0) | (np.diff(places[order] // STRIDE, prepend=-1) != 0)
+    rare[order[first]] = True
+    return np.unique(grams_[rare])
+
+
+def _placed(items: DataFrame) -> DataFrame:
+    """item, gram, place, size, need: one row a gram of an item."""
+    n = F.size("grams")
+    need = F.greatest(F.lit(1), F.floor(F.size(F.array_distinct("grams")) / NEED)).cast("int")
+    return items.select(F.col("number").alias("item"), (n + SEED - 1).alias("size"), need.alias("need"), F.posexplode("grams").alias("place", "gram"))
+
+
+def _scanned(rows: DataFrame, keys: list[str], placed: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(kept passages, seeds): one pass over the texts, with the items' grams in every task."""
+    spark = rows.sparkSession
+    table = placed.orderBy("gram", "item", "place").select("gram", "item", "place", "size", "need").toArrow()  # BOUND rows at most
+    held = spark.sparkContext.broadcast(tuple(c.to_numpy().astype(np.int64) for c in table.columns))
+    n_keys = len(keys)
+
+    def scan(batches):
+        codes, (grams_, items, places, sizes, needs) = coder(), held.value
+        own, first = np.unique(grams_, return_index=True)
+        last = np.append(first[1:], len(grams_))
+        n, total = np.zeros(len(own), np.int64), 0
+        kinds = None
+        for b in batches:
+            kinds = [c.type for c in b.columns[:n_keys]]
+            rows, out = [], []
+            for i, text in enumerate(b.column(n_keys).to_pylist()):
+                c = codes(text)
+                found = grams(c)
+                total += len(found)
+                at = np.searchsorted(own, found)
+                hit = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == found) if len(own) else at[:0]
+                if not len(hit):
+                    continue
+                k = at[hit]
+                np.add.at(n, k, 1)
+                many = last[k] - first[k]
+                to = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                met = passages(text, c, found, (np.repeat(hit, many), items[to], places[to], sizes[to], needs[to]))
+                if met:
+                    rows.append(i)
+                    out.append(met)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(rows)) for x in b.columns[:n_keys]), _passage_array(out), pa.nulls(len(rows), COUNTS)], names=[*b.schema.names[:n_keys], "__passages", "__counts"])
+        if kinds is not None:
+            seen = np.flatnonzero(n)
+            counts = [{"gram": g, "n": k} for g, k in zip([None, *own[seen].tolist()], [total, *n[seen].tolist()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), _passage_array([[]]), pa.array([counts], COUNTS)], names=[*(f"k{i}" for i in range(n_keys)), "__passages", "__counts"])
+
+    made = rows.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col("__text").cast("binary"))
+    fields = [T.StructField(f.name, f.dataType, True) for f in made.schema.fields[:n_keys]]
+    scanned = made.mapInArrow(scan, T.StructType(fields + T.StructType.fromDDL(f"__passages {PASSAGE}, __counts array<struct<gram:bigint,n:bigint>>").fields))
+    whole = keep(scanned.select(F.struct(F.lit(True).alias("_"), *[F.col(f"k{i}") for i in range(n_keys)]).alias("row"), "__passages", "__counts"), "passages")
+    counted = whole.filter(F.col("__counts").isNotNull()).select(F.explode("__counts").alias("c")).groupBy("c.gram").agg(F.sum("c.n").alias("n")).toArrow()  # BOUND rows at most
+    spread = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
+    grams_, items, places, *_ = held.value
+    seeds = seeds_of(items, places, grams_, np.array([spread.get(g, 0) for g in grams_.tolist()], np.int64), spread.get(None, 0))
+    return whole.select("row", F.explode("__passages").alias("p")), seeds
+
+
+COUNTS = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
+
+
+def _bits(grams_: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash: FILTER bits, which the driver gathers as blocks of 32,768."""
+    at = grams_.select(F.col("gram").bitwiseAND(FILTER - 1).alias("at"))
+    blocks = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits")).collect()
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in blocks:
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-PASSAGE = "array<struct<item:bigint,codes:binary,starts:binary,ends:binary>>"
+def _joined(rows: DataFrame, keys: list[str], placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passages, seeds as a table): texts' grams joined to those of the items."""
+    rows = keep(rows.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    placed = keep(placed, "grams")
+    held = rows.sparkSession.sparkContext.broadcast(_bits(placed))
 
+    def every():
+        codes, bits = coder(), held.value
+
+        def batch(found):
+            at, gram, total = [], [], []
+            for t in found:
+                g = grams(codes(t))
+                to = g & (FILTER - 1)
+                hit = np.flatnonzero(bits[to >> 3] >> (to & 7).astype(np.uint8) & 1)
+                at.append(hit.tolist())
+                gram.append(g[hit].tolist())
+                total.append(len(g))
+            return {"at": at, "gram": gram, "total": total}
 
-def _rows(found: list[tuple]) -> list[dict]:
-    return [dict(zip(("item", "codes", "starts", "ends"), p, strict=True)) for p in found]
+        return batch
+
+    met = keep(map_texts(rows, ["__row"], "at array<int>, gram array<bigint>, total bigint", every, "__text", as_bytes=True), "met")
+    total = met.agg(F.sum("total")).first()[0] or 0
+    own = met.select("__row", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("__row", "x.at", "x.gram")
+    own = keep(own.join(placed.select("gram").distinct(), "gram"), "hits")
+    spread = own.groupBy("gram").agg(F.count("*").alias("spread"))
+    there = placed.join(spread, "gram")
+    first = F.min(F.struct("spread", "gram"))["gram"].alias("gram")
+    seeds = there.filter(F.col("spread") <= max(RARE, total // COMMON)).select("gram").unionByName(there.groupBy("item", F.floor(F.col("place") / STRIDE)).agg(first).select("gram")).distinct()
+    hits = own.join(placed, "gram").groupBy("__row", "item").agg(F.collect_list(F.struct("at", "place", "size", "need")).alias("h"))
+    hits = hits.filter(F.size("h") >= F.get("h", F.lit(0))["need"]).groupBy("__row").agg(F.flatten(F.collect_list(F.transform("h", lambda h: F.struct(h["at"].alias("at"), F.col("item").alias("item"), h["place"].alias("place"), h["size"].alias("size"), h["need"].alias("need"))))).alias("__hits"))
+
+    def cut(batches):
+        codes = coder()
+        for b in batches:
+            out = []
+            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                c = codes(t)
+                out.append(passages(t, c, grams(c), tuple(np.array([h[x] for h in found], np.int64) for x in ("at", "item", "place", "size", "need"))))
+            yield pa.RecordBatch.from_arrays([b.column(0), _passage_array(out)], names=["row", "__passages"])
+
+    cols = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    hit = rows.join(hits, "__row").select(F.struct(F.lit(True).alias("_"), *cols).alias("row"), "__text", "__hits")
+    made = hit.mapInArrow(cut, T.StructType([hit.schema["row"], *T.StructType.fromDDL(f"__passages {PASSAGE}").fields]))
+    return keep(made.select("row", F.explode("__passages").alias("p")), "passages"), seeds
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -169,87 +316,42 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str =
         return batch
 
     items = keep(map_texts(texts, ["number", "item_id"], "codes binary, grams array<bigint>", words), "items")
-    placed = items.select(F.col("number").alias("item"), F.size("grams").alias("n"), F.posexplode("grams").alias("place", "gram"))
-    known = placed.select("gram").distinct()
-    small = placed.count() <= BOUND
+    placed = _placed(items)
     rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").cast("string").alias("__text"))
-
-    def every():
-        codes = coder()
-        return lambda found: {"gram": [grams(codes(t)).tolist() for t in found]}
-
-    if small:
-        held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in known.collect()], np.int64)))
-
-        def count(batches):
-            codes, own = coder(), held.value
-            n = np.zeros(len(own), np.int64)
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    found = grams(codes(t))
-                    at = np.searchsorted(own, found)
-                    if len(own):
-                        at = at[own[np.minimum(at, len(own) - 1)] == found]
-                        np.add.at(n, at, 1)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(n[at])], names=["gram", "n"])
-
-        spread = rows.select(F.col("__text").cast("binary")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("spread"))
+    if placed.count() <= BOUND:
+        met, seeds = _scanned(rows, keys, placed)
+        held = spark.sparkContext.broadcast(seeds)
+        pairs = met
     else:
-        rows = keep(rows.withColumn("__row", F.monotonically_increasing_id()), "texts")
-        joined = map_texts(rows, ["__row"], "gram array<bigint>", every, "__text", as_bytes=True).select("__row", F.posexplode("gram").alias("at", "gram")).join(known, "gram")
-        spread = joined.groupBy("gram").agg(F.count("*").alias("spread"))
-    rare = F.min(F.struct(F.coalesce("spread", F.lit(0)).alias("spread"), F.xxhash64("gram").alias("h"), "place", "gram", "n")).alias("s")
-    seeds = placed.join(spread, "gram", "left").groupBy("item", F.floor(F.col("place") / STRIDE).alias("stretch")).agg(rare).select("item", "s.place", "s.gram", (F.col("s.n") + SEED - 1).alias("size"))
-    if small:
-        table = seeds.orderBy("gram", "item", "place").select("gram", "item", "place", "size").collect()
-        seeded = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in table], np.int64) for i in range(4)))
-
-        def scan():
-            codes, own = coder(), seeded.value
-
-            def batch(found):
-                out = []
-                for t in found:
-                    c = codes(t)
-                    hits = looked_up(own, grams(c))
-                    out.append(_rows(passages(t, c, hits)) if hits else [])
-                return {"__passages": out}
-
-            return batch
-
-        made = map_texts(rows, keys, f"__passages {PASSAGE}", scan, "__text", as_bytes=True)
-    else:
-        own = map_texts(rows, ["__row"], "gram array<bigint>", every, "__text", as_bytes=True).select("__row", F.posexplode("gram").alias("at", "gram"))
-        hits = own.join(seeds, "gram").groupBy("__row").agg(F.collect_list(F.struct("item", "at", "place", "size")).alias("__hits"))
-
-        def cut(batches):
-            codes = coder()
-            for b in batches:
-                out = []
-                for t, found in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True):
-                    by: dict = {}
-                    for h in found:
-                        by.setdefault(h["item"], []).append((h["at"], h["place"], h["size"]))
-                    out.append(_rows(passages(t, codes(t), by)))
-                kind = pa.list_(pa.struct([("item", pa.int64()), ("codes", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(out, kind)], names=[*b.schema.names[: len(keys)], "__passages"])
-
-        hit = rows.join(hits, "__row").select(*[F.col(f"`{k}`") for k in keys], "__text", "__hits")
-        made = hit.mapInArrow(cut, StructType(hit.schema.fields[: len(keys)] + StructType.fromDDL(f"__passages {PASSAGE}").fields))
-    cols = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
-    met = keep(made.filter(F.size("__passages") > 0).select(F.struct(F.lit(True).alias("_"), *cols).alias("row"), F.explode("__passages").alias("p")), "passages")
-    pairs = met.select("row", "p.item", "p.codes", "p.starts", "p.ends").join(items.select(F.col("number").alias("item"), "item_id", F.col("codes").alias("target")), "item")
+        met, seeds = _joined(rows, keys, placed)
+        met = keep(met.withColumn("id", F.monotonically_increasing_id()), "passages")
 
-    @F.pandas_udf("array<struct<score:double,start:int,end:int>>")
-    def aligned(target, codes, starts, ends):
-        import pandas as pd
+        @F.pandas_udf("array<bigint>")
+        def listed(g: pd.Series) -> pd.Series:
+            return pd.Series([np.frombuffer(x, np.int64) for x in g])
+
+        good = met.select("id", F.explode(listed("p.grams")).alias("gram")).join(seeds, "gram", "left_semi").select("id").distinct()
+        pairs, held = met.join(good, "id", "left_semi"), None
+    pairs = pairs.select("row", "p.*").join(items.select(F.col("number").alias("item"), "item_id", F.col("codes").alias("target")), "item")
 
+    @F.pandas_udf("array<struct<score:double,start:int,end:int>>")
+    def aligned(target: pd.Series, codes: pd.Series, starts: pd.Series, ends: pd.Series, own: pd.Series) -> pd.Series:
         out = []
-        for t, c, a, b in zip(target, codes, starts, ends, strict=True):
+        seeds = None if held is None else held.value
+        for t, c, a, b, g in zip(target, codes, starts, ends, own, strict=True):
+            item, text = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint64)
+            if seeds is not None and not met_by(np.frombuffer(g, np.int64), seeds) or np.isin(text, item).sum() < LEAST * len(item):
+                out.append([])
+                continue
             first, last = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-            out.append([{"score": s, "start": int(first[i]), "end": int(last[j - 1])} for s, i, j in copies(np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint64))])
+            out.append([{"score": s, "start": int(first[i]), "end": int(last[j - 1])} for s, i, j in copies(item, text)])
         return pd.Series(out)
 
-    done = pairs.select("row", "item_id", F.explode(aligned("target", "codes", "starts", "ends")).alias("m"))
+    done = pairs.select("row", "item_id", F.explode(aligned("target", "codes", "starts", "ends", "grams")).alias("m"))
     return done.select(*[F.col(f"row.k{i}").alias(k) for i, k in enumerate(keys) if k not in ("item_id", "score", "start", "end")], "item_id", "m.score", "m.start", "m.end")
+
+
+def met_by(own: np.ndarray, seeds: np.ndarray) -> bool:
+    """Whether one of own is among the sorted seeds."""
+    at = np.searchsorted(seeds, own)
+    return bool(len(seeds) and (seeds[np.minimum(at, len(seeds) - 1)] == own).any())
