@@ -223,4 +223,4 @@ def test_the_field_takes_the_best_segmentation():
 def test_folds_and_contract_columns(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", crc_mod("doc_id", 4).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.doc_id).encode()) % 4 for r in rows)
-    assert json.dumps(sorted(queries.QUERIES)).count("op") == 10
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
