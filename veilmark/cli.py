@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from importlib import import_module
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.schema_tools import generate
 from veilmark.operators import report as R
+from veilmark.operators.model import Model
 from veilmark.operators.structure import Mapping, process
 from veilmark.scratch import keep
 from veilmark.sources import files
@@ -29,28 +31,54 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mode", default="hybrid", choices=["regex", "ner", "hybrid"])
     p.add_argument("--fort", action="store_true", help="more detectors")
     p.add_argument("--tech", action="store_true", help="technical identifiers")
+    p.add_argument("--first-names", metavar="FILE", help="JSON list of first names, for doubtful persons of a model")
+    p.add_argument("--family-names", metavar="FILE", help="JSON list of family names")
+    p.add_argument("--model", metavar="MODULE:FUNCTION", help="what makes the named-entity model")
     p.add_argument("--restore", metavar="DICTIONARY", help="turn the input's tokens back")
     return p
 
 
-def run_file(spark: SparkSession, path: str, args) -> dict:
-    """The report of one file; its output and, if reversible, its dictionary lie beside it."""
-    mapping = Mapping.load(spark, args.mapping) if args.mapping else None
-    options = mapping.options if mapping else {}
-    df = files.load(spark, path, options.get("delimiter"), options.get("encoding", "utf-8"), options.get("header", True))
-    rows = keep(files.with_order(df), "input")
+def detection(spark: SparkSession, args) -> dict:
+    """Options of functions.detectors.detect: word lists go to every task, a model is made in each by its name."""
+    words = lambda path: frozenset(r.word for r in files.load_words(spark, path, upper=True).collect()) if path else frozenset()
+    out = {"mode": args.mode, "fort": args.fort, "tech": args.tech, "names": words(args.first_names), "family": words(args.family_names)}
+    if args.model:
+        module, _, name = args.model.partition(":")
+        out["ner"] = Model(lambda: getattr(import_module(module), name or "model")())
+    return out
+
+
+def run_files(spark: SparkSession, paths: list[str], args) -> list[dict]:
+    """One report a file, or its error: all files in one job, each with a dictionary of its own.
+
+    Outputs and dictionaries lie beside the inputs, each as one file."""
+    mapping = Mapping.load(spark, args.mapping) if args.mapping else Mapping()
+    o = mapping.options
+    rows = keep(files.load_records(spark, paths, o.get("delimiter"), o.get("encoding", "utf-8"), o.get("header", True)), "input")
+    wrong = {r.file: r.file_error for r in rows.filter("file_error is not null").select("file", "file_error").collect()}
+    rows = rows.filter("file_error is null").drop("file_error")
     if args.dry_run:
-        rows = files.first_rows(rows, DRY_RUN)
-    done = process(rows, "rec_idx", mapping or Mapping.all_strings(df, "_source"), "anon" if args.anon else "pseudo", mode=args.mode, fort=args.fort, tech=args.tech)
-    out = {"file": path}
-    if not (args.dry_run or args.score_only):
-        out["output"] = files.save(done.rows.orderBy("rec_idx").drop("rec_idx", "score", "level", "error"), path)
-        if done.tokens is not None:
-            out["dictionary"] = files.output_path(path, "_correspondances").rsplit(".", 1)[0] + ".csv"
-            files.save_dictionary(done.tokens, out["dictionary"])
-    out["report"] = R.report(done.rows, done.occurrences, done.tokens).first().asDict(recursive=True)
-    if args.score_only:
-        out["levels"] = {r.level: r.n for r in R.level_distribution(done.rows).collect()}
+        first = Window.partitionBy("file").orderBy("rec_idx")
+        rows = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= DRY_RUN).drop("__n")
+    done = process(rows, "rec_idx", mapping.within("record"), "anon" if args.anon else "pseudo", per="file", **detection(spark, args))
+    table = keep(done.rows, "output")
+    reports = {r.file: r.asDict(recursive=True) for r in R.by_file(done, table).collect()}  # a row a file
+    out = []
+    for path in paths:
+        file = files.files_at(spark, path)[0]
+        if file in wrong:
+            out.append({"file": path, "error": wrong[file]})
+            continue
+        made = {"file": path, "report": {k: v for k, v in reports.get(file, {}).items() if k != "file"}}
+        own = table.filter(F.col("file") == file)
+        if not (args.dry_run or args.score_only):
+            made["output"] = files.save_records(own, path, delimiter=o.get("delimiter"))
+            if done.tokens is not None:
+                made["dictionary"] = files.output_path(path, "_correspondances").rsplit(".", 1)[0] + ".csv"
+                files.save_dictionary(done.tokens.filter(F.col("file") == file), made["dictionary"])
+        if args.score_only:
+            made["levels"] = {r.level: r.n for r in R.level_distribution(own).collect()}
+        out.append(made)
     return out
 
 
@@ -74,16 +102,10 @@ def main(argv: list[str] | None = None) -> int:
     elif args.mapping_generate:
         print(json.dumps(generate(files.load(spark, args.input), args.input.rsplit("/", 1)[-1], "cli"), ensure_ascii=False, indent=2))
     else:
-        wrong = 0
-        for path in listed(spark, args.input_dir) if args.input_dir else [args.input]:
-            try:
-                print(json.dumps(run_file(spark, path, args), ensure_ascii=False, default=str))
-            except Exception as e:  # noqa: BLE001  in a folder, one file's failure leaves the others
-                if not args.input_dir:
-                    raise
-                wrong += 1
-                print(f"{path}: {type(e).__name__}: {e}", file=sys.stderr)
-        return int(wrong > 0)
+        found = run_files(spark, listed(spark, args.input_dir) if args.input_dir else [args.input], args)
+        for made in found:
+            print(json.dumps(made, ensure_ascii=False, default=str) if "error" not in made else f"{made['file']}: {made['error']}", file=sys.stderr if "error" in made else sys.stdout)
+        return int(any("error" in made for made in found))
     return 0
 
 

@@ -77,9 +77,21 @@ class Detector:
     #: Without one of these in the text there is no match.
     need: str | tuple[str, ...] = ""
     group: str = ""
+    #: Without one of these, in lower case, in a text in lower case there is no match.
+    words: tuple[str, ...] = ()
+    #: Signs of which a match holds so many.
+    signs: tuple[str, int] = ("", 0)
     #: Characters that a match begins with a run of, up to an @.
     run: frozenset = frozenset()
 
+    def possible(self, text: str, plain: str | None) -> bool:
+        """Whether a text can hold a match; plain: it in lower case, or none where that may hide a match without regard to case."""
+        return (
+            any(x in text for x in ((self.need,) if isinstance(self.need, str) else self.need))
+            and (not self.words or plain is None or any(w in plain for w in self.words))
+            and sum(map(text.count, self.signs[0])) >= self.signs[1]
+        )
+
     def compiled(self):
         return re.compile(self.pattern, self.flags)
 
@@ -101,6 +113,7 @@ class Detector:
 
 
 I = re.I  # noqa: E741
+ROADS = ("rue", "avenue", "boulevard", "chemin", "impasse", "allée", "route", "bis", "ter")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.+-")
 #: The patterns, types and risks, in order of emission, which breaks ties.  A match of the group skip is none: it
 #: passes over a run in which no later start can match either, so long runs are not tried again from each word; possessive
@@ -110,7 +123,7 @@ DETECTORS = (
     Detector("NIR", "nir_txt", "finance", r"(?<!\d)([12])[\s.\-]*(\d{2})[\s.\-]*(\d{2})[\s.\-]*(\d{2}|2[AB])[\s.\-]*(\d{3})[\s.\-]*(\d{3})(?:[\s.\-]*(\d{2}))?(?!\d)", "nir", I),
     Detector("IBAN", "iban_txt", "finance", r"\b[A-Z]{2}\d{2}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{0,4}[\s\-]?[0-9A-Z]{0,3}\b", "iban", I),
     Detector("CB", "cb_txt", "finance", r"\b(?:\d[\s\-]*?){13,19}\b", "luhn"),
-    Detector("CVV", "cvv_txt", "finance", r"\b(cvv|cvc|cryptogramme|cv2)\W+(\d{3,4})\b", "", I),
+    Detector("CVV", "cvv_txt", "finance", r"\b(cvv|cvc|cryptogramme|cv2)\W+(\d{3,4})\b", "", I, words=("cv", "cryptogramme")),
     Detector("SIRET", "siret_txt", "indirect", r"\b\d{3}[\s.]?\d{3}[\s.]?\d{3}(?:[\s.]?\d{5})?\b", "siret"),
     Detector("MAILTO", "email_txt", "direct", r"\b(mailto):([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)", "", I, "@"),
     Detector("EMAIL_OBFUSCATED", "email_txt", "direct", r"\b[a-zA-Z0-9_.+-]++\s*+(?:@|\[at\]|\(at\)|\[arobase\])\s*[a-zA-Z0-9-]+\s*(?:\.|\[dot\]|\(dot\)|point)\s*[a-zA-Z0-9-.]+\b|\b(?P<skip>[a-zA-Z0-9_.+-]++)", "", I, ("@", "[", "(")),
@@ -122,16 +135,16 @@ DETECTORS = (
     Detector("TEL", "tel_txt", "direct", r"(?<!\d)(?:\+33|0)[1-9](?:[\s.\-]*\d{2}){4}(?!\d)"),
     Detector("URL", "url_txt", "indirect", r"\bhttps?://\S+|\bwww\.\S+", "", 0, ("http", "www.")),
     Detector("ORGA", "orga_txt", "indirect", r"\b([A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ&\'\-]+(?:\s+[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ&\'\-]+)*)\s+(SA|SAS|SARL|SNC|EURL|SASU|SCI|SCM|SCOP|SEM|GIE|ASSOCIATION|FONDATION)\b|\b(?P<skip>[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ&\'\-]+(?:\s+[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ&\'\-]+)*)", "", 0, ("SA", "SNC", "EURL", "SC", "SEM", "GIE", "ASSOCIATION", "FONDATION")),
-    Detector("VOIE_NUM", "voie_txt", "indirect", r"\b\d+\s+(?:rue|avenue|boulevard|chemin|impasse|allée|route|bis|ter)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I),
-    Detector("VOIE_SANS", "voie_txt", "indirect", r"\b(?:rue|avenue|boulevard|chemin|impasse|allée|route)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I),
+    Detector("VOIE_NUM", "voie_txt", "indirect", r"\b\d+\s+(?:rue|avenue|boulevard|chemin|impasse|allée|route|bis|ter)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I, words=ROADS),
+    Detector("VOIE_SANS", "voie_txt", "indirect", r"\b(?:rue|avenue|boulevard|chemin|impasse|allée|route)\s+[A-Za-zÀ-ÖØ-öø-ÿ'\-\s]{3,}", "", I, words=ROADS[:-2]),
     Detector("CP", "cp_txt", "indirect", r"\b\d{5}\b", "context"),
-    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(né|née|naissance)(?:e|s)?\s++(?:(?:le|du|au)\s*+)?(?::\s*+)?(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b", "", I, "", "fort"),
+    Detector("DATE_NAISS", "date_naiss_txt", "direct", r"\b(né|née|naissance)(?:e|s)?\s++(?:(?:le|du|au)\s*+)?(?::\s*+)?(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b", "", I, "", "fort", words=("né", "naissance")),
     Detector("GPS", "gps_txt", "indirect", r"\b-?(?:[1-8]?\d\.\d+|90\.0+)[,\s]+-?(?:1(?:[0-7]\d)|[1-9]?\d)\.\d+\b", "", 0, ".", "fort"),
     Detector("PLAQUE", "plaque_txt", "indirect", r"\b(?:[A-Z]{2}[-\s]?\d{3}[-\s]?[A-Z]{2}|\d{1,4}[-\s]?[A-Z]{2,3}[-\s]?\d{2})\b", "", 0, "", "fort"),
     Detector("VILLE_COMPOSEE", "ville_txt", "indirect", r"\b[A-ZÀ-ÖØ-Ý]{3,}(?:[\s-](?:SUR|SOUS|LES|AUX|LEZ|LÈZ|DE|DU|D')[\s-][A-ZÀ-ÖØ-Ý]{3,})+\b", "", 0, ("SUR", "SOUS", "LES", "AUX", "LEZ", "LÈZ", "DE", "DU", "D'"), "fort"),
     Detector("IPV4", "ipv4_txt", "tech", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "", 0, ".", "tech"),
     Detector("IPV6", "ipv6_txt", "tech", r"(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,7}:|::(?:[a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}", "", 0, ":", "tech"),
-    Detector("MAC", "mac_txt", "tech", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "", 0, "", "tech"),
+    Detector("MAC", "mac_txt", "tech", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "", 0, "", "tech", signs=(":-", 5)),
     Detector("JWT", "jwt_txt", "tech", r"\beyJ[a-zA-Z0-9_-]{10,}+\.eyJ[a-zA-Z0-9_-]{10,}+\.[a-zA-Z0-9_-]{10,}\b|\b(?P<skip>eyJ[a-zA-Z0-9_-]*+)", "", 0, "eyJ", "tech"),
     Detector("API_KEY", "api_key_txt", "tech", r"\b(?:sk|pk|api)_[a-zA-Z0-9]{20,}\b", "", 0, "_", "tech"),
 )
@@ -142,12 +155,17 @@ NUMERIC = frozenset({"NUM_FISCAL", "NIR", "IBAN", "CB", "CVV", "SIRET", "TEL_FUZ
 FINANCE = frozenset({"fiscal_txt", "nir_txt", "iban_txt", "cb_txt", "cvv_txt", "siret_txt"})
 
 
+DIGIT, ODD = re.compile(r"\d"), re.compile("[\u017f\u0131\u0130\u212a]")
+
+
 def detect_regex(text: str | None, fort: bool = False, tech: bool = False, only: frozenset | None = None) -> list[Span]:
     """All detectors on the original text, overlaps folded: a later span replaces the last only if strictly longer."""
     found = []
-    digit = bool(text) and bool(re.search(r"\d", text))
+    digit = bool(text) and bool(DIGIT.search(text))
+    # Long s, dotless and dotted i and the Kelvin sign match letters that lower() does not make of them.
+    plain = None if not text or ODD.search(text) else text.lower()
     for n, (d, shape) in enumerate(_READY if text else ()):
-        if d.name in NUMERIC and not digit or (d.group == "fort" and not fort) or (d.group == "tech" and not tech) or (only and d.name not in only) or not any(x in text for x in ((d.need,) if isinstance(d.need, str) else d.need)):
+        if d.name in NUMERIC and not digit or (d.group == "fort" and not fort) or (d.group == "tech" and not tech) or (only and d.name not in only) or not d.possible(text, plain):
             continue
         for m in d.matches(shape, text):
             v = m.group()

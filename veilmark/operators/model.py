@@ -39,13 +39,13 @@ def parts(text: str, most: int = PART) -> Iterable[tuple[int, str]]:
 
 
 def apart(spans: list[Span], distance: int = NEAR) -> list[Span]:
-    """Without spans of one type and value (in lower case) less than distance from the start of one kept before."""
-    seen: dict[tuple, list[int]] = {}
+    """Without spans of one type and value (in lower case) less than distance from the start of one kept before; by start."""
+    seen: dict[tuple, int] = {}
     kept = []
     for s in spans:
-        at = seen.setdefault((s.entity_type, s.value.lower()), [])
-        if all(abs(s.start - x) >= distance for x in at):
-            at.append(s.start)
+        key = (s.entity_type, s.value.lower())
+        if key not in seen or s.start - seen[key] >= distance:
+            seen[key] = s.start
             kept.append(s)
     return kept
 

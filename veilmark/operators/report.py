@@ -55,3 +55,19 @@ def report(rows: DataFrame, occ: DataFrame, words: DataFrame | None = None) -> D
     size = (words.select("token").distinct() if words is not None else rows.limit(0)).agg(F.count("*").alias("tokens"))
     # Three tables of one row each.
     return file_score(rows).join(F.broadcast(by_type)).join(F.broadcast(size))
+
+
+def by_file(done, rows: DataFrame | None = None) -> DataFrame:
+    """The report of each value of a run's `per` (structure.Processed): records, errors, score, mean, level, replacements,
+    tokens and a map of replacements by type.  rows: the run's rows, if they are kept as a table."""
+    per, place, (score, _, error) = done.per, done.place, done.names
+    rows = done.rows if rows is None else rows
+    out = rows.groupBy(per).agg(F.count("*").alias("records"), F.count(error).alias("errors"), F.coalesce(F.sum(score), F.lit(0)).cast("bigint").alias("score"))
+    types = done.occurrences.groupBy(F.col(place).alias(per), "entity_type").agg(F.count("*").alias("n")).groupBy(per)
+    types = types.agg(F.sum("n").cast("bigint").alias("replacements"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("by_type"))
+    out = out.join(types, per, "left")
+    if done.tokens is not None:
+        out = out.join(done.tokens.groupBy(F.col(place).alias(per)).agg(F.count_distinct("token").alias("tokens")), per, "left")
+    none = F.create_map().cast("map<string,bigint>")
+    found = {"replacements": F.coalesce("replacements", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)) if done.tokens is not None else F.lit(0), "by_type": F.coalesce("by_type", none)}
+    return out.withColumns({**found, "mean": F.col("score") / F.col("records"), "level": risk_level(F.col("score"))}).select(per, "records", "errors", "score", "mean", "level", "replacements", "tokens", "by_type")

@@ -30,7 +30,8 @@ CELL = "struct<kind:int,ord:int,elem:int,value:string,falsy:boolean,written:bool
 class Mapping:
     """fields: (path, type, printed prefix); texts: paths of free text, "A[].B" for each element of an array; unwrap: a
     column of JSON text; first_name and last_name: paths whose values are looked for in the free text of their record.
-    With root the unwrapped column is the whole record, in which all paths lie; with scan every string at its top is free text."""
+    With root the unwrapped column is the whole record, in which all paths lie (and inner is its field of JSON text); with scan
+    every string at its top is free text."""
 
     fields: tuple[tuple[str, str, str], ...] = ()
     texts: tuple[str, ...] = ()
@@ -41,11 +42,12 @@ class Mapping:
     blacklist: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
     root: bool = False
+    inner: str | None = None
     scan: bool = False
 
     def within(self, column: str) -> Mapping:
         """This mapping for records that are JSON text in a column; without any path, all their strings are scanned."""
-        return replace(self, unwrap=column, root=True, scan=not (self.fields or self.texts))
+        return replace(self, unwrap=column, inner=self.unwrap, root=True, scan=not (self.fields or self.texts))
 
     @classmethod
     def from_dict(cls, d: dict) -> Mapping:
@@ -143,70 +145,84 @@ def parsed(raw):
         return None
 
 
-def inside(obj, path: str, root: bool = False) -> bool:
-    """Only dotted paths whose first part the unwrapped object has are looked for in it; in a whole record all are."""
-    return isinstance(obj, dict) and (root or "." in path and path.split(".")[0] in obj)
+def opened(raw: str | None, mapping: Mapping) -> tuple:
+    """(record, unwrapped object) of a JSON text: the record only if the text is the whole of it."""
+    obj = parsed(raw)
+    if not mapping.root:
+        return None, obj
+    text = obj.get(mapping.inner) if mapping.inner and isinstance(obj, dict) else None
+    return obj, parsed(text) if isinstance(text, str) else None
+
+
+def holder(path: str, record, unwrapped) -> dict | None:
+    """Dotted paths whose first part the unwrapped object has lie in it, all others in the record."""
+    if isinstance(unwrapped, dict) and "." in path and path.split(".")[0] in unwrapped:
+        return unwrapped
+    return record if isinstance(record, dict) else None
 
 
-def scanned(obj) -> list[tuple[int, str]]:
-    """The strings at the top of a record, with their places among its keys."""
-    return [(n, v) for n, v in enumerate(obj.values()) if isinstance(v, str) and v.strip()] if isinstance(obj, dict) else []
+def text_values(obj: dict, path: str) -> list[tuple[int, str, bool]]:
+    """(place in the array or -1, text, whether it can be written) at a path of free text."""
+    before, arrow, after = path.partition("[]")
+    if not arrow:
+        v = json_get(obj, path)
+        return [(-1, v, True)] if v and isinstance(v, str) else []
+    items, after = json_get(obj, before), after.lstrip(".")
+    found = [(i, json_get(x, after) if after else x) for i, x in enumerate(items if isinstance(items, list) else ())]
+    return [(i, v, bool(after)) for i, v in found if v and isinstance(v, str)]
 
 
 def json_cells(raw: str | None, mapping: Mapping) -> dict:
-    """Cells of the unwrapped object, the paths (by kind and number) that belong to it, and its two names."""
-    obj = parsed(raw)
+    """Cells of a record or unwrapped object, the paths (by kind and number) that belong to it, and its two names."""
+    record, unwrapped = opened(raw, mapping)
     cells, own = [], []
     for n, (path, *_) in enumerate(mapping.fields):
-        if inside(obj, path, mapping.root):
+        if (obj := holder(path, record, unwrapped)) is not None:
             own.append(f"{FIELD} {n}")
             v = json_get(obj, path)
             if v is not None and not (isinstance(v, str) and not v.strip()):
                 cells.append({"kind": FIELD, "ord": n, "elem": -1, "value": str(v), "falsy": not v, "written": True})
     for n, path in enumerate(mapping.texts):
-        root = path.split("[]")[0]
-        if inside(obj, path, mapping.root):
+        if (obj := holder(path, record, unwrapped)) is not None:
             own.append(f"{TEXT} {n}")
-            if "[]" in path:
-                after = path.split("[]", 1)[1].lstrip(".")
-                items = json_get(obj, root)
-                for i, item in enumerate(items if isinstance(items, list) else ()):
-                    v = json_get(item, after) if after else item
-                    if v and isinstance(v, str):
-                        cells.append({"kind": TEXT, "ord": n, "elem": i, "value": v, "falsy": False, "written": bool(after)})
-            else:
-                v = json_get(obj, path)
-                if v and isinstance(v, str):
-                    cells.append({"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True})
-    if mapping.scan:
-        cells += [{"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True} for n, v in scanned(obj)]
-    name = lambda p: str(json_get(obj, p) or "") if p and inside(obj, p, mapping.root) else None
+            cells += [{"kind": TEXT, "ord": n, "elem": i, "value": v, "falsy": False, "written": w} for i, v, w in text_values(obj, path)]
+    if mapping.scan and isinstance(record, dict):
+        tops = ((n, v) for n, v in enumerate(record.values()) if isinstance(v, str) and v.strip())
+        cells += [{"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True} for n, v in tops]
+
+    def name(path: str) -> str | None:
+        obj = holder(path, record, unwrapped) if path else None
+        return None if obj is None else str(json_get(obj, path) or "")
+
     return {"cells": cells, "own": own, "first": name(mapping.first_name), "last": name(mapping.last_name)}
 
 
 def json_written(raw: str | None, new: list, mapping: Mapping) -> str | None:
     """The object with its new values; numbers become text, null where a token is missing; separators as the json module prints them."""
-    obj = parsed(raw)
-    if obj is None or mapping.root and not new:
+    record, unwrapped = opened(raw, mapping)
+    if unwrapped is None and (record is None or not new):
         return raw
-    keys = list(obj) if mapping.scan and isinstance(obj, dict) else []
+    keys = list(record) if mapping.scan and isinstance(record, dict) else []
     for c in new:
         if keys:
-            obj[keys[c["ord"]]] = c["value"]
+            record[keys[c["ord"]]] = c["value"]
             continue
         path = mapping.fields[c["ord"]][0] if c["kind"] == FIELD else mapping.texts[c["ord"]]
-        if not inside(obj, path, mapping.root):
+        obj = holder(path, record, unwrapped)
+        if obj is None:
             continue
-        if c["elem"] >= 0:
-            before, after = path.split("[]", 1)
-            items = json_get(obj, before)
-            if after:
-                json_set(items[c["elem"]], after.lstrip("."), c["value"])
-            else:
-                items[c["elem"]] = c["value"]
-        else:
+        if c["elem"] < 0:
             json_set(obj, path, c["value"])
-    return json.dumps(obj, ensure_ascii=False)
+            continue
+        before, after = path.split("[]", 1)
+        items = json_get(obj, before)
+        if after:
+            json_set(items[c["elem"]], after.lstrip("."), c["value"])
+        else:
+            items[c["elem"]] = c["value"]
+    if mapping.root and unwrapped is not None:
+        record[mapping.inner] = json.dumps(unwrapped, ensure_ascii=False)
+    return json.dumps(record if mapping.root else unwrapped, ensure_ascii=False)
 
 
 # --- the stages
@@ -306,7 +322,7 @@ def free_names(columns: list[str]) -> tuple[str, str, str]:
 class Processed:
     """rows: the records, rewritten, with score, level and error (see names); tokens: the dictionary (none if irreversible);
     occurrences: one row a replacement, with its place (key, __row, kind, ord, elem, span_ord), type, value and token.
-    With per, tokens and occurrences have that column too."""
+    With per, tokens and occurrences have that column too, under the name place (of_<per> where they have one of its name)."""
 
     rows: DataFrame
     tokens: DataFrame | None
@@ -314,6 +330,7 @@ class Processed:
     #: What the columns score, level and error are called: risk_score and so on, where records have columns of these names.
     names: tuple[str, str, str] = ("score", "level", "error")
     per: str | None = None
+    place: str | None = None
 
     @property
     def scored(self) -> DataFrame:
@@ -381,8 +398,11 @@ def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numb
         done = constants(occ, mapping, order, per)
     done = keep(done, "replacements")
     names = free_names(df.columns)
-    named = lambda t: t if t is None or not per else t.withColumnRenamed("__per", per)
-    return Processed(rewritten(rows, done, df, mapping, fix_leaks, names), named(words), named(done), names, per)
+    place = per
+    while place and place in {*done.columns, *(words.columns if words is not None else ())}:
+        place = f"of_{place}"
+    named = lambda t: t if t is None or not per else t.withColumnRenamed("__per", place)
+    return Processed(rewritten(rows, done, df, mapping, fix_leaks, names), named(words), named(done), names, per, place)
 
 
 FRESH = "array<struct<kind:int,ord:int,elem:int,value:string>>"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate, chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,21 @@ def detect_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans",
 def _spans(df: DataFrame, text_col: str, out_col: str, options: dict) -> DataFrame:
     options = {**options, **{k: frozenset(options[k]) for k in ("whitelist", "blacklist") if options.get(k)}}
 
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[s._asdict() for s in detect(t, **options)] for t in texts])
+    @F.arrow_udf(SPANS)
+    def spans(texts: pa.Array) -> pa.Array:
+        return span_array([detect(t, **options) for t in texts.to_pylist()])
 
     return df.withColumn(out_col, spans(F.col(text_col)))
 
 
+def span_array(found: list[list]) -> pa.Array:
+    """Lists of spans, column by column."""
+    kinds = (("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("value", pa.string()), ("score", pa.float64()), ("source", pa.string()), ("risk_type", pa.string()))
+    flat = list(zip(*chain.from_iterable(found), strict=True)) or [()] * len(kinds)
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, kinds, strict=True)], fields=[pa.field(n, t) for n, t in kinds])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), rows)
+
+
 def _checked(df: DataFrame, names: DataFrame, out_col: str) -> DataFrame:
     """Drops doubtful persons none of whose words is in names: a join of their words, each once a row."""
     rows = keep(df.withColumn("__row", F.monotonically_increasing_id()), "doubtful")
@@ -57,9 +67,12 @@ def _checked(df: DataFrame, names: DataFrame, out_col: str) -> DataFrame:
 def _listed(df: DataFrame, text_col: str, out_col: str, whitelist, blacklist) -> DataFrame:
     from veilmark.functions.detectors import Span, apply_lists
 
-    @F.pandas_udf(SPANS)
-    def listed(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([[s._asdict() for s in apply_lists(t or "", [Span(**x) for x in own], whitelist, blacklist)] for t, own in zip(texts, spans, strict=True)])
+    whitelist, blacklist = frozenset(whitelist), frozenset(blacklist)
+
+    @F.arrow_udf(SPANS)
+    def listed(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return span_array([apply_lists(t or "", [Span(**x) for x in own], whitelist, blacklist) for t, own in rows])
 
     return df.withColumn(out_col, listed(F.col(text_col), F.col(out_col)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veilmark.functions import detectors as D
@@ -12,7 +14,10 @@ from veilmark.operators.model import Model
 from veilmark.operators.structure import Mapping, process
 from veilmark.operators.tokens import person_key, restore
 from veilmark.plans import literals as L
+from veilmark.scratch import folder
 from veilmark.sources.files import dictionary_list, first_rows
+from veilmark.sources.jsonfiles import json_records
+from veilmark.sources.single import write_json
 
 #: Fixed values, in the dialect of the oracle.
 EMAIL = r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9\-.]+"
@@ -204,6 +209,95 @@ def described(spark, sf_dir):
     return analyze(table(spark, sf_dir, "customer")).select("field", "type", "records")
 
 
+def unwrap_inner(spark, sf_dir):
+    """All paths of the mapping lie in the JSON text."""
+    m = Mapping.from_dict({**UNWRAP, "texte_libre": ["Report.Note"]})
+    out = process(reports(spark, sf_dir), "event_id", m, only=frozenset({"EMAIL"})).rows
+    return out.filter("body like '%EMAIL%' and event_type <> ''").select("event_id", "body", "score")
+
+
+def map_fields(spark, sf_dir):
+    """Fields and texts below maps; a number beside them becomes text."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.lit("n"), F.col("c_nationkey"), F.lit("k"), F.lit(7)).alias("m"), F.create_map(F.lit("note"), F.concat(F.lit("à u"), "c_custkey", F.lit("@x.fr"))).alias("t"))
+    m = Mapping.from_dict({"champs_sensibles": {"m.n": {"type": "nom", "jeton": "N"}}, "texte_libre": ["t.note", "t.gone"]})
+    out = process(df, "c_custkey", m, "anon", only=frozenset({"EMAIL"})).rows
+    return out.select("c_custkey", F.col("m.n").alias("n"), F.col("m.k").alias("k"), F.col("t.note").alias("note"), "score")
+
+
+def clashing_columns(spark, sf_dir):
+    """Records with columns named as the risk is keep them."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("error"), F.col("c_acctbal").alias("score"))
+    out = process(df, "c_custkey", Mapping.from_dict({"champs_sensibles": {"error": {"type": "nom", "jeton": "E"}}})).rows
+    return out.select("c_custkey", "error", "score", "risk_score", "level", F.col("risk_error").isNull().alias("good"))
+
+
+def file_tokens(spark, sf_dir):
+    """Each source as a file of its own: equal values have a number in each."""
+    df = docs(spark, sf_dir).select("doc_id", "source", F.col("text").alias("t"))
+    done = process(df, "doc_id", Mapping(texts=("t",)), per="source", only=frozenset({"EMAIL"}))
+    return done.tokens.select(F.col(done.place).alias("source"), "norm", "original", "num", "token")
+
+
+def file_reports(spark, sf_dir):
+    df = docs(spark, sf_dir).select("doc_id", "source", F.col("text").alias("t"))
+    done = process(df, "doc_id", Mapping(texts=("t",)), per="source", only=frozenset({"EMAIL"}))
+    return report.by_file(done).select("source", "records", "errors", "score", "level", "replacements", "tokens")
+
+
+def restore_any(spark, sf_dir):
+    """Tokens whose prefix has an accent, a blank and small letters."""
+    m = Mapping.from_dict({"champs_sensibles": {"c_name": {"type": "nom", "jeton": "PRÉNOM du client"}}})
+    done = process(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", m)
+    text = done.rows.select("c_custkey", F.concat(F.lit("voir ["), "c_name", F.lit("] ou "), "c_name").alias("result"))
+    return restore(text, done.tokens).select("c_custkey", "restored", "n_restored")
+
+
+def restore_nested(spark, sf_dir):
+    """A token's original that holds a shorter token."""
+    words = table(spark, sf_dir, "nation").select(F.lit("x").alias("grp"), F.col("n_nationkey").cast("long").alias("num"), F.concat(F.lit("[N_"), "n_nationkey", F.lit("]")).alias("token"), F.col("n_name").alias("original"))
+    more = table(spark, sf_dir, "nation").select(F.lit("y"), F.col("n_nationkey").cast("long"), F.concat(F.lit("[LONG_"), "n_nationkey", F.lit("]")), F.concat(F.lit("<[N_"), "n_nationkey", F.lit("]>")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("[LONG_"), "c_nationkey", F.lit("]")).alias("result"))
+    return restore(rows, words.union(more), nested=True).select("c_custkey", "restored", "n_restored")
+
+
+DENIED = ("permission", "copyright", "Licensed", "warranty", "liability", "Software", "notice", "conditions", "distribution", "merchantability", "express", "implied")
+
+
+def deny_list(spark, sf_dir):
+    """More entries than are looked for one by one."""
+    return some(spark, sf_dir, "NONE", blacklist=DENIED).select("doc_id", F.size("spans").cast("bigint").alias("n")).filter("n > 0")
+
+
+#: Detectors without validators or looks behind, which the oracle's regular expressions can say.
+PLAIN = ("CVV", "MAILTO", "EMAIL_AVEC", "EMAIL_ESPACE", "EMAIL", "TEL_PREFIXE", "URL", "VOIE_NUM", "VOIE_SANS", "GPS", "PLAQUE", "IPV4", "IPV6", "MAC", "JWT", "API_KEY")
+
+
+def detector_counts(spark, sf_dir):
+    """Each plain detector over all documents: one pass."""
+    df = docs(spark, sf_dir).select("text")
+    for name in PLAIN:
+        df = T.detect_spans(df, out_col=name, only=frozenset({name}), fort=True, tech=True)
+    sums = df.agg(*[F.coalesce(F.sum(F.size(n)), F.lit(0)).cast("bigint").alias(n) for n in PLAIN])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.col(n).alias("n")) for n in PLAIN])).alias("x")).select("x.*")
+
+
+def json_array(spark, sf_dir):
+    """Records written as one array and read again, cut at their braces by many tasks."""
+    at = f"{folder(spark, 'json')}/customers.json"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_name", F.struct("c_acctbal", "c_nationkey").alias("in"), F.lit('}"{').alias("odd"))).alias("record"))
+    write_json(rows, ["c_custkey"], at)
+    read = json_records(spark, at).select(F.from_json("record", "c_name string, in struct<c_acctbal:double,c_nationkey:int>, odd string").alias("r"))
+    return read.select("r.c_name", "r.in.c_acctbal", "r.in.c_nationkey", "r.odd")
+
+
+def json_process(spark, sf_dir):
+    """Records as JSON text: keys, order and types of each stay, and a text within a text is rewritten in its place."""
+    body = F.to_json(F.struct(F.struct(F.col("user_id").alias("Id")).alias("Report")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", body.alias("body"), F.concat(F.lit("u"), "user_id", F.lit("@example.com")).alias("mail"))).alias("record"))
+    m = Mapping.from_dict({"structure": {"unwrap": {"field": "body"}}, "champs_sensibles": {"Report.Id": {"type": "uid", "jeton": "ID"}}, "texte_libre": ["mail"]})
+    return process(rows, "event_id", m.within("record"), "anon", only=frozenset({"EMAIL"})).rows.select("event_id", "record", "score")
+
+
 # --- diagnostics
 
 
@@ -270,6 +364,7 @@ QUERIES = {
         email_spans, email_jvm, ipv4_counts, url_pages, anon_email, redact_email, risk_score, risk_levels, file_score, risk_details, type_counts, distinct_values, email_dictionary, pseudo_email,
         dictionary_export, restore_roundtrip, restore_shared, whitelist, blacklist, samples, leaks, unwrap_props, structured_tokens, structured_dictionary, structured_anon, nested_arrays, scan_strings,
         run_report, limit_dry_run, mapping_draft, mapping_check, described, compare_ways, model_names, entity_types, person_keys, contexts, luhn_literals, mixed_literals, score_by_quality, flagship,
+        unwrap_inner, map_fields, clashing_columns, file_tokens, file_reports, restore_any, restore_nested, deny_list, detector_counts, json_array, json_process,
     )
 } | {f"detector_{name.lower()}": detector_query(name) for name in L.CASES}
 
@@ -305,6 +400,13 @@ def detector_oracle(name):
     return values(rows, ("id", "span_ord", "entity_type", "value", "risk_type"), ("bigint", "bigint", "varchar", "varchar", "varchar"))
 
 
+def plain_pattern(d) -> str:
+    """A detector's pattern in the oracle's dialect: no groups that pass over runs, no possessive repeats."""
+    text = re.sub(r"\|[^|]*\(\?P<skip>.*$", "", d.pattern)
+    text = re.sub(r"([+*?}])\+", r"\1", text).replace("\\'", "'").replace("'", "''")
+    return ("(?i)" if d.flags else "") + text
+
+
 ORACLE_SQL = {
     "email_spans": f"select doc_id, cast(k - 1 as int) as span_ord, value from ({_ALL})",
     "email_jvm": f"select doc_id, value from ({_ALL})",
@@ -334,6 +436,17 @@ ORACLE_SQL = {
     "nested_arrays": "select c_custkey, 'Prenom' || c_custkey as first, 'voir *** ***' as v0, cast(null as varchar) as v1, cast(6 as bigint) as score from customer",
     "scan_strings": _ONE_PAGE,
     "run_report": f"""select count(*) as records, cast(0 as bigint) as errors, cast(sum(score) as bigint) as score, cast(sum(score) // 3 as bigint) as replacements, (select count(distinct lower(v)) from (select unnest(regexp_extract_all(html, '{EMAIL}')) as v from pages union all select unnest(regexp_extract_all(url, '{EMAIL}')) from pages)) as tokens, case when sum(score) = 0 then '{{}}' else '{{"email_txt":' || cast(sum(score) // 3 as bigint) || '}}' end as by_type from ({_ONE_PAGE})""",
+    "unwrap_inner": f"""select event_id, '{{"Report": {{"Id": ' || coalesce('"[ID_' || u.n || ']"', 'null') || ', "Note": "mail [EMAIL_' || w.n || ']", "Rest": "é"}}}}' as body, cast(4 as bigint) as score from events e left join ({_USERS}) u using (user_id) join ({_NOTES}) w using (user_id) where event_type <> ''""",
+    "map_fields": "select c_custkey, '***' as n, '7' as k, 'à ***' as note, cast(6 as bigint) as score from customer",
+    "clashing_columns": "select c_custkey, '[E_' || row_number() over (order by c_custkey) || ']' as error, c_acctbal as score, cast(3 as bigint) as risk_score, 'FAIBLE' as level, true as good from customer",
+    "file_tokens": f"select source, norm, original, num, '[EMAIL_' || num || ']' as token from (select source, norm, original, row_number() over (partition by source order by p) as num from (select source, lower(trim(value)) as norm, min_by(value, doc_id * 100000 + k) as original, min(doc_id * 100000 + k) as p from ({_ALL}) join documents using (doc_id) group by 1, 2))",
+    "file_reports": f"select source, records, cast(0 as bigint) as errors, score, {_LEVEL} as level, replacements, coalesce(tokens, 0) as tokens from (select source, count(*) as records, cast(sum(3 * {_N}) as bigint) as score, cast(sum({_N}) as bigint) as replacements from documents group by 1) left join (select source, count(distinct lower(value)) as tokens from ({_ALL}) join documents using (doc_id) group by 1) using (source)",
+    "restore_any": "select c_custkey, 'voir [' || c_name || '] ou ' || c_name as restored, cast(1 as bigint) as n_restored from customer",
+    "restore_nested": "select c_custkey, '<' || n_name || '>' as restored, cast(1 as bigint) as n_restored from customer join nation on n_nationkey = c_nationkey",
+    "deny_list": "select * from (select doc_id, cast(" + " + ".join(f"len(regexp_extract_all(text, '(?i){w}'))" for w in DENIED) + " as bigint) as n from documents) where n > 0",
+    "detector_counts": " union all ".join(f"select '{d.name}' as detector, cast(coalesce(sum(len(regexp_extract_all(text, '{plain_pattern(d)}'))), 0) as bigint) as n from documents" for d in D.DETECTORS if d.name in PLAIN),
+    "json_array": "select c_name, c_acctbal, c_nationkey, '}\"{' as odd from customer",
+    "json_process": """select event_id, '{"event_id": ' || event_id || ', "body": "{\\"Report\\": {\\"Id\\": \\"***\\"}}", "mail": "***"}' as record, cast(4 as bigint) as score from events""",
     "limit_dry_run": "select c_custkey, '[NOM_' || row_number() over (order by c_custkey) || ']' as c_name, cast(3 as bigint) as score from (select c_custkey from customer order by 1 limit 100)",
     "mapping_draft": values([("c_name", "nom", "NOM")], ("field", "type", "jeton"), ("varchar",) * 3),
     "mapping_check": values([(False, 1, 2)], ("valid", "errors", "warnings"), ("boolean", "bigint", "bigint")),

@@ -6,6 +6,7 @@ XLSX, ODS, ODT and DOCX are zipped XML and need no library; PDF needs pdfplumber
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -75,6 +76,34 @@ SHEETS = {"xlsx": xlsx_rows, "ods": ods_rows}
 TEXTS = {"docx": docx_text, "odt": odt_text, "pdf": pdf_text}
 
 
+def office_records(spark: SparkSession, paths: list[str], header: bool = True) -> DataFrame:
+    """file, rec_idx and record: the rows of sheets under each file's own first row (or col_i), documents as one record of
+    texte and _source, as JSON text.  A file that cannot be read gives one row with its error instead."""
+
+    def read(batches):
+        for b in batches:
+            for path, data in zip(b["path"], b["content"], strict=True):
+                kind = path.rsplit(".", 1)[-1].lower()
+                out, error = [], None
+                try:
+                    if kind in TEXTS:
+                        out = [{"texte": TEXTS[kind](bytes(data)), "_source": path.rsplit("/", 1)[-1]}]
+                    elif kind in SHEETS:
+                        rows = list(SHEETS[kind](bytes(data)))
+                        names = rows[0] if rows and header else [f"col_{i}" for i in range(len(rows[0]) if rows else 0)]
+                        out = [{n: r[i] if i < len(r) else "" for i, n in enumerate(names)} for r in rows[int(header) :]]
+                    else:
+                        raise ValueError(f"no reader for .{kind}")
+                except Exception as e:  # noqa: BLE001  one file's failure leaves the others
+                    error = f"{type(e).__name__}: {e}"
+                records = [json.dumps(r, ensure_ascii=False) for r in out] if error is None else [None]
+                yield pd.DataFrame({"file": path, "at": range(len(records)), "record": records, "file_error": error})
+
+    found = spark.read.format("binaryFile").load(paths).select("path", "content")
+    made = found.mapInPandas(read, "file string, at bigint, record string, file_error string")
+    return made.select("file", F.struct(F.lit(0).cast("bigint").alias("block"), "at").alias("rec_idx"), "record", "file_error")
+
+
 def load_office(spark: SparkSession, path: str, kind: str, header: bool = True) -> DataFrame:
     """Sheets: strings under the first row's names (or col_i); documents: texte and _source."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
