@@ -10,6 +10,7 @@ from veilmark.functions import detectors as D
 from veilmark.functions.schema_tools import analyze, generate, validate_mapping
 from veilmark.operators import diagnose, report
 from veilmark.operators import text as T
+from veilmark.operators.fusion import fuse_tables
 from veilmark.operators.model import Model
 from veilmark.operators.structure import Mapping, process
 from veilmark.operators.tokens import person_key, restore
@@ -138,6 +139,14 @@ def score_by_quality(spark, sf_dir):
     return scored.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.sum("score").cast("bigint").alias("score"))
 
 
+def fused_spans(spark, sf_dir):
+    """Rules' spans and those of a model that ran elsewhere (here: what stands before each @): the model wins where both lie."""
+    rules = T.explode_spans(some(spark, sf_dir, "EMAIL", "IPV4", tech=True), "doc_id")
+    name = F.substring_index("value", "@", 1)
+    model = rules.filter("entity_type = 'email_txt'").select("doc_id", "start", (F.col("start") + F.length(name)).alias("end"), F.lit("personne").alias("entity_type"), name.alias("value"), F.lit(0.9).alias("score"), F.lit("ner").alias("source"), F.lit("direct").alias("risk_type"))
+    return fuse_tables(rules, model, "doc_id").select("doc_id", "entity_type", "value", "source")
+
+
 # --- records
 
 
@@ -364,7 +373,7 @@ QUERIES = {
         email_spans, email_jvm, ipv4_counts, url_pages, anon_email, redact_email, risk_score, risk_levels, file_score, risk_details, type_counts, distinct_values, email_dictionary, pseudo_email,
         dictionary_export, restore_roundtrip, restore_shared, whitelist, blacklist, samples, leaks, unwrap_props, structured_tokens, structured_dictionary, structured_anon, nested_arrays, scan_strings,
         run_report, limit_dry_run, mapping_draft, mapping_check, described, compare_ways, model_names, entity_types, person_keys, contexts, luhn_literals, mixed_literals, score_by_quality, flagship,
-        unwrap_inner, map_fields, clashing_columns, file_tokens, file_reports, restore_any, restore_nested, deny_list, detector_counts, json_array, json_process,
+        fused_spans, unwrap_inner, map_fields, clashing_columns, file_tokens, file_reports, restore_any, restore_nested, deny_list, detector_counts, json_array, json_process,
     )
 } | {f"detector_{name.lower()}": detector_query(name) for name in L.CASES}
 
@@ -436,6 +445,7 @@ ORACLE_SQL = {
     "nested_arrays": "select c_custkey, 'Prenom' || c_custkey as first, 'voir *** ***' as v0, cast(null as varchar) as v1, cast(6 as bigint) as score from customer",
     "scan_strings": _ONE_PAGE,
     "run_report": f"""select count(*) as records, cast(0 as bigint) as errors, cast(sum(score) as bigint) as score, cast(sum(score) // 3 as bigint) as replacements, (select count(distinct lower(v)) from (select unnest(regexp_extract_all(html, '{EMAIL}')) as v from pages union all select unnest(regexp_extract_all(url, '{EMAIL}')) from pages)) as tokens, case when sum(score) = 0 then '{{}}' else '{{"email_txt":' || cast(sum(score) // 3 as bigint) || '}}' end as by_type from ({_ONE_PAGE})""",
+    "fused_spans": f"select doc_id, 'personne' as entity_type, split_part(value, '@', 1) as value, 'ner' as source from ({_ALL}) union all select doc_id, 'ipv4_txt', value, 'regex' from ({_ALL4})",
     "unwrap_inner": f"""select event_id, '{{"Report": {{"Id": ' || coalesce('"[ID_' || u.n || ']"', 'null') || ', "Note": "mail [EMAIL_' || w.n || ']", "Rest": "é"}}}}' as body, cast(4 as bigint) as score from events e left join ({_USERS}) u using (user_id) join ({_NOTES}) w using (user_id) where event_type <> ''""",
     "map_fields": "select c_custkey, '***' as n, '7' as k, 'à ***' as note, cast(6 as bigint) as score from customer",
     "clashing_columns": "select c_custkey, '[E_' || row_number() over (order by c_custkey) || ']' as error, c_acctbal as score, cast(3 as bigint) as risk_score, 'FAIBLE' as level, true as good from customer",
