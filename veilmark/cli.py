@@ -14,7 +14,7 @@ from veilmark.functions.schema_tools import generate
 from veilmark.operators import report as R
 from veilmark.operators.model import Model
 from veilmark.operators.structure import Mapping, process
-from veilmark.scratch import keep
+from veilmark.scratch import keep, with_tables
 from veilmark.sources import files
 
 DRY_RUN = 100
@@ -97,6 +97,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.mapping_generate and not args.input:
         p.error("--mapping-generate needs a file")
     spark = SparkSession.builder.appName("veilmark").getOrCreate()
+    with with_tables(spark):
+        return run(spark, args)
+
+
+def run(spark: SparkSession, args) -> int:
     if args.restore:
         print(files.restore_file(spark, args.input, args.restore))
     elif args.mapping_generate:

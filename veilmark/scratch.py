@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,18 +22,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Tables kept since a with_tables began.
+_mine: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def with_tables(spark: SparkSession):
+    """Drops the tables that are kept inside, at the end: for work whose results are written before."""
+    paths: list[str] = []
+    before = _mine.set(paths)
+    try:
+        yield
+    finally:
+        _mine.reset(before)
+        for path in paths:
+            drop(spark, path)
+
+
+def _noted(path: str) -> str:
+    if (paths := _mine.get()) is not None:
+        paths.append(path)
+    return path
+
+
 def keep(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder (or a folder under it) and read it back: lineage is cut, and no executor's
     loss undoes the work."""
     spark = df.sparkSession
-    path = f"{under or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _noted(f"{under or scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A folder for tables that are dropped together."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return _noted(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.text import detect_spans, splice
 from veilmark.operators.tokens import occurrences, token_dictionary, with_numbers, with_tokens
-from veilmark.scratch import keep
+from veilmark.scratch import keep, with_tables
 
 WORDS = "batch bigint, grp string, prefix string, norm string, original string, num bigint, token string"
 
@@ -26,10 +26,14 @@ def dictionary_at(spark, path: str, before: int | None = None) -> DataFrame:
 def pseudonymise_batch(key: str, text_col: str, dictionary: str, out: str, numbering: str = "type", **options) -> Callable[[DataFrame, int], None]:
     """For writeStream.foreachBatch: a batch's new values are numbered after those of earlier batches, and its rows written.
 
-    Both tables are written under the batch's number and replaced if it is run again, so each batch counts once.
+    Each batch reads the dictionary so far; streaming.state keeps it in a state store instead.  Both tables are written under the batch's number and replaced if it is run again, so each batch counts once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        with with_tables(batch.sparkSession):
+            write(batch, number)
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = keep(detect_spans(batch, text_col, **options).withColumn("__row", F.monotonically_increasing_id()), "stream")
         spans = occurrences(rows.select(F.col(key).alias("__key"), "__row", "spans"), "__key")
