@@ -6,6 +6,7 @@ import uuid
 
 from veilmark.llm import stages
 from veilmark.llm.common import documents, scratch_root, session_defaults
+from veilmark.scratch import drop, with_tables
 
 STAGES = [
     ("language_id", stages.language_stage),
@@ -22,6 +23,9 @@ def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
     root = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{n}-{name}")
+        with with_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{n}-{name}")
         docs = spark.read.parquet(f"{root}/{n}-{name}")
+        if n:  # what the stage before wrote has been read
+            drop(spark, f"{root}/{n - 1}-{STAGES[n - 1][0]}")
     return docs
