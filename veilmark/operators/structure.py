@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass, field, replace
 from functools import partial
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 
 from veilmark.functions.detectors import detect
 from veilmark.operators.rewrite import put as put_in
-from veilmark.operators.text import SPAN, points, risk_level
+from veilmark.operators.text import SPAN, points, risk_level, span_array
 from veilmark.operators.tokens import prefix_of, token_dictionary, with_numbers, with_tokens
 from veilmark.scratch import keep
 
@@ -23,6 +22,7 @@ CONSTANTS = {"prenom": "***", "nom": "***", "email": "anonyme@example.com", "tel
 MARK = "***"
 DIRECT = ("nom", "prenom", "email", "tel")
 FIELD, TEXT = 0, 1
+ARROW_CELL = pa.struct([("kind", pa.int32()), ("ord", pa.int32()), ("elem", pa.int32()), ("value", pa.string()), ("falsy", pa.bool_()), ("written", pa.bool_())])
 CELL = "struct<kind:int,ord:int,elem:int,value:string,falsy:boolean,written:boolean>"
 
 
@@ -249,9 +249,10 @@ def with_cells(df: DataFrame, mapping: Mapping, fix_leaks: bool = False) -> Data
     inner = F.struct(F.array().cast(f"array<{CELL}>").alias("cells"), F.array().cast("array<string>").alias("own"), none.alias("first"), none.alias("last"))
     if mapping.unwrap and mapping.unwrap in df.columns:
 
-        @F.pandas_udf(f"struct<cells:array<{CELL}>,own:array<string>,first:string,last:string>")
-        def unwrapped(raw: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([json_cells(x, mapping) for x in raw], columns=["cells", "own", "first", "last"])
+        @F.arrow_udf(f"struct<cells:array<{CELL}>,own:array<string>,first:string,last:string>")
+        def unwrapped(raw: pa.Array) -> pa.Array:
+            kind = pa.struct([("cells", pa.list_(ARROW_CELL)), ("own", pa.list_(pa.string())), ("first", pa.string()), ("last", pa.string())])
+            return pa.array([json_cells(x, mapping) for x in raw.to_pylist()], kind)
 
         inner = unwrapped(F.col(f"`{mapping.unwrap}`").cast("string"))
     df = df.withColumn("__in", inner)
@@ -287,23 +288,23 @@ def with_cell_spans(df: DataFrame, mapping: Mapping, **options) -> DataFrame:
         return df.withColumns({"__spans": F.array().cast(kind), "__error": F.lit(None).cast("string")})
     lists = {"whitelist": frozenset(mapping.whitelist), "blacklist": frozenset(mapping.blacklist)}
 
-    @F.pandas_udf(f"struct<spans:{kind},error:string>")
-    def spans(cells: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
-        out, errors = [], []
-        for own, a, b in zip(cells, first, last, strict=True):
+    @F.arrow_udf(f"struct<spans:{kind},error:string>")
+    def spans(cells: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        texts, found, errors, sizes = [], [], [], [0]
+        for own, a, b in zip(cells.to_pylist(), first.to_pylist(), last.to_pylist(), strict=True):
             names = {x.strip() for x in (a, b) if x.strip()} if a else ()
+            here = [c for c in own if c["kind"] == TEXT]
             try:
-                found = []
-                for c in own:
-                    if c["kind"] == TEXT:
-                        spans = detect(c["value"], **{**options, **lists, "own": names})
-                        found.append({"ord": c["ord"], "elem": c["elem"], "written": c["written"], "spans": [s._asdict() for s in spans]})
-                out.append(found)
+                found += [detect(c["value"], **{**options, **lists, "own": names}) for c in here]
+                texts += here
                 errors.append(None)
             except Exception as e:  # noqa: BLE001  one record's failure is counted, not the run's
-                out.append([])
+                del found[len(texts) :]
                 errors.append(type(e).__name__)
-        return pd.DataFrame({"spans": out, "error": errors})
+            sizes.append(len(texts))
+        place = [pa.array([c["ord"] for c in texts], pa.int32()), pa.array([c["elem"] for c in texts], pa.int32()), pa.array([c["written"] for c in texts], pa.bool_()), span_array(found)]
+        rows = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(place, ["ord", "elem", "written", "spans"]))
+        return pa.StructArray.from_arrays([rows, pa.array(errors, pa.string())], ["spans", "error"])
 
     return df.withColumn("__found", spans("__cells", "__first", "__last")).withColumns({"__spans": F.col("__found.spans"), "__error": F.col("__found.error")}).drop("__found")
 
