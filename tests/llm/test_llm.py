@@ -207,6 +207,23 @@ def small_vocabulary():
     return {bytes([i]): i for i in range(256)} | {b"te": 256, b"xt": 257, b"text": 258}, r"\S+|\s+"
 
 
+def test_pieces_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Each piece is one file, named by its first record, whatever its size."""
+    o = training_order
+    assert [o.piece_records(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 40)] == [1024, 1024, 2048, 16_384, 32_768]
+    monkeypatch.setattr(o, "PIECE", 2)
+    monkeypatch.setattr(o, "PIECES", 1)
+    monkeypatch.setattr(o, "LARGE", 4)
+    docs = spark.createDataFrame([(n, f"text {n} " * 900) for n in range(60)], "doc_id long, text string").repartition(5)
+    o.write(docs, str(tmp_path / "o"), shard_records=10, vocab=small_vocabulary(), end_id=300)
+    got = o.read(spark, str(tmp_path / "o")).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and len(got) > 40 and {r.piece for r in got} == {0, 4, 8}
+    for r in got:
+        (file,) = (tmp_path / "o" / f"shard={r.shard}" / f"piece={r.piece}").glob("*.txt")
+        begin = (r.slot % 10 - r.piece) * o.RECORD
+        assert file.read_bytes()[begin : begin + o.WIDTH * r.n_ids] == bytes(r.ids)
+
+
 def test_training_order_writes_every_id_at_its_place(spark, tmp_path):
     """Null and repeated ids keep their tokens, and record r is found by seeking."""
     o = training_order
@@ -226,9 +243,9 @@ def test_training_order_writes_every_id_at_its_place(spark, tmp_path):
         end = x.tolist().index(300) + 1 if 300 in x else len(x)
         assert any(i == r.doc_id and w[r.at : r.at + end] == tuple(x[:end].tolist()) for i, w in want)
         record = r.slot % 9
-        assert (r.shard, r.piece) == (r.slot // 9, record // o.PIECE)
+        assert (r.shard, r.piece) == (r.slot // 9, record // o.PIECE * o.PIECE)
         (file,) = (tmp_path / "o" / f"shard={r.shard}" / f"piece={r.piece}").glob("*.txt")
-        data = file.read_bytes()[record % o.PIECE * o.RECORD :][: o.WIDTH * o.STRIDE]
+        data = file.read_bytes()[(record - r.piece) * o.RECORD :][: o.WIDTH * o.STRIDE]
         assert data[: o.WIDTH * r.n_ids] == bytes(r.ids) and not any(data[o.WIDTH * r.n_ids :])
     assert [r.slot for r in got] != [r.at for r in got]
 

@@ -4,9 +4,9 @@ Texts become token ids of a byte-level vocabulary in one narrow pass; every task
 cuts the run into sequences of STRIDE ids, so only a task's last one is padded.  The sequences are kept in the shared
 folder, compressed with a dictionary of a few texts' ids until they are written, which fixes their numbers: a sequence's number is its place in its task's run, offset by what earlier tasks hold
 (one count a task), so no key and no group of copies meets in one task.  The number is permuted within [0, n), and range
-partitions of slots write fixed-stride records: shard=S/piece=P holds records P * PIECE to P * PIECE + PIECE - 1 of shard S
-(the last file of a shard may be shorter), so record r of a shard begins at byte (r - P * PIECE) * stride of its piece and
-reading can resume there.  A record is STRIDE little-endian ids of WIDTH bytes, then the FIELDS as text of fixed width, then
+partitions of slots write fixed-stride records: shard=S/piece=P holds records of shard S from its record P on, up to the next
+piece, so record r begins at byte (r - P) * stride of the piece with the greatest P up to r, and reading can resume there.
+Pieces are of PIECE records (4 MB) and, in tables of more than PIECES of them, of twice, four times ... up to LARGE (136 MB).  A record is STRIDE little-endian ids of WIDTH bytes, then the FIELDS as text of fixed width, then
 END, two characters of three bytes: the second or the first would begin at the high byte of an id, which is always less.
 
 Results by case: null and empty texts, and texts without a token, hold no ids and no end mark; repeated rows and rows with
@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from .common import keep, scratch_root
 
 STRIDE, WIDTH, ROUNDS = 2048, 2, 4
-PIECE, END = 1024, "￿￿"
+PIECE, LARGE, PIECES, END = 1024, 32_768, 1024, "￿￿"
 #: Width of each text field after the ids: the slot, and the document and place in its ids of the first id here.
 FIELDS = {"slot": 19, "doc_id": 20, "at": 10, "n_ids": 4}
 RECORD = WIDTH * STRIDE + sum(FIELDS.values()) + len(END.encode())
@@ -150,9 +150,16 @@ def unpacked(df: DataFrame, helper: bytes) -> DataFrame:
     return df.mapInArrow(widen, StructType(df.schema.fields[:-1]).add("ids", "binary"))
 
 
-def placed(docs: DataFrame, key: int, shard_records: int, vocab, end_id: int, helper: bytes) -> DataFrame:
-    """doc_id, at, n_ids, slot, shard, record, packed."""
-    rows = sequences(docs, vocab, end_id, helper).withColumn("task", F.shiftright("run", 33))
+def piece_records(total: int) -> int:
+    size = PIECE
+    while size < LARGE and total > size * PIECES:
+        size *= 2
+    return size
+
+
+def placed(rows: DataFrame, key: int, shard_records: int) -> DataFrame:
+    """doc_id, at, n_ids, slot, shard, record, packed of sequences."""
+    rows = rows.withColumn("task", F.shiftright("run", 33))
     # One row a task: the running count goes to every task.
     sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,8 +180,11 @@ def write(docs: DataFrame, path: str, key: int = 20_240_601, shard_records: int
     """Files of records of RECORD bytes in slot order; zeros follow a record's n_ids ids.  end_id closes each text."""
     vocab = vocab or vocabulary()
     helper = dictionary(docs, vocab)
-    rows = placed(docs, key, shard_records, vocab, end_id, helper).withColumn("piece", F.floor(F.col("record") / PIECE).cast("int"))
-    dealt = unpacked(rows.repartition("shard", "piece").select("shard", "piece", "record", *FIELDS, "packed"), helper).sortWithinPartitions("shard", "piece", "record")
+    cut = sequences(docs, vocab, end_id, helper)
+    size = piece_records(cut.count())
+    rows = placed(cut, key, shard_records).withColumn("piece", (F.floor(F.col("record") / size) * size).cast("int"))
+    # A range of slots a task, and each piece in one.
+    dealt = unpacked(rows.repartitionByRange("shard", "piece").select("shard", "piece", "record", *FIELDS, "packed"), helper).sortWithinPartitions("shard", "piece", "record")
     fields = [F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), n, " ").cast("binary") for c, n in FIELDS.items()]
     dealt.select("shard", "piece", F.concat("ids", *fields).cast("string").alias("value")).write.partitionBy("shard", "piece").option("lineSep", END).option("compression", "none").text(path)
 
