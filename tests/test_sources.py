@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from veilmark import cli
+from veilmark import cli, scratch
 from veilmark.operators import text as T
 from veilmark.operators.structure import Mapping, process
 from veilmark.operators.tokens import restore
@@ -174,3 +174,13 @@ def test_tokens_of_any_form_come_back(spark):
     df = spark.createDataFrame([(1, "PERSON-12, PERSON-1. <<PERSON-1>>")], "k int, result string")
     assert restore(df, plain).first().restored == "Bo, Al. see PERSON-12" and restore(df, plain, nested=True).first().restored == "Bo, Al. see Bo"
     assert restore(df, plain.limit(0)).first().restored == "PERSON-12, PERSON-1. <<PERSON-1>>" and restore(df.limit(0), plain).count() == 0
+
+
+def test_tables_kept_inside_are_dropped(spark, tmp_path):
+    before = scratch.keep(spark.range(3), "outside")
+    with scratch.with_tables(spark):
+        inside = scratch.keep(spark.range(5), "inside")
+        (at,) = {f.rsplit("/", 1)[0] for f in inside.inputFiles()}
+        assert inside.count() == 5
+        inside.write.parquet(str(tmp_path / "result"))
+    assert jsonfiles.files_at(spark, at) == [] and before.count() == 3 and spark.read.parquet(str(tmp_path / "result")).count() == 5
