@@ -2,8 +2,8 @@
 
 Words are runs between ASCII white space, at which the tokenizer always splits; units are words whose signs at the end
 part from a letter or digit before them, in lower case if ASCII, as the tokenizer does both.  Frequent words and their
-units (at most 3 x HEAD, merged from each task's most frequent words) are encoded on the driver, whence they travel to
-every task.  One pass over the texts turns each block of rows (BLOCK bytes of text at most, one text at least) into a stream of numbers, of the frequent words and units, or of the block's own distinct rare units, which it hands
+units (at most 3 x HEAD, merged from each task's most frequent words) are encoded once, in one task, and go to every
+task by the driver.  One pass over the texts turns each block of rows (BLOCK bytes of text at most, one text at least) into a stream of numbers, of the frequent words and units, or of the block's own distinct rare units, which it hands
 on dealt by their hash.  That table is kept in the shared folder.  Rare units meet their equals, each is encoded once, and the ids
 return to the block by position, so a unit travels once a block however often it is written there.  Texts themselves do
 not travel unless their column is asked for, and then packed by block.  Which units are in the head, and where blocks end, changes no result.
@@ -66,10 +66,11 @@ def units(word: str) -> list[str]:
     return [core, tail] if tail else [core]
 
 
-def head_words(docs: DataFrame, text_col: str, head: int) -> tuple[list[str], int]:
-    """At most head frequent words and their units, and how often all other words occur.
+def head_table(docs: DataFrame, text_col: str, head: int, source: str) -> tuple[bytes, np.ndarray, np.ndarray, int]:
+    """At most head frequent words and their units, with a space between each two; how many ids each has, and the ids; how often
+    all other words occur.
 
-    Every task counts its words, drops seldom ones as its table fills, and hands on LOCAL_HEAD."""
+    Every task counts its words, drops seldom ones as its table fills, and hands on LOCAL_HEAD; one task, bounded by head, encodes."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -85,11 +86,30 @@ def head_words(docs: DataFrame, text_col: str, head: int) -> tuple[list[str], in
         words, counts = [w for w, _ in top], [n for _, n in top]
         yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), pa.array([total, *counts], pa.int64())], names=["word", "n"])
 
+    def encoded(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        words, rest = [], 0
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rest += n if w is None else -n
+                if w is not None:
+                    words.append(w.decode("utf-8", "replace"))
+        top = list(dict.fromkeys([*words, *(u for w in words for u in units(w))]))
+        t, sizes, flat = tokenizer(source), array("q"), array("i")
+        for i in range(0, len(top), 4096):
+            for e in t.encode_batch_fast(top[i : i + 4096], add_special_tokens=False):
+                sizes.append(len(e.ids))
+                flat.extend(e.ids)
+        row = (" ".join(top).encode(), sizes.tobytes(), flat.tobytes())
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([rest], pa.int64())], names=["words", "sizes", "flat", "rest"])
+
     counted = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).mapInArrow(count, "word binary, n bigint")
-    found = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(head + 1).toArrow()
-    counts = found.column(1).to_numpy()
-    top = [w.decode("utf-8", "replace") for w in found.column(0).to_pylist()[1:]]
-    return list(dict.fromkeys([*top, *(u for w in top for u in units(w))])), int(counts[0] - counts[1:].sum()) if len(counts) else 0
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(head + 1)
+    rows = top.mapInArrow(encoded, "words binary, sizes binary, flat binary, rest bigint").collect()
+    if not rows:
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+    r = rows[0]
+    return bytes(r["words"]), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["flat"], np.int32), r["rest"]
 
 
 @lru_cache(maxsize=1)
@@ -117,18 +137,12 @@ def unpacked(data: bytes, widen) -> np.ndarray:
 
 def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str = "ids", head: int = HEAD, drop_text: bool = False) -> DataFrame:
     """docs (without the text if drop_text) plus out_col array<int>."""
-    spark, t = docs.sparkSession, tokenizer(source)
-    top, rest = head_words(docs, text_col, head)
+    spark = docs.sparkSession
+    words, sizes, flat, rest = head_table(docs, text_col, head, source)
+    held, held_source = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(source)
     # The frequent come first, so their numbers are small.
-    sizes, flat = array("q"), array("i")
-    for i in range(0, len(top), 4096):
-        for e in t.encode_batch_fast(top[i : i + 4096], add_special_tokens=False):
-            ids = e.ids
-            sizes.append(len(ids))
-            flat.extend(ids)
-    held, held_source = spark.sparkContext.broadcast(" ".join(top).encode()), spark.sparkContext.broadcast(source)
-    table = spark.sparkContext.broadcast((np.array(sizes, np.int64), np.array(flat, np.int32)))
-    del top, sizes, flat
+    table = spark.sparkContext.broadcast((sizes, flat))
+    del words, sizes, flat
     deals = 1 + rest // DEAL
     cols = [c for c in docs.columns if c not in (out_col, text_col)]
     row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")

@@ -73,4 +73,4 @@ def bpe_stage(spark, docs, sf_dir):
     from .queries import tokenizer_source
 
     session_defaults(spark)
-    return bpe.encode(docs, tokenizer_source()).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    return bpe.encode(docs, tokenizer_source(), head=1 << 17).withColumn("n_tokens", F.size("ids").cast("bigint"))
