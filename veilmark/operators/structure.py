@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, replace
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,25 @@ class Mapping:
         return cls(texts=tuple(f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in but))
 
 
+# --- arrays of structs as plain lists, which Python walks several times faster than rows of dictionaries
+
+
+def flat(lists: pa.Array) -> tuple[list[int], dict[str, list]]:
+    """Where each list of structs begins and ends, and the structs' scalar fields; a null list is empty."""
+    inner = lists.flatten()
+    bounds = [0, *accumulate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist())]
+    return bounds, {f.name: c.to_pylist() for f, c in zip(inner.type, inner.flatten(), strict=True) if not pa.types.is_list(f.type)}
+
+
+def listed(rows: list[list[tuple]], kind: pa.ListType) -> pa.Array:
+    """Rows of tuples as an array of lists of structs."""
+    whole = [t for r in rows for t in r]
+    columns = list(zip(*whole, strict=True)) or [()] * kind.value_type.num_fields
+    made = [pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)]
+    bounds = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(made, fields=list(kind.value_type)), type=kind)
+
+
 # --- paths into columns
 
 
@@ -172,7 +193,7 @@ def text_values(obj: dict, path: str) -> list[tuple[int, str, bool]]:
     return [(i, v, bool(after)) for i, v in found if v and isinstance(v, str)]
 
 
-def json_cells(raw: str | None, mapping: Mapping) -> dict:
+def json_cells(raw: str | None, mapping: Mapping) -> tuple[list[tuple], list[str], str | None, str | None]:
     """Cells of a record or unwrapped object, the paths (by kind and number) that belong to it, and its two names."""
     record, unwrapped = opened(raw, mapping)
     cells, own = [], []
@@ -181,45 +202,45 @@ def json_cells(raw: str | None, mapping: Mapping) -> dict:
             own.append(f"{FIELD} {n}")
             v = json_get(obj, path)
             if v is not None and not (isinstance(v, str) and not v.strip()):
-                cells.append({"kind": FIELD, "ord": n, "elem": -1, "value": str(v), "falsy": not v, "written": True})
+                cells.append((FIELD, n, -1, str(v), not v, True))
     for n, path in enumerate(mapping.texts):
         if (obj := holder(path, record, unwrapped)) is not None:
             own.append(f"{TEXT} {n}")
-            cells += [{"kind": TEXT, "ord": n, "elem": i, "value": v, "falsy": False, "written": w} for i, v, w in text_values(obj, path)]
+            cells += [(TEXT, n, i, v, False, w) for i, v, w in text_values(obj, path)]
     if mapping.scan and isinstance(record, dict):
         tops = ((n, v) for n, v in enumerate(record.values()) if isinstance(v, str) and v.strip())
-        cells += [{"kind": TEXT, "ord": n, "elem": -1, "value": v, "falsy": False, "written": True} for n, v in tops]
+        cells += [(TEXT, n, -1, v, False, True) for n, v in tops]
 
     def name(path: str) -> str | None:
         obj = holder(path, record, unwrapped) if path else None
         return None if obj is None else str(json_get(obj, path) or "")
 
-    return {"cells": cells, "own": own, "first": name(mapping.first_name), "last": name(mapping.last_name)}
+    return cells, own, name(mapping.first_name), name(mapping.last_name)
 
 
-def json_written(raw: str | None, new: list, mapping: Mapping) -> str | None:
-    """The object with its new values; numbers become text, null where a token is missing; separators as the json module prints them."""
+def json_written(raw: str | None, new: list[tuple], mapping: Mapping) -> str | None:
+    """The object with its new values (kind, ord, elem, value); numbers become text, null where a token is missing; separators as the json module prints them."""
     record, unwrapped = opened(raw, mapping)
     if unwrapped is None and (record is None or not new):
         return raw
     keys = list(record) if mapping.scan and isinstance(record, dict) else []
-    for c in new:
+    for kind, n, elem, value in new:
         if keys:
-            record[keys[c["ord"]]] = c["value"]
+            record[keys[n]] = value
             continue
-        path = mapping.fields[c["ord"]][0] if c["kind"] == FIELD else mapping.texts[c["ord"]]
+        path = mapping.fields[n][0] if kind == FIELD else mapping.texts[n]
         obj = holder(path, record, unwrapped)
         if obj is None:
             continue
-        if c["elem"] < 0:
-            json_set(obj, path, c["value"])
+        if elem < 0:
+            json_set(obj, path, value)
             continue
         before, after = path.split("[]", 1)
         items = json_get(obj, before)
         if after:
-            json_set(items[c["elem"]], after.lstrip("."), c["value"])
+            json_set(items[elem], after.lstrip("."), value)
         else:
-            items[c["elem"]] = c["value"]
+            items[elem] = value
     if mapping.root and unwrapped is not None:
         record[mapping.inner] = json.dumps(unwrapped, ensure_ascii=False)
     return json.dumps(record if mapping.root else unwrapped, ensure_ascii=False)
@@ -251,8 +272,10 @@ def with_cells(df: DataFrame, mapping: Mapping, fix_leaks: bool = False) -> Data
 
         @F.arrow_udf(f"struct<cells:array<{CELL}>,own:array<string>,first:string,last:string>")
         def unwrapped(raw: pa.Array) -> pa.Array:
-            kind = pa.struct([("cells", pa.list_(ARROW_CELL)), ("own", pa.list_(pa.string())), ("first", pa.string()), ("last", pa.string())])
-            return pa.array([json_cells(x, mapping) for x in raw.to_pylist()], kind)
+            read = [json_cells(x, mapping) for x in raw.to_pylist()]
+            cells, own, *both = zip(*read, strict=True) if read else ((),) * 4
+            columns = [listed(cells, pa.list_(ARROW_CELL)), pa.array(own, pa.list_(pa.string())), *(pa.array(x, pa.string()) for x in both)]
+            return pa.StructArray.from_arrays(columns, ["cells", "own", "first", "last"])
 
         inner = unwrapped(F.col(f"`{mapping.unwrap}`").cast("string"))
     df = df.withColumn("__in", inner)
@@ -291,18 +314,20 @@ def with_cell_spans(df: DataFrame, mapping: Mapping, **options) -> DataFrame:
     @F.arrow_udf(f"struct<spans:{kind},error:string>")
     def spans(cells: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
         texts, found, errors, sizes = [], [], [], [0]
-        for own, a, b in zip(cells.to_pylist(), first.to_pylist(), last.to_pylist(), strict=True):
+        bounds, col = flat(cells)
+        kinds, values = col["kind"], col["value"]
+        for r, (a, b) in enumerate(zip(first.to_pylist(), last.to_pylist(), strict=True)):
             names = {x.strip() for x in (a, b) if x.strip()} if a else ()
-            here = [c for c in own if c["kind"] == TEXT]
+            here = [i for i in range(bounds[r], bounds[r + 1]) if kinds[i] == TEXT]
             try:
-                found += [detect(c["value"], **{**options, **lists, "own": names}) for c in here]
+                found += [detect(values[i], **{**options, **lists, "own": names}) for i in here]
                 texts += here
                 errors.append(None)
             except Exception as e:  # noqa: BLE001  one record's failure is counted, not the run's
                 del found[len(texts) :]
                 errors.append(type(e).__name__)
             sizes.append(len(texts))
-        place = [pa.array([c["ord"] for c in texts], pa.int32()), pa.array([c["elem"] for c in texts], pa.int32()), pa.array([c["written"] for c in texts], pa.bool_()), span_array(found)]
+        place = [*(pa.array([col[k][i] for i in texts], t) for k, t in (("ord", pa.int32()), ("elem", pa.int32()), ("written", pa.bool_()))), span_array(found)]
         rows = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(place, ["ord", "elem", "written", "spans"]))
         return pa.StructArray.from_arrays([rows, pa.array(errors, pa.string())], ["spans", "error"])
 
@@ -426,23 +451,37 @@ def with_fresh(out: DataFrame, mapping: Mapping) -> DataFrame:
         schema = to_arrow_schema(target)
         for b in batches:
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            fresh = []
-            for cells, new in zip(col["__cells"].to_pylist(), col["__new"].to_pylist(), strict=True):
-                texts = {(c["ord"], c["elem"]): c["value"] for c in cells if c["kind"] == TEXT} if new else {}
-                fresh.append([{**{k: c[k] for k in ("kind", "ord", "elem")}, "value": new_value(c, texts)} for c in new if c["written"]])
+            fresh = new_values(col["__cells"], col["__new"])
             made = [col[c] for c in passed]
             if raw:
                 lines = zip(col[raw].to_pylist(), fresh, col["__error"].to_pylist(), strict=True)
                 made.append(pa.array([r if e is not None else json_written(r, n, mapping) for r, n, e in lines], pa.string()))
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(made, schema)), pa.array(fresh, schema.field("__new").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(made, schema)), listed(fresh, schema.field("__new").type)], schema=schema)
 
     return given.mapInArrow(run, target)
 
 
-def new_value(c: dict, texts: dict) -> str | None:
-    if c["kind"] == FIELD:
-        return c["pieces"][0]["repl"]
-    return put_in(texts[c["ord"], c["elem"]], ((p["start"], p["end"], p["repl"]) for p in c["pieces"]))
+def new_values(cells: pa.Array, new: pa.Array) -> list[list[tuple]]:
+    """(kind, ord, elem, value) of each record's cells that are written: a field's token, or a text with its parts put in."""
+    at, cell = flat(cells)
+    bounds, col = flat(new)
+    inner = new.flatten()
+    parts, piece = flat(inner.flatten()[inner.type.get_field_index("pieces")])
+    pieces = list(zip(piece["start"], piece["end"], piece["repl"], strict=True))
+    written, places = col["written"], list(zip(col["kind"], col["ord"], col["elem"], strict=True))
+    out = []
+    for r in range(len(new)):
+        mine = [i for i in range(bounds[r], bounds[r + 1]) if written[i]]
+        texts = {}
+        if any(places[i][0] == TEXT for i in mine):
+            texts = {(cell["ord"][c], cell["elem"][c]): cell["value"][c] for c in range(at[r], at[r + 1]) if cell["kind"][c] == TEXT}
+        row = []
+        for i in mine:
+            kind, n, elem = places[i]
+            own = pieces[parts[i] : parts[i + 1]]
+            row.append((kind, n, elem, own[0][2] if kind == FIELD else put_in(texts[n, elem], own)))
+        out.append(row)
+    return out
 
 
 def rewritten(rows: DataFrame, done: DataFrame, df: DataFrame, mapping: Mapping, fix_leaks: bool, names: tuple[str, str, str]) -> DataFrame:
