@@ -191,3 +191,25 @@ def test_tokens_of_a_stream(spark, tmp_path):
     run(spark.createDataFrame([(10, "b@x.fr c@x.fr"), (11, "d@x.fr")], "k int, text string"), 1)
     assert {r.original: r.token for r in dictionary_at(spark, str(tmp_path / "words")).collect()} == want
     assert {r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"[EMAIL_1] [EMAIL_2]", "[EMAIL_2] [EMAIL_3]", "[EMAIL_4]"}
+
+
+def test_new_values_of_sliced_and_null_lists():
+    """Cells as flat columns: slices, null lists and records without replacements keep their places."""
+    import pyarrow as pa
+
+    from veilmark.operators.structure import ARROW_CELL, FIELD, TEXT, flat, listed, new_values
+
+    piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("repl", pa.string())])
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("ord", pa.int32()), ("elem", pa.int32()), ("written", pa.bool_()), ("pieces", pa.list_(piece))]))
+    cells = listed([[(FIELD, 9, -1, "gone", False, True)], [(FIELD, 0, -1, "x", False, True), (TEXT, 1, 0, "abcdef", False, True)], [], [(TEXT, 0, -1, "zz", False, True)]], pa.list_(ARROW_CELL))
+    part = lambda a, b, r: {"start": a, "end": b, "repl": r}
+    new = pa.array([
+        [{"kind": FIELD, "ord": 9, "elem": -1, "written": True, "pieces": [part(None, None, "[X_1]")]}],
+        [{"kind": TEXT, "ord": 1, "elem": 0, "written": True, "pieces": [part(1, 2, "[B]"), part(4, 6, "[EF]")]}, {"kind": FIELD, "ord": 0, "elem": -1, "written": True, "pieces": [part(None, None, None)]}],
+        None,
+        [{"kind": TEXT, "ord": 0, "elem": -1, "written": False, "pieces": [part(0, 2, "[Z]")]}],
+    ], kind)
+    got = [[(FIELD, 9, -1, "[X_1]")], [(TEXT, 1, 0, "a[B]cd[EF]"), (FIELD, 0, -1, None)], [], []]
+    assert new_values(cells, new) == got
+    assert new_values(cells.slice(1), new.slice(1)) == got[1:]
+    assert flat(pa.array([], pa.list_(ARROW_CELL)))[0] == [0] and listed([], pa.list_(ARROW_CELL)).to_pylist() == []
