@@ -60,7 +60,7 @@ def run_files(spark: SparkSession, paths: list[str], args) -> list[dict]:
     if args.dry_run:
         first = Window.partitionBy("file").orderBy("rec_idx")
         rows = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= DRY_RUN).drop("__n")
-    done = process(rows, "rec_idx", mapping.within("record"), "anon" if args.anon else "pseudo", per="file", **detection(spark, args))
+    done = process(rows, "rec_idx", mapping.within("record"), "anon" if args.anon else "pseudo", per="file", deal=False, **detection(spark, args))
     table = keep(done.rows, "output")
     reports = {r.file: r.asDict(recursive=True) for r in R.by_file(done, table).collect()}  # a row a file
     out = []

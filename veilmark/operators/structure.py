@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from veilmark.functions.detectors import detect
 from veilmark.operators.rewrite import put as put_in
-from veilmark.operators.text import SPAN, points, risk_level, span_array
+from veilmark.operators.text import POINTS, SPAN, points, risk_level, span_array
 from veilmark.operators.tokens import prefix_of, token_dictionary, with_numbers, with_tokens
-from veilmark.scratch import keep
+from veilmark.scratch import keep, spread
 
 #: What an irreversible run prints by type; any other type prints MARK, "id" a running number, "uuid" a random one.
 CONSTANTS = {"prenom": "***", "nom": "***", "email": "anonyme@example.com", "tel": "00 00 00 00 00", "cp": "00000", "genre": "Non renseigné"}
@@ -403,17 +403,20 @@ def constants(occ: DataFrame, mapping: Mapping, order: list[str], per: str | Non
     return done
 
 
-def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numbering: str = "type", fix_leaks: bool = False, per: str | None = None, **options) -> Processed:
+def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numbering: str = "type", fix_leaks: bool = False, per: str | None = None, deal: bool = True, **options) -> Processed:
     """Records by a mapping: how "pseudo" prints tokens, "anon" constants.
 
     Numbers follow key, then fields, then free text, element and place in the text; with per, a column's name, each of its
     values has a dictionary of its own (files of one folder).  A field that is 0 or false becomes null, elements of an array of
     plain strings are scored but stay (fix_leaks writes them), a failing record stays as it was.  Columns of numbers that are
-    rewritten become strings.  Records and their spans are kept once; only replacements travel.  Null or equal keys are told
+    rewritten become strings.  Records and their spans are kept once; only replacements travel, and not even those where
+    constants hold for each record alone (anon without running numbers or random ones).  Null or equal keys are told
     apart; an empty table gives empty tables; columns named score, level or error stay, see Processed.names.
+    With deal, records that lie in a few tasks are dealt to all (their rows are counted for it; not for costly plans).
     """
-    laid = with_cell_spans(with_cells(df, mapping, fix_leaks), mapping, **options)
-    rows = keep(laid.withColumn("__row", F.monotonically_increasing_id()), "records")
+    given = df.withColumn("__row", F.monotonically_increasing_id())
+    laid = with_cell_spans(with_cells(spread(given, "__row") if deal else given, mapping, fix_leaks), mapping, **options)
+    rows = keep(laid, "records")
     occ = occurrences_of(rows, key, mapping, per)
     order, own = ["__key", "__row", "kind", "ord", "elem"], "__per" if per else None
     words = None
@@ -422,13 +425,15 @@ def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numb
         done = with_tokens(occ, words, numbering, own).withColumn("token", F.when((F.col("kind") == TEXT) | ~F.col("falsy"), F.col("token")))
     else:
         done = constants(occ, mapping, order, per)
-    done = keep(done, "replacements")
+    alone = how != "pseudo" and not any(t in ("id", "uuid") for _, t, _ in mapping.fields)
+    done = done if alone else keep(done, "replacements")
+    own = with_own_constants(rows, mapping) if alone else with_own(rows, done)
     names = free_names(df.columns)
     place = per
     while place and place in {*done.columns, *(words.columns if words is not None else ())}:
         place = f"of_{place}"
     named = lambda t: t if t is None or not per else t.withColumnRenamed("__per", place)
-    return Processed(rewritten(rows, done, df, mapping, fix_leaks, names), named(words), named(done), names, per, place)
+    return Processed(rewritten(own, df, mapping, fix_leaks, names), named(words), named(done), names, per, place)
 
 
 FRESH = "array<struct<kind:int,ord:int,elem:int,value:string>>"
@@ -484,13 +489,39 @@ def new_values(cells: pa.Array, new: pa.Array) -> list[list[tuple]]:
     return out
 
 
-def rewritten(rows: DataFrame, done: DataFrame, df: DataFrame, mapping: Mapping, fix_leaks: bool, names: tuple[str, str, str]) -> DataFrame:
-    piece = F.struct("start", "end", F.col("token").alias("repl"))
+#: What is put into a record: of each cell its pieces, by place.
+NEW = "array<struct<kind:int,ord:int,elem:int,written:boolean,pieces:array<struct<start:int,end:int,repl:string>>>>"
+
+
+def with_own(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """rows plus __new and __score, of their replacements."""
     place = ["kind", "ord", "elem", "written"]
+    piece = F.struct("start", "end", F.col("token").alias("repl"))
     own = done.groupBy("__row", *place).agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(points(F.col("risk_type"))).alias("points"))
     own = own.groupBy("__row").agg(F.collect_list(F.struct(*place, "pieces")).alias("__new"), F.sum("points").cast("bigint").alias("__score"))
-    out = rows.join(own, "__row", "left").drop("__row")
-    out = out.withColumns({"__score": F.coalesce("__score", F.lit(0)).cast("bigint"), "__new": F.coalesce("__new", F.array().cast(own.schema["__new"].dataType))})
+    out = rows.join(own, "__row", "left")
+    return out.withColumns({"__score": F.coalesce("__score", F.lit(0)).cast("bigint"), "__new": F.coalesce("__new", F.array().cast(own.schema["__new"].dataType))})
+
+
+def with_own_constants(rows: DataFrame, mapping: Mapping) -> DataFrame:
+    """rows plus __new and __score where what is printed depends on the record alone: nothing travels."""
+    shown = F.lit([CONSTANTS.get(t, MARK) for _, t, _ in mapping.fields] or [""])
+    weight = F.lit([POINTS["direct" if t in DIRECT else "indirect"] for _, t, _ in mapping.fields] or [0])
+    none, empty = F.lit(None).cast("int"), F.array().cast(NEW)
+    piece = lambda start, end, repl: F.struct(start.alias("start"), end.alias("end"), repl.alias("repl"))
+    new = lambda kind, x, written, pieces: F.struct(kind.alias("kind"), x["ord"].alias("ord"), x["elem"].alias("elem"), written.alias("written"), pieces.alias("pieces"))
+    fields = F.filter("__cells", lambda c: c["kind"] == FIELD)
+    texts = F.filter("__spans", lambda x: F.size(x["spans"]) > 0)
+    of_fields = F.transform(fields, lambda c: new(F.lit(FIELD), c, F.lit(True), F.array(piece(none, none, F.get(shown, c["ord"])))))
+    of_texts = F.transform(texts, lambda x: new(F.lit(TEXT), x, x["written"], F.transform(x["spans"], lambda s: piece(s["start"], s["end"], F.lit(MARK)))))
+    score = F.aggregate(fields, F.lit(0), lambda n, c: n + F.get(weight, c["ord"])) + F.aggregate(F.flatten(F.transform(texts, lambda x: x["spans"])), F.lit(0), lambda n, s: n + points(s["risk_type"]))
+    good = F.col("__error").isNull()
+    return rows.withColumns({"__new": F.when(good, F.concat(of_fields.cast(NEW), of_texts.cast(NEW))).otherwise(empty), "__score": F.when(good, score).otherwise(F.lit(0)).cast("bigint")})
+
+
+def rewritten(own: DataFrame, df: DataFrame, mapping: Mapping, fix_leaks: bool, names: tuple[str, str, str]) -> DataFrame:
+    """Records with what is put into them (own), written there."""
+    out = own.drop("__row")
     if mapping.texts or mapping.scan or mapping.unwrap in df.columns:
         out = with_fresh(out, mapping)
     else:

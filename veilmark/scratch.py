@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -63,3 +64,16 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder once tables kept elsewhere hold all that was made of it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows that one task may have without a look at how they lie.
+FEW = 20_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by a key of no equal values to all cores if its rows lie in a few tasks, as those of a small file or of one
+    large row group do: work in Python takes as long as the largest task.  Rows are counted for it, without their columns."""
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    rows, most = tasks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, key) if most > max(FEW, 1.5 * rows / cores) else df
