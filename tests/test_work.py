@@ -44,3 +44,12 @@ def test_constants_travel_nowhere(spark, capsys):
     # Running numbers and random ones are given once.
     ids = process(people(spark, 4), "id", Mapping.from_dict({"champs_sensibles": {"name": {"type": "uuid", "jeton": "U"}}}), "anon")
     assert {r.name for r in ids.rows.collect()} == {r.token for r in ids.occurrences.collect()}
+
+
+def test_replacements_travel_once(spark, capsys):
+    """They are dealt by record; a second deal by record and place is not needed."""
+    done = process(people(spark, 4), "id", Mapping.from_dict(MAPPING), only=frozenset({"EMAIL"}))
+    plan = plan_of(done.rows, capsys)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(__row" in line]
+    assert dealt and not any(", kind" in line for line in dealt) and len(dealt) <= 2
+    assert {(r.id, r.name, r.note, r.score) for r in done.rows.collect()} == {(i, f"[NOM_{i + 1}]", f"[EMAIL_{i + 1}], [EMAIL_{i + 1}]", 9) for i in range(4)}

@@ -494,10 +494,10 @@ NEW = "array<struct<kind:int,ord:int,elem:int,written:boolean,pieces:array<struc
 
 
 def with_own(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """rows plus __new and __score, of their replacements."""
+    """rows plus __new and __score, of their replacements, which travel once."""
     place = ["kind", "ord", "elem", "written"]
     piece = F.struct("start", "end", F.col("token").alias("repl"))
-    own = done.groupBy("__row", *place).agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(points(F.col("risk_type"))).alias("points"))
+    own = done.repartition("__row").groupBy("__row", *place).agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(points(F.col("risk_type"))).alias("points"))
     own = own.groupBy("__row").agg(F.collect_list(F.struct(*place, "pieces")).alias("__new"), F.sum("points").cast("bigint").alias("__score"))
     out = rows.join(own, "__row", "left")
     return out.withColumns({"__score": F.coalesce("__score", F.lit(0)).cast("bigint"), "__new": F.coalesce("__new", F.array().cast(own.schema["__new"].dataType))})
