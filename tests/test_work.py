@@ -1,9 +1,13 @@
 """How work lies: records dealt to all cores, constants that travel nowhere, replacements that travel once, batches of bounded size."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.functions.detectors import places
 from veilmark.operators.structure import Mapping, process
 from veilmark.scratch import FEW, spread
 
@@ -53,3 +57,11 @@ def test_replacements_travel_once(spark, capsys):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(__row" in line]
     assert dealt and not any(", kind" in line for line in dealt) and len(dealt) <= 2
     assert {(r.id, r.name, r.note, r.score) for r in done.rows.collect()} == {(i, f"[NOM_{i + 1}]", f"[EMAIL_{i + 1}], [EMAIL_{i + 1}]", 9) for i in range(4)}
+
+
+def test_names_of_a_record_are_found_as_by_a_pattern():
+    rnd = random.Random(5)
+    for _ in range(20_000):
+        word = "".join(rnd.choices("aAkKs.ſİéÉ", k=rnd.randint(1, 3)))
+        text = "".join(rnd.choices("aAkKs.ſİéÉK " if rnd.random() < 0.5 else "aAkKs. ", k=12))
+        assert list(places(word, text)) == [m.start() for m in re.finditer(re.escape(word), text, re.I)], (word, text)
