@@ -3,13 +3,15 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.detectors import places
 from veilmark.operators.structure import Mapping, process
-from veilmark.scratch import FEW, spread
+from veilmark.operators.text import detect_spans
+from veilmark.scratch import BATCH, FEW, spread
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +67,19 @@ def test_names_of_a_record_are_found_as_by_a_pattern():
         word = "".join(rnd.choices("aAkKs.ſİéÉ", k=rnd.randint(1, 3)))
         text = "".join(rnd.choices("aAkKs.ſİéÉK " if rnd.random() < 0.5 else "aAkKs. ", k=12))
         assert list(places(word, text)) == [m.start() for m in re.finditer(re.escape(word), text, re.I)], (word, text)
+
+
+def test_python_gets_batches_of_bounded_size(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+    @F.arrow_udf("int")
+    def size(ids: pa.Array) -> pa.Array:
+        return pa.array([len(ids)] * len(ids), pa.int32())
+
+    largest = lambda: spark.range(0, 5000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0]
+    assert largest() == 5000
+    detect_spans(spark.createDataFrame([("a@b.fr",)], "text string"))
+    assert largest() <= BATCH
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    process(people(spark, 3), "id", Mapping.from_dict(MAPPING), "anon")
+    assert largest() == 100

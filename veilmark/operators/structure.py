@@ -17,7 +17,7 @@ from veilmark.functions.detectors import detect
 from veilmark.operators.rewrite import put as put_in
 from veilmark.operators.text import POINTS, SPAN, points, risk_level, span_array
 from veilmark.operators.tokens import prefix_of, token_dictionary, with_numbers, with_tokens
-from veilmark.scratch import keep, spread
+from veilmark.scratch import keep, small_batches, spread
 
 #: What an irreversible run prints by type; any other type prints MARK, "id" a running number, "uuid" a random one.
 CONSTANTS = {"prenom": "***", "nom": "***", "email": "anonyme@example.com", "tel": "00 00 00 00 00", "cp": "00000", "genre": "Non renseigné"}
@@ -414,6 +414,7 @@ def process(df: DataFrame, key: str, mapping: Mapping, how: str = "pseudo", numb
     apart; an empty table gives empty tables; columns named score, level or error stay, see Processed.names.
     With deal, records that lie in a few tasks are dealt to all (their rows are counted for it; not for costly plans).
     """
+    small_batches(df.sparkSession)
     given = df.withColumn("__row", F.monotonically_increasing_id())
     laid = with_cell_spans(with_cells(spread(given, "__row") if deal else given, mapping, fix_leaks), mapping, **options)
     rows = keep(laid, "records")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.detectors import detect
 from veilmark.operators.tokens import occurrences, person_key, prefix_of, splice, token_dictionary, with_tokens
 from veilmark.operators.tokens import restore as _restore
-from veilmark.scratch import keep
+from veilmark.scratch import keep, small_batches
 
 SPAN = "struct<start:int,end:int,entity_type:string,value:string,score:double,source:string,risk_type:string>"
 SPANS = f"array<{SPAN}>"
@@ -19,11 +19,13 @@ POINTS = {"finance": 5, "direct": 3, "tech": 2, "indirect": 1}
 
 
 def detect_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", **options) -> DataFrame:
-    """Adds spans: narrow, Arrow-batched; options as functions.detectors.detect.  Null and empty text have no spans.
+    """Adds spans: narrow, Arrow-batched (the session's batches become small, see scratch.small_batches); options as
+    functions.detectors.detect.  Null and empty text have no spans.
 
     Options `names` may be a DataFrame of kind ("first" or "family") and word: then the words of doubtful persons are
     joined to it, so a list of any size works; a frozenset goes to every task and is for small lists.
     """
+    small_batches(df.sparkSession)
     names = options.get("names")
     if isinstance(names, DataFrame):
         early = {**options, "names": None, "whitelist": (), "blacklist": ()}

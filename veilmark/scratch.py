@@ -77,3 +77,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     rows, most = tasks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores, key) if most > max(FEW, 1.5 * rows / cores) else df
+
+
+#: Rows and bytes of text that Python gets at once.
+BATCH, BATCH_BYTES = 1000, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what each of a task's Python workers holds, whatever the size of the table: the session's batches are made
+    smaller, never larger."""
+    conf = spark.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
